@@ -33,7 +33,7 @@ def _split(docs: DataFrame, scratch: Scratch, support: float, id_col: str, text_
     narrow = docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("digest"))
     narrow = scratch.save(narrow.withColumn("row", F.monotonically_increasing_id()), "digests")
     # freqItems tells binary values apart by reference, so it gets text
-    frequent = narrow.select(F.hex("digest").alias("hex")).freqItems(["hex"], support).select(F.unhex(F.explode("hex_freqItems")).alias("digest"))
+    frequent = narrow.select(F.hex("digest").alias("hex")).freqItems(["hex"], support).select(F.explode("hex_freqItems").alias("hex")).select(F.unhex("hex").alias("digest"))
     frequent = scratch.save(frequent.distinct(), "frequent")  # at most 1 / support rows
     counted = narrow.join(F.broadcast(frequent), "digest").groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("top"))
     total = narrow.agg(F.count("*").alias("rows"))
