@@ -36,8 +36,7 @@ def _split(docs: DataFrame, scratch: Scratch, support: float, id_col: str, text_
     frequent = narrow.select(F.hex("digest").alias("hex")).freqItems(["hex"], support).select(F.explode("hex_freqItems").alias("hex")).select(F.unhex("hex").alias("digest"))
     frequent = scratch.save(frequent.distinct(), "frequent")  # at most 1 / support rows
     counted = narrow.join(F.broadcast(frequent), "digest").groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("top"))
-    total = narrow.agg(F.count("*").alias("rows"))
-    winners = counted.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("rows") * F.lit(support))  # total: one row
+    winners = counted.where(F.col("n") > narrow.count() * support)
     return narrow, scratch.save(winners.select("digest", "n", F.col("top.id").alias("best"), F.col("top.row").alias("at")), "winners")
 
 

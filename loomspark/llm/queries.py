@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_sizes
+from .ngram_join import ngram_components
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +48,12 @@ FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN u ON u.source IS NO
 """
 
 
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_components(documents(spark, sf_dir), n=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
