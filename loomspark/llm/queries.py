@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .mixing import mix_sizes
 from .ngram_join import ngram_components
+from .token_store import read_shards, tokenize_to_shards
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -48,12 +51,25 @@ FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN u ON u.source IS NO
 """
 
 
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_components(documents(spark, sf_dir), n=4, percent=85)
     return found.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+@query
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, _ = tokenize_to_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_shards(spark, manifest).select(F.col("id").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
