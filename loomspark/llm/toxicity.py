@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 20
 MOST_ROWS = 6000
-ALPHA, BETA, L1, L2, EPOCHS = 0.6, 1.0, 20.0, 0.02, 5
+ALPHA, BETA, L2 = 1.0, 1.0, 0.02
+#: The L1 term for a sample of n rows is this times the root of n; epochs make up for a small sample.
+L1_ROOT, ROW_VISITS = 0.2, 40_000
 _WORD = re.compile(r"\w+")
 _KEPT = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,18 +59,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> tupl
     often = seen > 1
     rows = [r[often[r]] for r in rows]
     z, n, w = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
-    for _ in range(EPOCHS):
+    strength = L1_ROOT * max(1, len(rows)) ** 0.5
+    for _ in range(min(30, max(5, ROW_VISITS // max(1, len(rows))))):
         for r, y, weight in zip(rows, labels, weights, strict=True):
             i = np.append(r, DIMENSIONS)  # the bias, without L1
             zi, ni = z[i], n[i]
-            l1 = np.full(len(i), L1)
+            l1 = np.full(len(i), strength)
             l1[-1] = 0
             root = np.sqrt(ni)
             wi = np.where(np.abs(zi) <= l1, 0, (np.sign(zi) * l1 - zi) / ((BETA + root) / ALPHA + L2))
             g = (1 / (1 + np.exp(-np.clip(wi.sum(), -35, 35))) - y) * weight
             z[i] = zi + g - (np.sqrt(ni + g * g) - root) / ALPHA * wi
             n[i] = ni + g * g
-    l1 = np.full(DIMENSIONS + 1, L1)
+    l1 = np.full(DIMENSIONS + 1, strength)
     l1[-1] = 0
     w = np.where(np.abs(z) <= l1, 0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     slots = np.flatnonzero(w[:-1]).astype(np.int32)
