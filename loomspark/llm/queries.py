@@ -11,6 +11,7 @@ from .byte_bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .mixing import mix_sizes
 from .ngram_join import ngram_components
+from .suffix_dedup import remove_repeats
 from .token_store import read_shards, tokenize_to_shards
 
 QUERIES: dict = {}
@@ -59,6 +60,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_components(documents(spark, sf_dir), n=4, percent=85)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,13 @@ class Scratch:
         for n in range(self._saved.get(name, -1) + 1 - keep):
             self._delete(self.path(f"{name}-{n}"))
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps whose results are saved by now; it does so when
+        the driver's JVM collects its garbage, which may be late."""
+        gc.collect()
+        with contextlib.suppress(Exception):
+            self.spark._jvm.System.gc()
+
     def remove(self) -> None:
         self._delete(self.root)
 
