@@ -11,6 +11,7 @@ from .byte_bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .mixing import mix_sizes
 from .ngram_join import ngram_components
+from .nn_descent import near_duplicates
 from .suffix_dedup import remove_repeats
 from .token_store import read_shards, tokenize_to_shards
 
@@ -113,3 +114,9 @@ ORACLE["op9_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, h AS text_sha256
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) WINDOW g AS (PARTITION BY h)
 """
+
+
+@query
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
