@@ -18,20 +18,21 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .units import cut
+
 NONE = np.int32(2**31 - 1)
 LONG = 2048
 #: Units and pieces that a worker keeps, and characters that it encodes at once.
 _KEPT, _CHUNK = 500_000, 2_000_000
 _CELLS = 4_000_000
-_UNIT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class PairTable:
@@ -195,19 +196,25 @@ class ByteBPE:
             self.units.clear()
         if len(self.starts) > _KEPT // 10:
             self.starts.clear()
-        cut = [_UNIT.split(t) if t else [] for t in texts]
+        parts = [cut(t) for t in texts]
         units: set[str] = set()
-        for c in cut:
-            units.update(c[1:])
+        for p in parts:
+            units.update(p[1:])
         self._learn(units.difference(self.units), self.units, " ")
-        self._learn({c[0] for c in cut if c}.difference(self.starts), self.starts, "")
+        self._learn({p[0] for p in parts if p}.difference(self.starts), self.starts, "")
         unit, start = self.units.__getitem__, self.starts
-        return [np.frombuffer(start[c[0]] + b"".join(map(unit, c[1:])), "<i4") if c else np.empty(0, "<i4") for c in cut]
+        return [np.frombuffer(start[p[0]] + b"".join(map(unit, p[1:])), "<i4") if p else np.empty(0, "<i4") for p in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=1)
+def _bpe(path: str, pattern: str) -> ByteBPE:
+    """A worker's encoder, kept from task to task with the units it knows."""
+    return ByteBPE(path, pattern)
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Slices of a column of texts, each of about _CHUNK characters."""
     at, size, part = 0, 0, []
@@ -221,18 +228,23 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield at, part
 
 
-def _run(path: str, pattern: str, decode: bool):
+def _run(path: str, pattern: str, decode: bool, keep_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(path, pattern)
+        bpe = _bpe(path, pattern)
         for b in batches:
             for at, texts in chunks(b.column(1)):
                 ids = bpe.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 out = [b.column(0).slice(at, len(texts)), lists]
+                names = ["id", "ids"]
                 if decode:
                     out.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, ["id", "ids", "decoded"][: len(out)])
+                    names.append("decoded")
+                if keep_text:
+                    out.append(b.column(1).slice(at, len(texts)))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
@@ -243,7 +255,9 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     return d.mapInArrow(_run(path, pattern, False), f"id {d.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded binary) of every row; decoded is made from the ids alone."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, *, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, decoded binary) of every row, and the text if asked for; decoded is made from
+    the ids alone."""
     d = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return d.mapInArrow(_run(path, pattern, True), f"id {d.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")
+    kind = d.schema["id"].dataType.simpleString()
+    return d.mapInArrow(_run(path, pattern, True, keep_text), f"id {kind}, ids array<int>, decoded binary" + ", text string" * keep_text)
