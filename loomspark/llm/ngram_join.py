@@ -1,16 +1,18 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Every text becomes its set of word n-grams (64-bit hashes). Equal sets form a class; one row of each
-   class goes on, so copies cost nothing further.
-2. A table of n-gram counts by hash bucket, over all classes, orders n-grams from rare to frequent.
-   The order is the same everywhere, which is all that prefix filtering needs to be exact; the table
-   has at most ``MOST_BUCKETS`` entries at any corpus size and is broadcast.
-3. Two sets can only reach the threshold if they share an n-gram of their prefixes, the
-   ``n - ceil(t n) + 1`` rarest. Prefix n-grams are joined, under the length filter and the positional
-   filter, and each candidate pair is verified once, after the suffix filter.
-4. Links are wanted for the components they make. So before the full join, a few leader rounds link
-   each class to at most one candidate per round, the one that shares most of its prefix. The full
-   join then leaves out pairs that the links found so far connect: no group emits all of its pairs.
+1. Every text becomes its set of word n-grams (64-bit hashes). Equal sets form a class (64 bits of the
+   set's digest), so copies cost nothing further.
+2. Two sets can only reach the threshold if they share one of the ``n - ceil(t n) + 1`` first n-grams of
+   each in some order that is the same everywhere. The order here: n-grams of a fifth of the hash space
+   (the pool) come before all others, and among them the rare come before the frequent. So only the pool
+   is counted, exactly, and n-grams of one class take their places in its prefix without moving: most
+   prefixes are filled by them, and their classes are done.
+3. The rest of the prefixes is joined under the length filter and the positional filter. Sets are made
+   again for the classes in that join alone, and each candidate pair is verified once, after the suffix
+   filter.
+4. Links are wanted for the components they make. So before the full join, leader rounds link each class
+   to at most one candidate per round, the one that shares most of its prefix. The full join then leaves
+   out pairs that the links found so far connect: no group emits all of its pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing.
 Fewer words than n make one shingle of all of them. Rows with equal text (also repeated rows) are in one
@@ -25,15 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
 
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 18, 1 << 22
 #: Leader rounds before the full join; they save pairs and change no result.
-ROUNDS = 3
+ROUNDS = 2
+#: Bits (of 2 ** 15 each) of the filter of ids whose sets are made again: at most 8 MB at any size.
+MOST_BUCKETS = 2048
+#: n-grams whose last byte is below this are the pool.
+POOL = 52
 _WORDS_KEPT = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Ranges of the hash space for the suffix filter.
@@ -69,8 +74,8 @@ class Shingler:
         return np.unique(mixed.view(np.int64))
 
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def _class(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -79,24 +84,40 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
-def _sizes(n: int):
+def _prefix_length(n: int, percent: int) -> int:
+    return n - int(_least(n, percent)) + 1
+
+
+def _rows(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(n)
         for b in batches:
-            found = [sets(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(list(map(_digest, found)), pa.binary())], ["id", "n", "digest"])
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                found = [sets(t.as_py()) for t in part.column(1)]
+                pools, sizes = [], []
+                for s in found:
+                    inside = (s & 255) < POOL
+                    pool = s[inside]
+                    sizes.append(len(pool))
+                    more = _prefix_length(len(s), percent) - len(pool) if len(s) else 0
+                    pools.append(np.concatenate([pool, s[~inside][:more]]) if more > 0 else pool)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(list(map(_class, found)), pa.int64()), pa.array(sizes, pa.int32()), _lists(pools)], ["id", "n", "cls", "inside", "pool"])
 
     return run
 
 
-def _sets(n: int):
+def _chosen_sets(n: int, filter_):
+    """Sets of the rows whose id the filter may contain."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Shingler(n)
+        sets, bits = Shingler(n), filter_.value
         for b in batches:
-            texts = b.column(1)
-            for at in range(0, len(texts), 500):
-                found = [sets(t) for t in texts.slice(at, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), _lists(found)], ["cls", "grams"])
+            at = b.column(0).to_numpy()
+            b = b.filter(pa.array(bits[at >> 3] >> (at & 7) & 1 == 1))
+            for k in range(0, len(b), 500):
+                found = [sets(t.as_py()) for t in b.column(1).slice(k, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(_class, found)), pa.int64()), _lists(found)], ["cls", "grams"])
 
     return run
 
@@ -106,27 +127,6 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def _prefixes(percent: int, counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = counts.value
-        mask = np.int64(len(freq) - 1)
-        for b in batches:
-            lists = b.column(1)
-            cls, flat = b.column(0).to_numpy(), lists.values.to_numpy()
-            ends = lists.offsets.to_numpy()
-            out = []
-            for k, c in enumerate(cls):
-                g = flat[ends[k] : ends[k + 1]]
-                n = len(g)
-                p = n - int(_least(n, percent)) + 1
-                first = g[np.lexsort((g, freq[g & mask]))[:p]]
-                out.append((first, np.full(p, c), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["h", "cls", "n", "pos"])
-
-    return run
-
-
 def _verified(percent: int):
     """Pairs whose sets reach the threshold: suffix filter, then the exact count."""
 
@@ -157,44 +157,50 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
         self.spark, self.percent = docs.sparkSession, percent
         self.scratch = s = Scratch(self.spark, "ngram-join")
-        ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        kind = ids.schema["id"].dataType.simpleString()
-        # an id of its own for each row: the id column may hold nulls and repeats
-        self.rows = s.save(ids.mapInArrow(_sizes(n), f"id {kind}, n int, digest binary"), "sizes")
-        classes = self.rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-        self.classes = s.save(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-        # texts of the classes' first rows; rows that repeat an id are told apart by the digest below
-        first = self.classes.select(F.col("id").alias("first"), "cls", "digest")
-        texts = ids.join(first, ids["id"].eqNullSafe(first["first"]))
-        self.sets = s.save(self._first_sets(texts, n), "sets")
-        n_classes = self.classes.agg(F.sum("n")).first()[0] or 0
-        buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(n_classes // 256).bit_length())))
-        counted = self.sets.select(F.explode("grams").alias("h")).groupBy((F.col("h").bitwiseAND(F.lit(buckets - 1))).cast("int").alias("k")).agg(F.count("*").alias("c"))
-        counted = s.save(counted, "counts").toArrow()
-        freq = np.zeros(buckets, np.int64)
-        freq[counted.column("k").to_numpy()] = counted.column("c").to_numpy()
-        counts = self.spark.sparkContext.broadcast(freq)
-        prefix = self.sets.mapInArrow(_prefixes(percent, counts), "h long, cls long, n int, pos int")
-        self.prefix = s.save(prefix, "prefix")
-
-    def _first_sets(self, texts: DataFrame, n: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sets = Shingler(n)
-            for b in batches:
-                for at in range(0, len(b), 500):
-                    part = b.slice(at, 500)
-                    found = [sets(t) for t in part.column(1).to_pylist()]
-                    ok = [k for k, d in enumerate(part.column(2).to_pylist()) if _digest(found[k]) == d]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ok, pa.int32())), _lists([found[k] for k in ok])], ["cls", "grams"])
-
-        made = texts.select("cls", "text", "digest").mapInArrow(run, "cls long, grams array<long>")
-        again = self.rows.where("n > 0").groupBy("id", "digest").count().where("count > 1").isEmpty()
-        return made if again else made.dropDuplicates(["cls"])
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        kind = texts.schema["id"].dataType.simpleString()
+        self.rows = s.save(texts.mapInArrow(_rows(n, percent), f"id {kind}, n int, cls long, inside int, pool array<long>"), "rows")
+        pool = self.rows.where("n > 0").select("cls", "n", "inside", F.posexplode("pool").alias("at", "h"))
+        # n-grams that more than one class has; the aggregation combines map-side, the join may be split
+        shared = pool.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h")
+        met = s.save(pool.join(shared, "h").distinct(), "shared")
+        classes = met.groupBy("h").agg(F.count("*").alias("df"))
+        order = Window.partitionBy("cls").orderBy("outside", "df", "h")
+        outside = (F.col("at") >= F.col("inside")).cast("int")
+        ranked = met.join(classes, "h").withColumn("outside", outside).withColumn("place", F.row_number().over(order))
+        ranked = ranked.withColumn("mine", F.sum(1 - F.col("outside")).over(Window.partitionBy("cls")))
+        alone = F.col("inside") - F.col("mine")  # pool n-grams of this class only: first in its order
+        pos = F.when(F.col("outside") == 1, F.col("at")).otherwise(alone + F.col("place") - 1).cast("int")
+        length = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
+        prefix = ranked.select("h", "cls", "n", pos.alias("pos")).where(F.col("pos") < length)
+        prefix = s.save(prefix, "prefix")
+        open_ = prefix.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h")
+        self.prefix = s.save(prefix.join(open_, "h", "left_semi"), "prefix")
+        self.sets = self._sets(texts, n)
+
+    def _sets(self, texts: DataFrame, n: int) -> DataFrame:
+        """(cls, grams) of the classes in the prefix join, one row of each."""
+        wanted = self.prefix.select("cls").distinct()
+        first = self.rows.select("cls", "id").join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id"))
+        first = self.scratch.save(first, "wanted")
+        slots = MOST_BUCKETS << 15
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+        bits = first.select(slot("id").alias("slot")).groupBy(F.floor(F.col("slot") / (1 << 15)).alias("k")).agg(F.bitmap_construct_agg((F.col("slot") % (1 << 15)).cast("long")).alias("bits"))
+        bitmap = np.zeros(slots // 8, np.uint8)
+        for row in bits.toArrow().to_pylist():
+            bitmap[row["k"] << 12 : (row["k"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
+        sent = self.spark.sparkContext.broadcast(bitmap)
+        made = texts.select(slot("id").alias("slot"), "text").mapInArrow(_chosen_sets(n, sent), "cls long, grams array<long>")
+        # a filter lets a few others through; equal sets of repeated ids leave one
+        return self.scratch.save(made.join(first.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams")), "sets")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, linked) for each pair (a, b), written."""
-        left = self.sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
-        right = self.sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
+        pairs = self.scratch.save(pairs, f"{name}-pairs")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        sets = self.sets.join(needed, "cls", "left_semi")
+        left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
+        right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return self.scratch.save(both.mapInArrow(_verified(self.percent), "a long, b long, linked boolean"), name)
 
@@ -249,7 +255,7 @@ class _Join:
                 continue
             links = found if links is None else links.unionByName(found)
             roots = components(links, s)
-        new = self.verify(s.save(self.rest(roots, tested), "pairs"), "verified-rest").where("linked").select("a", "b")
+        new = self.verify(self.rest(roots, tested), "verified-rest").where("linked").select("a", "b")
         if not new.isEmpty():
             roots = components(new if links is None else links.unionByName(new), s)
         return roots
@@ -262,11 +268,16 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     """
     join = _Join(docs, n, percent, id_col, text_col)
     roots = join.roots()
-    classes = join._with_root(join.classes, roots)
-    named = classes.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = classes.join(named, "root").select("digest", "component_id")
-    full = join.rows.where("n > 0").join(classes, "digest").select("id", F.col("n").alias("n_shingles"), "component_id")
-    empty = join.rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    rows = join.rows.select("id", "n", "cls")
+    if roots is None:
+        named = rows.where("n > 0").groupBy(F.col("cls").alias("root")).agg(F.min("id").alias("component_id"))
+        rooted = rows.withColumn("root", F.col("cls"))
+    else:
+        rooted = join.scratch.save(join._with_root(rows, roots), "rooted")
+        named = rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
+    out = rooted.where("n > 0").join(named, "root")
+    full = out.select("id", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(empty)
 
 
