@@ -21,11 +21,11 @@ don't matter. An empty table makes a table of no documents.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .units import cut
 
 MAGIC = b"LOOMSST1"
 BLOCK = 64 * 1024
 BITS_PER_KEY, PROBES = 10, 7
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 INDEX = struct.Struct("<QQQI")
-_KEPT = 500_000
+#: Units that a worker keeps.
+_KEPT = 1_000_000
 
 
 # keys and varints
@@ -212,8 +214,6 @@ class Encoder:
     units are encoded once and kept in a bounded cache; any other tokenizer gets the texts whole.
     """
 
-    UNIT = re.compile(r"(?<=\S) (?=\S)")
-
     def __init__(self, path: str):
         import json
         import os
@@ -229,6 +229,24 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
+        # units go to the library many at a time, parted by line ends, which are a token of their own there
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.by_unit else []
+
+    def _many(self, units: list[str]) -> list[bytes]:
+        """Ids of each of the units (with the space that leads them, if any)."""
+        whole = {u for u in units if "\n" in u} if len(self.line) == 1 else set(units)
+        rest = [u for u in units if u not in whole]
+        out = dict(zip(whole, self._ids(list(whole)), strict=True))
+        parts = [rest[k : k + 500] for k in range(0, len(rest), 500)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            ends = [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)]
+            for u, end in zip(part, ends, strict=True):
+                out[u] = raw[4 * at : 4 * end]
+                at = end + 1
+        return [out[u] for u in units]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -240,15 +258,22 @@ class Encoder:
             units.clear()
         if len(starts) > _KEPT // 10:
             starts.clear()
-        cut = [self.UNIT.split(t) if t else [] for t in texts]
+        parts = [cut(t) for t in texts]
         new: set[str] = set()
-        for c in cut:
-            new.update(c[1:])
-        for known, lead, fresh in ((units, " ", new.difference(units)), (starts, "", {c[0] for c in cut if c}.difference(starts))):
-            fresh = list(fresh)
-            known.update(zip(fresh, self._ids([lead + u for u in fresh]), strict=True))
+        for p in parts:
+            new.update(p[1:])
+        fresh = list(new.difference(units))
+        units.update(zip(fresh, self._many([" " + u for u in fresh]), strict=True))
+        fresh = list({p[0] for p in parts if p}.difference(starts))
+        starts.update(zip(fresh, self._many(fresh), strict=True))
         unit = units.__getitem__
-        return [np.frombuffer(starts[c[0]] + b"".join(map(unit, c[1:])), "<u4") if c else np.empty(0, "<u4") for c in cut]
+        return [np.frombuffer(starts[p[0]] + b"".join(map(unit, p[1:])), "<u4") if p else np.empty(0, "<u4") for p in parts]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task with the units it knows."""
+    return Encoder(path)
 
 
 # the table
@@ -276,7 +301,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         for b in batches:
             for at, texts in _parts(b.column(1)):
                 if writer is None:
-                    encode = Encoder(tokenizer)
+                    encode = encoder(tokenizer)
                     width = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
                     fs, base = _open(folder)
                     fs.create_dir(base, recursive=True)
