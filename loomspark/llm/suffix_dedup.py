@@ -4,10 +4,10 @@ A byte is removed if a string of ``LENGTH`` bytes covers it that also starts ear
 smaller id, or at an earlier place of the same id.
 
 1. Anchors bring equal strings together. Of the ``K``-byte strings in each window of ``LENGTH`` bytes
-   the one with the least hash is an anchor, so equal windows have equal anchors at equal places. Only
-   anchors whose hash occurs twice go on, about one in 35 bytes before that.
-2. Each of their places has a segment: the bytes that windows over it can reach. Equal segments are
-   brought down to their first place; all others of them are covered.
+   the one with the least hash is its anchor, so equal windows have equal anchors at equal places. The
+   windows of one anchor make a segment. Only anchors whose hash occurs twice go on.
+2. Equal segments are brought down to their first place, by two hashes of 64 bits each; all others of
+   them are covered. So copies never meet in one task, and their bytes don't move.
 3. Segments that share an anchor but differ meet in a shard, and shards are bounded: whole anchor groups
    up to ``SHARD`` bytes. The shard's suffix array is made by induced sorting, and permuted common
    prefixes of ``LENGTH`` or more group its equal windows. All but the first of a group are covered.
@@ -24,7 +24,6 @@ whatever their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +35,10 @@ from .scratch import Scratch
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, K = 100, 32
-SHARD, CROWD = 2_000_000, 2048
+SHARD, CROWD = 1_000_000, 2048
 _BATCH = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPANS = "o long, th long, s long, e long"
+_SPANS = "o long, th int, s long, e long"
 
 
 def _hashes(raw: bytes) -> np.ndarray:
@@ -63,12 +62,12 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(down[:n], up[w - 1 : w - 1 + n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash) of each anchor."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, from, to, hash, segment's hash) of each anchor."""
     raw = b"".join(texts)
     w = LENGTH - K + 1
     if len(raw) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 5
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     h = _hashes(raw)
@@ -77,8 +76,18 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.arange(len(least)) + LENGTH <= ends[text[: len(least)]]
     least[~inside] = 0
     edge = np.zeros(w - 1, np.uint64)
-    chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), w, np.maximum) == h)
-    return text[chosen], chosen - (ends - sizes)[text[chosen]], h[chosen].view(np.int64)
+    padded = np.concatenate([edge, least, edge])
+    at = np.flatnonzero(_sliding(padded, w, np.maximum) == h)
+    # windows from at - w + 1 to at whose least hash is this: a run of them
+    mine = np.lib.stride_tricks.sliding_window_view(padded, w)[at] == h[at][:, None]
+    a = at - w + 1 + mine.argmax(1)
+    e = at - mine[:, ::-1].argmax(1) + LENGTH
+    sh = ((at - a) * 1024 + (e - a)).astype(np.uint64)
+    for k in range(0, 2 * LENGTH - K, K):
+        sh = (sh ^ h[np.minimum(a + k, e - K)]) * _ODD
+        sh ^= sh >> np.uint64(29)
+    start = (ends - sizes)[text[at]]
+    return text[at], a - start, e - start, h[at].view(np.int64), sh.view(np.int64)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -97,31 +106,22 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, texts in _batches(batches, 2):
-        text, at, h = anchors(texts)
+        text, a, e, h, sh = anchors(texts)
         ends = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(h))], ["o", "th", "at", "h"])
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (a.astype(np.int32), e.astype(np.int32), h, sh)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["o", "th", "s", "e", "h", "sh"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(o, th, h, sh, s, e, segment): the bytes once a task for equal segments."""
-    seen: set[tuple[int, int]] = set()
+    """(o, th, raw, found: h, sh, s, e, kinds) -> the bytes of each segment found."""
     for b, texts in _batches(batches, 2):
-        out: list[tuple] = []
-        for o, th, raw, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b.column(3).to_pylist(), strict=True):
-            for a in found:
-                at, h = a["at"], a["h"]
-                s, e = max(0, at - LENGTH + K), min(len(raw), at + LENGTH)
-                segment = raw[s:e]
-                sh = int.from_bytes(hashlib.blake2b(segment, digest_size=8, salt=(at - s).to_bytes(2, "little")).digest(), "little", signed=True)
-                new = (h, sh) not in seen
-                if new:
-                    seen.add((h, sh))
-                out.append((o, th, h, sh, s, e, segment if new else None))
-        if len(seen) > 300_000:
-            seen.clear()
-        if out:
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], ["o", "th", "h", "sh", "s", "e", "segment"])
+        lists = b.column(3)
+        flat, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+        h, sh, s, e, kinds = (flat.field(k) for k in range(5))
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        parts = [texts[r][x:y] for r, x, y in zip(row.tolist(), s.to_pylist(), e.to_pylist(), strict=True)]
+        row = pa.array(row)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), h, sh, s.cast(pa.int64()), kinds, pa.array(parts, pa.binary())], ["o", "th", "h", "sh", "s", "kinds", "segment"])
 
 
 def covered(segments: list[bytes], o: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         o, s, th = (np.array([r[k] for r in held], np.int64) for k in (2, 4, 3))
         k, a, b = covered([r[5] for r in held], o, s)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (o[k], th[k], s[k] + a, s[k] + b)], ["o", "th", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (o[k], th[k].astype(np.int32), s[k] + a, s[k] + b)], ["o", "th", "s", "e"])
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -179,55 +179,48 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     for b, texts in _batches(batches, 1):
+        lists = b.column(2)
+        flat, ends = lists.flatten(), np.cumsum([0, *lists.fill_null([]).value_lengths().to_pylist()])
+        froms, tos = (flat.field(k).to_numpy() for k in range(2))
         spans, kept = [], []
-        for raw, found in zip(texts, b.column(2).to_pylist(), strict=True):
-            runs: list[list[int]] = []
-            for x in sorted((f["s"], f["e"]) for f in found or ()):
-                if runs and x[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], x[1])
-                else:
-                    runs.append(list(x))
-            spans.append([{"s": s, "e": e} for s, e in runs])
-            edges = [0, *(x for r in runs for x in r), len(raw)]
-            kept.append(b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)) if runs else raw)
-        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        for k, raw in enumerate(texts):
+            s, e = froms[ends[k] : ends[k + 1]], tos[ends[k] : ends[k + 1]]
+            order = np.argsort(s, kind="stable")
+            s, far = s[order], np.maximum.accumulate(e[order]) if len(s) else e
+            first = np.flatnonzero(np.concatenate([[True], s[1:] > far[:-1]])) if len(s) else np.empty(0, int)
+            s, e = s[first].tolist(), far[np.append(first[1:] - 1, len(far) - 1)].tolist() if len(first) else []
+            spans.append([{"s": x, "e": y} for x, y in zip(s, e, strict=True)])
+            kept.append(b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)], strict=True)) if s else raw)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, spans array<struct<s, e>> (maximal removed runs), kept binary (the bytes left)."""
-    scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("raw"))
-    texts = texts.select("id", "raw", F.coalesce("id", F.lit(-(2**63))).alias("o"), F.xxhash64("raw").alias("th"))
-
-    found = texts.where(F.octet_length("raw") >= LENGTH).select("o", "th", "raw").mapInArrow(_anchor_rows, "o long, th long, at array<int>, h array<long>")
-    found = scratch.save(found, "anchors")
-    flat = found.select("o", "th", F.inline(F.arrays_zip("at", "h")))
-    twice = flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = flat.join(twice, "h").groupBy("o", "th").agg(F.collect_set(F.struct("at", "h")).alias("found"))
-    shared = scratch.save(shared, "shared")
+def _shared(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Places (o, th, h, sh, s, e) of the segments whose anchor occurs more than once."""
+    found = texts.where(F.octet_length("raw") >= LENGTH).select("o", "th", "raw")
+    found = scratch.save(found.mapInArrow(_anchor_rows, "o long, th int, s array<int>, e array<int>, h array<long>, sh array<long>"), "anchors")
+    twice = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = scratch.save(twice, "twice")
     scratch.release()
-    scratch.drop("anchors", keep=0)
+    flat = found.select("o", "th", F.inline(F.arrays_zip("h", "sh", "s", "e")))
+    return scratch.save(flat.join(twice, "h"), "places")
 
-    places = texts.select("o", "th", "raw").join(shared, ["o", "th"]).select("o", "th", "raw", "found")
-    # rows that repeat id and text give the same places again; they fall together below
-    places = scratch.save(places.mapInArrow(_segments, "o long, th long, h long, sh long, s long, e long, segment binary"), "places")
-    scratch.release()
-    firsts = places.groupBy("h", "sh").agg(F.min(F.struct("o", "s", "th")).alias("first"), F.count("*").alias("n"))
-    firsts = scratch.save(firsts, "firsts")
-    many = firsts.where("n > 1").select("h", "sh", F.col("first.o").alias("fo"), F.col("first.s").alias("fs"))
-    later = (F.col("o") > F.col("fo")) | ((F.col("o") == F.col("fo")) & (F.col("s") > F.col("fs")))
-    copies = places.select("o", "th", "h", "sh", "s", "e").join(many, ["h", "sh"]).where(later & (F.col("e") - F.col("s") >= LENGTH)).select("o", "th", "s", "e")
 
-    kinds = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    differ = firsts.join(kinds, "h").select("h", "sh", "first.o", "first.th", "first.s", "kinds")
-    differ = places.where("segment is not null").select("h", "sh", "segment").join(differ, ["h", "sh"])
-    differ = scratch.save(differ.where(F.octet_length("segment") >= LENGTH), "differ")
-    some = differ.where(F.col("kinds") <= CROWD).select("h", "sh", "o", "th", "s", "segment")
-    arrays = some.repartition("h").sortWithinPartitions("h", "sh").mapInArrow(_shards, _SPANS)
+def _later() -> F.Column:
+    return (F.col("o") > F.col("fo")) | ((F.col("o") == F.col("fo")) & (F.col("s") > F.col("fs")))
+
 
+def _differing(texts: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row with its bytes for each of the different segments of an anchor that has several."""
+    kinds = firsts.groupBy("h").agg(F.count("*").cast("int").alias("kinds")).where("kinds > 1")
+    differ = firsts.join(kinds, "h").groupBy("first.o", "first.th").agg(F.collect_list(F.struct("h", "sh", "first.s", "first.e", "kinds")).alias("found"))
+    rows = texts.select("o", "th", "raw").join(differ, ["o", "th"]).select("o", "th", "raw", "found")
+    # rows that repeat id and text give the same segments again; they fall together in the shards
+    return scratch.save(rows.mapInArrow(_segments, "o long, th int, h long, sh long, s long, kinds int, segment binary"), "differ")
+
+
+def _crowded(differ: DataFrame, scratch: Scratch) -> DataFrame:
     crowd = differ.where(F.col("kinds") > CROWD)
     windows = crowd.select("o", "th", "s", "segment", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - LENGTH)).alias("k"))
     windows = windows.select("o", "th", (F.col("s") + F.col("k")).alias("s"), F.expr(f"substring(segment, k + 1, {LENGTH})").alias("w"))
@@ -235,9 +228,35 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     windows = scratch.save(windows, "windows")
     least = windows.groupBy("a", "b").agg(F.min(F.struct("o", "s")).alias("first"), F.count("*").alias("n")).where("n > 1")
     least = least.select("a", "b", F.col("first.o").alias("fo"), F.col("first.s").alias("fs"))
-    single = windows.join(least, ["a", "b"]).where(later).select("o", "th", "s", (F.col("s") + LENGTH).alias("e"))
+    return windows.join(least, ["a", "b"]).where(_later()).select("o", "th", "s", (F.col("s") + LENGTH).alias("e"))
+
 
-    spans = copies.unionByName(arrays).unionByName(single)
-    spans = scratch.save(spans.groupBy("o", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+def _spans(texts: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """(o, th, spans) of the rows with covered bytes."""
+    firsts = scratch.save(places.groupBy("h", "sh").agg(F.min(F.struct("o", "s", "th", "e")).alias("first"), F.count("*").alias("n")), "firsts")
+    differ = _differing(texts, firsts, scratch)
+    scratch.release()
+    some = differ.where(F.col("kinds") <= CROWD).select("h", "sh", "o", "th", "s", "segment")
+    arrays = scratch.save(some.repartition("h").sortWithinPartitions("h", "sh").mapInArrow(_shards, _SPANS), "arrays")
+    crowded = _crowded(differ, scratch)
+    many = firsts.where("n > 1").select("h", "sh", F.col("first.o").alias("fo"), F.col("first.s").alias("fs"))
+    copies = places.join(many, ["h", "sh"]).where(_later()).select("o", "th", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    spans = copies.unionByName(arrays).unionByName(crowded)
+    return scratch.save(spans.groupBy("o", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_bytes, spans array<struct<s, e>> (maximal removed runs), kept binary (the bytes left)."""
+    scratch = Scratch(docs.sparkSession, "suffix-dedup")
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("raw"))
+    texts = texts.select("id", "raw", F.coalesce("id", F.lit(-(2**63))).alias("o"), F.hash("raw").alias("th"))
+
+    places = _shared(texts, scratch)
+    scratch.drop("anchors", keep=0)
+    scratch.release()
+    spans = _spans(texts, places, scratch)
+    for name in ("places", "firsts", "differ", "arrays", "windows"):
+        scratch.drop(name, keep=0)
     scratch.release()
     return texts.join(spans, ["o", "th"], "left").select("id", "raw", "spans").mapInArrow(_cut, "id long, n_bytes long, spans array<struct<s: long, e: long>>, kept binary")
