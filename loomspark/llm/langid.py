@@ -161,7 +161,7 @@ def train(docs: DataFrame, use: Column, *, id_col: str = "doc_id", text_col: str
     # rows that repeat an id count once
     rows = d.join(s, d["id"].eqNullSafe(s["of"]) & (d["lang"] == s["as"])).groupBy("rank", "lang").agg(F.min("text").alias("text"))
     model = rows.coalesce(1).mapInArrow(_fit, "model binary").collect()
-    return pickle.loads(model[0]["model"])
+    return pickle.loads(model[0]["model"]) if model else fit([], [])
 
 
 def _predict(model):

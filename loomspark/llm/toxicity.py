@@ -114,6 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc
     chosen = texts.join(F.broadcast(sample), "id").select("rank", "label", "weight", "text")
     rows = chosen.mapInArrow(_featurize, "rank string, label int, weight double, slots array<int>").dropDuplicates(["rank"])
     model = rows.coalesce(1).mapInArrow(_fit, "slot int, w double").toArrow()
+    if not len(model):
+        return None
     slot, w = model.column("slot").to_numpy(), model.column("w").to_numpy()
     return slot[slot >= 0], w[slot >= 0], float(w[slot < 0][0])
 
