@@ -3,13 +3,14 @@
 1. Every text becomes its set of word n-grams (64-bit hashes). Equal sets form a class (64 bits of the
    set's digest), so copies cost nothing further.
 2. Two sets can only reach the threshold if they share one of the ``n - ceil(t n) + 1`` first n-grams of
-   each in some order that is the same everywhere. The order here: n-grams of a fifth of the hash space
+   each in some order that is the same everywhere. The order here: n-grams of a part of the hash space
    (the pool) come before all others, and among them the rare come before the frequent. So only the pool
    is counted, exactly, and n-grams of one class take their places in its prefix without moving: most
    prefixes are filled by them, and their classes are done.
-3. The rest of the prefixes is joined under the length filter and the positional filter. Sets are made
-   again for the classes in that join alone, and each candidate pair is verified once, after the suffix
-   filter.
+3. Classes with an n-gram in the rest that others have there are open. Their sets are made again, and
+   among open classes all n-grams are counted and ordered from rare to frequent. Prefixes in this order
+   are joined under the length filter and the positional filter, and each candidate pair is verified once,
+   after the suffix filter.
 4. Links are wanted for the components they make. So before the full join, leader rounds link each class
    to at most one candidate per round, the one that shares most of its prefix. The full join then leaves
    out pairs that the links found so far connect: no group emits all of its pairs.
@@ -37,6 +38,8 @@ from .scratch import Scratch
 ROUNDS = 2
 #: Bits (of 2 ** 15 each) of the filter of ids whose sets are made again: at most 8 MB at any size.
 MOST_BUCKETS = 2048
+#: Parts of a sketch, and rows of an n-gram's posting list that meet in one task.
+PARTS, MEET = 512, 1024
 #: n-grams whose last byte is below this are the pool.
 POOL = 52
 _WORDS_KEPT = 400_000
@@ -127,6 +130,58 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, grams) -> (cls, sketch): how many n-grams fall into each of PARTS parts of the hash space, 255 at most."""
+    for b in batches:
+        flat, ends = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
+        row = np.repeat(np.arange(len(b)), np.diff(ends))
+        flat = flat[ends[0] : ends[-1]]
+        counts = np.bincount(row * PARTS + (flat >> 8 & PARTS - 1), minlength=len(b) * PARTS).reshape(-1, PARTS)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8)], pa.binary())], ["cls", "sketch"])
+
+
+def _postings(percent: int):
+    """Rows (h, c, d, part, cls, n, pos, rank, root, sketch) in order of (h, c, d) -> pairs (a, b) of one
+    n-gram that pass all filters: length, first place, positional, and the suffix filter by sketch."""
+
+    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
+        rows.sort(key=lambda r: r[5])
+        part, cls, n, pos, rank, root = (np.array([r[k] for r in rows], np.int64) for k in range(3, 9))
+        sketch = np.frombuffer(b"".join(r[9] for r in rows), np.uint8).astype(np.int16).reshape(len(rows), -1)
+        across = rows[0][1] != rows[0][2]
+        end = np.searchsorted(n, n * 100 // percent, side="right")
+        found = []
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, end[i])
+            least = -(-percent * (n[i] + n[j]) // (100 + percent))
+            ok = (root[j] != root[i]) & (pos[i] <= n[i] - least) & (pos[j] <= n[j] - least)
+            ok &= np.minimum(rank[i], rank[j]) + 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= least
+            if across:
+                ok &= part[j] != part[i]
+            j, least = j[ok], least[ok]
+            j = j[np.abs(sketch[j] - sketch[i]).sum(1) <= n[i] + n[j] - 2 * least]
+            if len(j):
+                found.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (made := pairs(held)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b"])
+            held.clear()
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield from done()
+                held.append(row)
+        yield from done()
+
+    return run
+
+
 def _verified(percent: int):
     """Pairs whose sets reach the threshold: suffix filter, then the exact count."""
 
@@ -161,26 +216,41 @@ class _Join:
         kind = texts.schema["id"].dataType.simpleString()
         self.rows = s.save(texts.mapInArrow(_rows(n, percent), f"id {kind}, n int, cls long, inside int, pool array<long>"), "rows")
         pool = self.rows.where("n > 0").select("cls", "n", "inside", F.posexplode("pool").alias("at", "h"))
-        # n-grams that more than one class has; the aggregation combines map-side, the join may be split
-        shared = pool.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h")
+        # classes that may be linked at all; in what follows they alone count, with all their n-grams
+        self.sets = self._sets(texts, n, self._prefixes(pool).select("cls").distinct())
+        every = self.sets.select("cls", F.size("grams").alias("n"), F.explode("grams").alias("h"))
+        self.prefix = self._prefixes(every.withColumn("inside", F.col("n")).withColumn("at", F.lit(0)))
+
+    def _prefixes(self, pool: DataFrame) -> DataFrame:
+        """(h, cls, n, pos, rank) of the n-grams in prefixes that more than one class has there.
+
+        pool: (cls, n, inside, at, h), where n-grams with at >= inside come last, in that order."""
+        s, percent = self.scratch, self.percent
+        # the join of n-grams that more than one class has may be split
+        shared = s.save(self._several(pool), "several")
+        s.release()
         met = s.save(pool.join(shared, "h").distinct(), "shared")
+        s.release()
         classes = met.groupBy("h").agg(F.count("*").alias("df"))
-        order = Window.partitionBy("cls").orderBy("outside", "df", "h")
         outside = (F.col("at") >= F.col("inside")).cast("int")
+        order = Window.partitionBy("cls").orderBy("outside", "df", "h")
         ranked = met.join(classes, "h").withColumn("outside", outside).withColumn("place", F.row_number().over(order))
         ranked = ranked.withColumn("mine", F.sum(1 - F.col("outside")).over(Window.partitionBy("cls")))
-        alone = F.col("inside") - F.col("mine")  # pool n-grams of this class only: first in its order
+        alone = F.col("inside") - F.col("mine")  # those of this class only are first in its order
         pos = F.when(F.col("outside") == 1, F.col("at")).otherwise(alone + F.col("place") - 1).cast("int")
+        # how many of the n-grams before this one other classes may have
+        rank = F.when(F.col("outside") == 1, F.col("mine") + F.col("at") - F.col("inside")).otherwise(F.col("place") - 1).cast("int")
         length = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
-        prefix = ranked.select("h", "cls", "n", pos.alias("pos")).where(F.col("pos") < length)
-        prefix = s.save(prefix, "prefix")
-        open_ = prefix.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h")
-        self.prefix = s.save(prefix.join(open_, "h", "left_semi"), "prefix")
-        self.sets = self._sets(texts, n)
-
-    def _sets(self, texts: DataFrame, n: int) -> DataFrame:
-        """(cls, grams) of the classes in the prefix join, one row of each."""
-        wanted = self.prefix.select("cls").distinct()
+        prefix = s.save(ranked.select("h", "cls", "n", pos.alias("pos"), rank.alias("rank")).where(F.col("pos") < length), "prefix")
+        return s.save(prefix.join(self._several(prefix), "h", "left_semi"), "prefix")
+
+    @staticmethod
+    def _several(df: DataFrame) -> DataFrame:
+        """The n-grams of more than one class. The aggregation combines map-side."""
+        return df.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h")
+
+    def _sets(self, texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+        """(cls, grams) of the wanted classes, one row of each."""
         first = self.rows.select("cls", "id").join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id"))
         first = self.scratch.save(first, "wanted")
         slots = MOST_BUCKETS << 15
@@ -207,20 +277,22 @@ class _Join:
     def _length(self, n, m):
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
-    def _positional(self, n, pos, m, at):
-        """An n-gram at these places of both orders leaves room for enough overlap."""
-        most = F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1)
-        return most * (100 + self.percent) >= (n + m) * self.percent
+    def _positional(self, n, pos, rank, m, at, place):
+        """An n-gram at these places of both orders may be the first that a linked pair shares: no more are
+        before it in either than may be missing, and what comes after leaves room for enough overlap."""
+        least = F.ceil((n + m) * self.percent / float(100 + self.percent))
+        most = F.least(rank, place) + 1 + F.least(n - pos - 1, m - at - 1)
+        return (pos <= n - least) & (at <= m - least) & (most >= least)
 
     def leaders(self, roots: DataFrame | None, k: int) -> DataFrame:
         """At most one candidate pair (a, b) for each class, across components only."""
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / self.percent)) + 0.5 * (k % 2))
         p = self._with_root(self.prefix, roots).withColumn("band", band)
-        end = lambda f, c: f(F.struct("root", "n", "cls", "pos")).alias(c)
+        end = lambda f, c: f(F.struct("root", "n", "cls", "pos", "rank")).alias(c)
         ends = p.groupBy("h", "band").agg(end(F.min, "low"), end(F.max, "high"))
         ends = ends.where(F.col("low.root") != F.col("high.root"))
         met = p.join(ends, ["h", "band"]).withColumn("to", F.when(F.col("root") == F.col("low.root"), F.col("high")).otherwise(F.col("low")))
-        met = met.where(self._length(F.col("n"), F.col("to.n")) & self._positional(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos")))
+        met = met.where(self._length(F.col("n"), F.col("to.n")) & self._positional(F.col("n"), F.col("pos"), F.col("rank"), F.col("to.n"), F.col("to.pos"), F.col("to.rank")))
         shared = met.groupBy("cls", F.col("to.cls").alias("other")).agg(F.count("*").alias("shared"))
         best = shared.groupBy("cls").agg(F.max(F.struct("shared", "other")).alias("best")).select("cls", F.col("best.other").alias("other"))
         return best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
@@ -235,10 +307,15 @@ class _Join:
         """All pairs that the filters leave and that no links connect yet, without those tested."""
         p = self._with_root(self.prefix, roots)
         ends = p.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-        p = self.scratch.save(p.join(ends, "h", "left_semi"), "open")
-        q = p.select("h", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "pos", "root")))
-        met = p.join(q, (p["h"] == q["h"]) & (p["cls"] < q["cls2"]) & (p["root"] != q["root2"]) & self._length(F.col("n"), F.col("n2")) & self._positional(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
-        pairs = met.select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
+        p = p.join(ends, "h", "left_semi").join(self.sets.mapInArrow(_sketches, "cls long, sketch binary"), "cls")
+        p = self.scratch.save(p, "open")
+        # a long list is dealt to blocks, two of which meet in a task; a short one is one block
+        blocks = p.groupBy("h").agg(F.ceil(F.count("*") / MEET).cast("int").alias("blocks"))
+        part = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+        dealt = p.join(blocks, "h").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("h", F.least("part", "other").alias("c"), F.greatest("part", "other").alias("d"), "part", "cls", "n", "pos", "rank", "root", "sketch")
+        dealt = dealt.repartition("h", "c", "d").sortWithinPartitions("h", "c", "d")
+        pairs = dealt.mapInArrow(_postings(self.percent), "a long, b long").distinct()
         return pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
     def roots(self) -> DataFrame | None:
