@@ -514,3 +514,70 @@ def m_sentence_chunks(spark, d):
 def m_dialog_ids(spark, d):
     p = V.pairs(folded(spark, d), "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "human", "gpt"))).alias("pairs"))
     return p.select("conv_id", Q.dialog_ids(F.col("pairs")).alias("x")).select("conv_id", "x.ids", "x.labels")
+
+
+# Preference pairs, flags, stop rules and further windows
+
+
+@query(r"""
+WITH h AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN trim(text, E' \t\n\r') END) AS q, max(CASE WHEN turn = 1 THEN trim(text, E' \t\n\r') END) AS c, max(CASE WHEN turn = 3 THEN trim(text, E' \t\n\r') END) AS r FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN coalesce(q, '') = '' THEN 'empty_question' WHEN coalesce(c, '') = '' THEN 'empty_chosen' WHEN coalesce(r, '') = '' THEN 'empty_rejected' WHEN c = r THEN 'identical_pair'
+  WHEN length(r) < greatest(24, floor(length(c) * CAST(0.2 AS DOUBLE))) THEN 'rejected_too_short' END AS reason FROM h""")
+def f_dpo_reasons(spark, d):
+    at = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(at(0).alias("q"), at(1).alias("c"), at(3).alias("r"))
+    return t.select("conv_id", V.dpo_reason(F.col("q"), F.col("c"), F.col("r")).alias("reason"))
+
+
+@query("""
+SELECT flag, count(*) AS "rows" FROM (SELECT unnest([CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality IS NULL THEN 'unlabelled' END, CASE WHEN n_chars < 200 THEN 'short' END]) AS flag
+FROM documents LEFT JOIN labels USING (doc_id)) WHERE flag IS NOT NULL GROUP BY flag""")
+def a_count_flags(spark, d):
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    flags = F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality").isNull(), "unlabelled"), F.when(F.col("n_chars") < 200, "short")))
+    return A.count_flags(j.select(flags.alias("flags")), "flags")
+
+
+@query("""
+SELECT user_id, event_id, CASE WHEN invalid > 0.8 THEN 'invalid_rate' WHEN count(*) OVER t10 = 10 AND avg(mean) OVER t10 < -0.5 THEN 'low_reward_10' WHEN count(*) OVER t5 = 5 AND avg(zero) OVER t5 >= 1.0 THEN 'zero_std_5' END AS stop
+FROM (SELECT user_id, event_id, CAST(event_id % 10 AS DOUBLE) / 10 AS invalid, CASE WHEN value < 10 THEN CAST(-1 AS DOUBLE) ELSE 0 END AS mean, CASE WHEN value > 5 THEN CAST(1 AS DOUBLE) ELSE 0 END AS zero FROM events)
+WINDOW t10 AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), t5 AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+def w_early_stop(spark, d):
+    e = table(spark, d, "events").select(
+        "user_id", "event_id", ((F.col("event_id") % 10).cast("double") / 10).alias("invalid"), F.when(F.col("value") < 10, -1.0).otherwise(0.0).alias("mean"), F.when(F.col("value") > 5, 1.0).otherwise(0.0).alias("zero")
+    )
+    return G.early_stop(e, "user_id", "event_id", zero="zero", invalid="invalid", mean="mean").select("user_id", "event_id", "stop")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT event_type AS bucket, user_id FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY user_id) - 1 AS k, count(*) OVER (PARTITION BY bucket) AS n FROM p),
+b AS (SELECT bucket, user_id, CAST(floor(k / 4) AS BIGINT) AS bundle FROM n WHERE (floor(k / 4) + 1) * 4 <= n)
+SELECT bucket, bundle, event_id % 3 AS generation, round(sum(value), 4) AS total FROM events JOIN b ON b.bucket = event_type AND b.user_id = events.user_id GROUP BY ALL""")
+def w_bundles(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("bucket"), "user_id", (F.col("event_id") % 3).alias("generation"), "value")
+    return A.bundles(e, "bucket", "user_id", "generation", "value", 4).select("bucket", "bundle", "generation", F.round("total", 4).alias("total"))
+
+
+@query("""
+SELECT event_type AS name, round(avg(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END), 6) AS mean, count(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END) AS n FROM events GROUP BY event_type""")
+def a_metric_means(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("name"), F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return A.metric_means(e).withColumn("mean", F.round("mean", 6))
+
+
+@query("""
+SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5('2:' || doc_id)) <= 20 THEN 'pilot' ELSE 'extension' END AS phase FROM documents""")
+def w_phases(spark, d):
+    return L.phases(table(spark, d, "documents").select("doc_id", "lang"), 20, ["lang"], L.order_key(2, F.col("doc_id"))).select("doc_id", "phase")
+
+
+@query("""
+SELECT 'r' || c_custkey AS record_id, CASE WHEN c_acctbal < 0 THEN 'target_leakage_winner' ELSE '' END AS leak, c_acctbal < 0 AND c_custkey % 2 = 0 AS clean,
+  CASE WHEN c_acctbal < 0 THEN 'B' WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'C' END AS tier FROM customer""")
+def f_leakage_and_tier(spark, d):
+    c = table(spark, d, "customer")
+    winner = F.concat(F.lit("Program: add("), F.col("c_custkey").cast("string"), F.lit(", 1)"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise("\nAnswer: 2"))
+    low = F.col("c_acctbal") < 0
+    prompt = F.concat(F.lit("Question?\n"), F.when(low, winner).otherwise(""))
+    flags = F.when(low, F.array(F.lit("question_semantic_risk"))).when(F.col("c_custkey") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("program_parse_or_execute_error:x")))
+    return c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("record_id"), C.leakage(prompt, winner=winner).alias("leak"), (low & C.clean_rollout(winner)).alias("clean"), C.tier(flags).alias("tier"))
