@@ -12,8 +12,9 @@
    are joined under the length filter and the positional filter, and each candidate pair is verified once,
    after the suffix filter.
 4. Links are wanted for the components they make. So before the full join, leader rounds link each class
-   to at most one candidate per round, the one that shares most of its prefix. The full join then leaves
-   out pairs that the links found so far connect: no group emits all of its pairs.
+   to at most one candidate per round, the one that shares most of its prefix, and one round verifies a
+   forest of each n-gram's pairs. The full join then leaves out pairs that the links found so far
+   connect: no group emits all of its pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing.
 Fewer words than n make one shingle of all of them. Rows with equal text (also repeated rows) are in one
@@ -140,9 +141,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8)], pa.binary())], ["cls", "sketch"])
 
 
-def _postings(percent: int):
+def _postings(percent: int, forest: bool):
     """Rows (h, c, d, part, cls, n, pos, rank, root, sketch) in order of (h, c, d) -> pairs (a, b) of one
-    n-gram that pass all filters: length, first place, positional, and the suffix filter by sketch."""
+    n-gram that pass all filters: length, first place, positional, and the suffix filter by sketch.
+
+    forest: only pairs that connect what the n-gram's pairs so far don't, fewer than it has rows."""
 
     def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
         rows.sort(key=lambda r: r[5])
@@ -160,6 +163,13 @@ def _postings(percent: int):
                 ok &= part[j] != part[i]
             j, least = j[ok], least[ok]
             j = j[np.abs(sketch[j] - sketch[i]).sum(1) <= n[i] + n[j] - 2 * least]
+            if forest:
+                open_, j = j, []
+                while len(open_):
+                    j.append(open_[0])
+                    root[root == root[open_[0]]] = root[i]
+                    open_ = open_[root[open_] != root[i]]
+                j = np.array(j, np.int64)
             if len(j):
                 found.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])))
         return tuple(map(np.concatenate, zip(*found, strict=True))) if found else None
@@ -303,8 +313,9 @@ class _Join:
         r = roots.select(F.col("node").alias("cls"), "root")
         return df.join(r, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
-    def rest(self, roots: DataFrame | None, tested: DataFrame | None) -> DataFrame:
-        """All pairs that the filters leave and that no links connect yet, without those tested."""
+    def rest(self, roots: DataFrame | None, tested: DataFrame | None, forest: bool) -> DataFrame:
+        """All pairs that the filters leave and that no links connect yet, without those tested; or of each
+        n-gram's pairs a forest of them."""
         p = self._with_root(self.prefix, roots)
         ends = p.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
         p = p.join(ends, "h", "left_semi").join(self.sets.mapInArrow(_sketches, "cls long, sketch binary"), "cls")
@@ -315,7 +326,7 @@ class _Join:
         dealt = p.join(blocks, "h").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("h", F.least("part", "other").alias("c"), F.greatest("part", "other").alias("d"), "part", "cls", "n", "pos", "rank", "root", "sketch")
         dealt = dealt.repartition("h", "c", "d").sortWithinPartitions("h", "c", "d")
-        pairs = dealt.mapInArrow(_postings(self.percent), "a long, b long").distinct()
+        pairs = dealt.mapInArrow(_postings(self.percent, forest), "a long, b long").distinct()
         return pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
     def roots(self) -> DataFrame | None:
@@ -332,9 +343,13 @@ class _Join:
                 continue
             links = found if links is None else links.unionByName(found)
             roots = components(links, s)
-        new = self.verify(self.rest(roots, tested), "verified-rest").where("linked").select("a", "b")
-        if not new.isEmpty():
-            roots = components(new if links is None else links.unionByName(new), s)
+        for forest in (True, False):
+            new = self.verify(self.rest(roots, tested, forest), f"verified-{'forest' if forest else 'rest'}")
+            tested = new if tested is None else tested.unionByName(new)
+            found = new.where("linked").select("a", "b")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                roots = components(links, s)
         return roots
 
 
