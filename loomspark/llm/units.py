@@ -6,13 +6,15 @@ from __future__ import annotations
 import re
 
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than the space and the line end.
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def cut(text: str) -> list[str]:
     """The units of a text, without the space between them; none for the empty text."""
     if not text:
         return []
-    # as many words as single spaces and line ends allow: no two white-space characters meet
-    if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+    # as many words as spaces and line ends allow, and no other white space: no two of them meet
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1 and not any(c in text for c in _OTHER):
         return text.split(" ")
     return _UNIT.split(text)

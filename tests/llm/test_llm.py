@@ -179,6 +179,26 @@ def test_byte_bpe(docs, none):
     assert byte_bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def odd_spaces():
+    """Texts with white space of every kind, alone, in runs, and balancing surplus spaces."""
+    rng = random.Random(11)
+    made = ["".join(rng.choice("ab1'é  \n\t\r\x0b\x0c\x1c\x85\u00a0\u2003\u2028\u3000") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    return ["a\u00a0b\u00a0d \u00a0 \u00a0 \u00a0c", "a\tb  c", "a\rb  c", "a\x0bb  c", *made]
+
+
+def test_units_are_cut_at_single_spaces_only():
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = byte_bpe.ByteBPE(path, public_tokenizers.PATTERN).encode(odd_spaces())
+    assert [x.tolist() for x in got] == [library.encode_ordinary(t) for t in odd_spaces()]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), token_store.Encoder(path)
+    for t in odd_spaces()[:4]:
+        assert own([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_token_shards(spark, docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
