@@ -229,12 +229,13 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-        # units go to the library many at a time, parted by line ends, which are a token of their own there
+        # units go to the library many at a time, parted by line ends, which are a token of their own between
+        # characters that aren't white space; a unit may begin with one space
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.by_unit else []
 
     def _many(self, units: list[str]) -> list[bytes]:
         """Ids of each of the units (with the space that leads them, if any)."""
-        whole = {u for u in units if "\n" in u} if len(self.line) == 1 else set(units)
+        whole = {u for u in units if "\n" in u or not (ends := u.removeprefix(" ")) or ends[0].isspace() or ends[-1].isspace()} if len(self.line) == 1 else set(units)
         rest = [u for u in units if u not in whole]
         out = dict(zip(whole, self._ids(list(whole)), strict=True))
         parts = [rest[k : k + 500] for k in range(0, len(rest), 500)]

@@ -199,6 +199,16 @@ def test_units_are_cut_at_single_spaces_only():
         assert own([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_units_meet_at_line_ends():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), token_store.Encoder(path)
+    odd = ["foo", "\u00a0\u00a0bar", "bar\u00a0", "", " ", " x", "  x", "\u2003", "\r", "x\r", "\tx", "x \u00a0 y", *odd_spaces()]
+    assert [x.tolist() for x in own(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    units = ["", "foo", "\u00a0\u00a0bar", " ", " x", " \u00a0", "y"]
+    assert own._many(units) == own._ids(units)
+
+
 def test_token_shards(spark, docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
