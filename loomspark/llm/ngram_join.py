@@ -376,11 +376,20 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
 def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, only the row with the smallest id of every component.
 
-    Repeated rows of that id stay together; rows of a null id go where any other id is in their component.
+    Of different texts with that id in one component, one stays. Rows that repeat its id and text stay
+    together. A null id ranks after all others; where a component has no other, one row of it stays.
     """
-    found = ngram_components(docs, n=n, percent=percent, id_col=id_col, text_col=text_col)
+    text = F.col(text_col).cast("string")
+    # a row is known by id and text, so that rows with its id alone share nothing with it
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
+    found = ngram_components(docs.select(key.alias("key"), text.alias("text")), n=n, percent=percent, id_col="key", text_col="text")
     name = "_gone"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(name)).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
+    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id.id").alias(f"{name}id"), F.col("id.h1").alias(f"{name}h1"), F.col("id.h2").alias(f"{name}h2")).distinct()
+    text = docs[text_col].cast("string")
+    same = docs[id_col].eqNullSafe(gone[f"{name}id"]) & (F.xxhash64(text) == gone[f"{name}h1"]) & (F.xxhash64(text, F.lit(1)) == gone[f"{name}h2"])
+    kept = docs.join(gone, same, "left_anti")
+    # copies of one text without any id; texts without words are linked with nothing
+    nameless = F.col(id_col).isNull() & F.coalesce(text.rlike(r"[^\t-\r ]"), F.lit(False))
+    return kept.where(~nameless).unionByName(kept.where(nameless).withColumn(name, text).dropDuplicates([name]).drop(name))

@@ -110,6 +110,46 @@ def test_ngram_join(docs, none, n, percent):
     assert ngram_join.one_of_each(docs, n=n, percent=percent).columns == docs.columns
 
 
+def brute_kept(rows, n, percent):
+    """(id, text) of the rows that stay: of each component the rows like its first one, one if it has no id."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset())
+    left, kept = set(range(len(rows))), []
+    while left:
+        group = todo = {left.pop()}
+        while todo:
+            todo = {b for b in left if any(sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) for a in todo)}
+            left, group = left - todo, group | todo
+        kept.append([rows[k] for k in group])
+    return kept
+
+
+def test_one_of_each(spark, docs, none):
+    near = [" ".join(f"{w}{k}" for k in range(30)) for w in ("p", "q", "r", "s", "t")]
+    clash = [(None, near[0] + " x"), (7001, near[0]), (None, "alone one"), (None, "alone two"), (None, None), (None, ""), (None, " \t"), (None, " \t")]
+    clash += [(7002, near[1]), (7003, near[1] + " x"), (7003, "nothing like it"), (7003, near[2] + " x"), (7004, near[2])]
+    clash += [(None, near[3]), (None, near[3]), (None, near[3] + " x"), (7005, near[4]), (7005, near[4] + " x"), (7005, near[4] + " y"), (7006, near[4]), (7007, "twice"), (7007, "twice")]
+    rows = [(r[0], r[1]) for r in corpus()] + clash
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _goneid int").repartition(3)
+    got = ngram_join.one_of_each(df, n=5, percent=80)
+    assert got.columns == df.columns
+    got = got.collect()
+    places = [r["_goneid"] for r in got]
+    assert len(set(places)) == len(places) and all((r["doc_id"], r["text"]) == rows[r["_goneid"]] for r in got)
+    left = sorted(str((r["doc_id"], r["text"])) for r in got)
+    for group in brute_kept(rows, 5, 80):
+        first = min((i for i, _ in group if i is not None), default=None)
+        stay = [g for g in group if str(g) in left]
+        assert stay and len(set(stay)) == 1 and stay[0][0] == first
+        many = group.count(stay[0]) if first is not None or not (stay[0][1] or "").split() else 1
+        for g in stay[:many]:
+            left.remove(str(g))
+    assert not left
+    assert ngram_join.one_of_each(none).count() == 0
+
+
 def test_long_posting_lists_meet_in_blocks(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "MEET", 2)
     monkeypatch.setattr(ngram_join, "ROUNDS", 0)
