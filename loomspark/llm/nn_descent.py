@@ -5,13 +5,16 @@
    large blocks split at random.
 3. Local joins refine the graph: a pivot compares its neighbours and the nodes that it is a neighbour
    of (``SAMPLE`` in all, new edges first) with one another, and those better than what a node has enter
-   its list of ``NEIGHBOURS``. Rounds go on until few lists change. Vectors travel as 8-bit codes.
+   its list of ``NEIGHBOURS``. Rounds go on until few places of the lists change (``STILL``). Vectors travel as 8-bit codes.
 4. Pairs near the threshold are verified in double precision. A node with a list full of links is
    saturated: its list is enlarged, with the lists of some of its links, round by round until none
    brings a new link. There is no cap on links.
-5. The recall is audited: ``QUERIES`` classes are held against all vectors in blocks. While it is below
-   ``RECALL``, blocks by other hyperplanes add neighbours and 3 and 4 run again, ``ROUNDS`` times at most.
-   ``near_duplicates`` returns the audited recall.
+5. The recall is audited: random classes are held against all vectors in blocks, until ``LINKED`` of them
+   have links or ``MOST`` were taken. Each of those counts alike, by the share of its links that were found,
+   so large groups don't outweigh small ones. While the mean, or that of the classes with about as many
+   links (``ENOUGH`` or more), is below ``RECALL``, blocks by other hyperplanes add neighbours and 3 and 4
+   run again. If the recall doesn't rise for ``PATIENCE`` rounds, ``near_duplicates`` raises an error; it
+   returns the audited recall, and logs it by number of links.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing.
 Vectors of different lengths link with nothing of another length. Null ids take part and rank after all
@@ -22,6 +25,7 @@ empty result.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,11 @@ from .components import components
 from .scratch import Scratch
 
 NEIGHBOURS, SAMPLE, BLOCK, BLOCKINGS, BETTER, ASKED = 12, 24, 96, 3, 4, 4
-QUERIES, RECALL, ROUNDS = 256, 0.99, 3
+STILL, RECALL, PATIENCE = 0.002, 0.99, 8
+#: Of the audit: classes held against all at once and in all, those with links that it wants, and those
+#: with about as many links that make a mean of their own.
+QUERIES, MOST, LINKED, ENOUGH = 2048, 32768, 256, 64
+_log = logging.getLogger(__name__)
 #: What 8-bit codes may be off in a cosine.
 SLACK = 0.02
 
@@ -68,7 +76,8 @@ def _local_join(best: int):
         x = np.frombuffer(b"".join(r[2] for r in rows), np.int8).reshape(len(u), -1).astype(np.float32)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         fresh = np.array([r[4] for r in rows])
-        sim = x @ x.T
+        # in steps far below what codes may be off, so that members of a dense group tie and lists come to rest
+        sim = np.rint(x @ x.T * np.float32(1024)) / np.float32(1024)
         sim[(u[:, None] == u) | ~(fresh[:, None] | fresh)] = -2
         sim[sim <= np.array([r[3] for r in rows], np.float32)[:, None]] = -2
         n = min(best, len(u) - 1)
@@ -132,6 +141,7 @@ class _Graph:
         self.edges: DataFrame | None = None  # (u, v, sim, fresh)
         self.links: DataFrame | None = None  # (a, b), a < b, verified
         self.tested: DataFrame | None = None
+        self.true: DataFrame | None = None  # (q, v): what the audit looks for
 
     def _random(self, *columns) -> F.Column:
         self.seed += 1
@@ -166,7 +176,7 @@ class _Graph:
             self._merge(self._joined(rows))
 
     def descend(self) -> None:
-        for _ in range(8):
+        while True:
             e = self.edges
             floors = e.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-1.0)).cast("float").alias("floor"))
             nodes = self.codes.withColumnRenamed("cls", "u").join(floors, "u", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0).cast("float")))
@@ -175,7 +185,7 @@ class _Graph:
             first = Window.partitionBy("key").orderBy(F.desc("fresh"), self._random("u", "key"))
             near = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE)
             changed = self._merge(self._joined(near.join(nodes, "u")))
-            if changed < 0.05 * NEIGHBOURS * self.n:
+            if changed <= STILL * NEIGHBOURS * self.n:
                 return
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
@@ -204,28 +214,60 @@ class _Graph:
             if self._verify(met.select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"))).isEmpty():
                 return
 
-    def audit(self) -> float:
-        """The share of the links of some classes, by comparison with all, that were found."""
-        some = self.v.orderBy(F.xxhash64("cls"), "cls").limit(QUERIES).toArrow()
-        if not len(some):
-            return 1.0
+    def _true(self, k: int) -> DataFrame:
+        """(q, v): the links of some classes, by comparison with all, written. k: which QUERIES of them."""
+        some = self.v.join(self.chosen.where(F.floor(F.col("place") / QUERIES) == k).select("cls"), "cls").select("cls", "vec").toArrow()
         ids = some.column("cls").to_numpy()
-        q = _unit(np.concatenate([np.asarray(x, np.float64)[None] for x in some.column("vec").to_pylist()]))
+        q = _unit(some.column("vec").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1))
         sent, least = self.v.sparkSession.sparkContext.broadcast((ids, q)), self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             for b in batches:
-                for at in range(0, len(b), 4096):
-                    part = b.slice(at, 4096)
+                for at in range(0, len(b), 512):
+                    part = b.slice(at, 512)
                     cls = part.column(0).to_numpy()
                     x = _unit(part.column(1).flatten().to_numpy().astype(np.float64).reshape(len(part), -1))
                     i, j = np.nonzero((q @ x.T >= least) & (ids[:, None] != cls))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], cls[j])), pa.array(np.maximum(ids[i], cls[j]))], ["a", "b"])
-
-        true = self.s.save(self.v.mapInArrow(run, "a long, b long").distinct(), "audit")
-        n = true.count()
-        return true.join(self.links, ["a", "b"], "left_semi").count() / n if n else 1.0
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(cls[j])], ["q", "v"])
+
+        return self.s.save(self.v.mapInArrow(run, "q long, v long"), "audit")
+
+    def audit(self) -> tuple[float, dict[int, tuple[int, float]]]:
+        """The mean share of its links that were found, over some classes that have links; and their number
+        and mean by number of links (from a power of 2 to below the next)."""
+        if self.true is None:
+            first = self.v.select("cls").orderBy(F.xxhash64("cls"), "cls").limit(MOST).toArrow().column("cls").to_pylist()
+            self.chosen = self.s.save(self.v.sparkSession.createDataFrame([(c, k) for k, c in enumerate(first)], "cls long, place int"), "chosen")
+            for k in range(-(-len(first) // QUERIES)):
+                more = self._true(k)
+                self.true = more if self.true is None else self.true.unionByName(more)
+                if self.true.select("q").distinct().count() >= LINKED:
+                    break
+        a, b = F.least("q", "v").alias("a"), F.greatest("q", "v").alias("b")
+        found = self.true.select("q", a, b).join(self.links.select("a", "b", F.lit(1).alias("found")).distinct(), ["a", "b"], "left")
+        shares = found.groupBy("q").agg(F.count("*").alias("n"), (F.count("found") / F.count("*")).alias("share"))
+        bands = shares.groupBy(F.floor(F.log2("n")).alias("band")).agg(F.count("*").alias("n"), F.sum("share").alias("share")).collect()
+        by = {1 << r["band"]: (r["n"], r["share"] / r["n"]) for r in sorted(bands)}
+        n = sum(r["n"] for r in bands)
+        return sum(r["share"] for r in bands) / n if n else 1.0, by
+
+    def search(self) -> float:
+        """Blocks, local joins and links until the audit is content; the recall."""
+        best, waited = -1.0, 0
+        while True:
+            self.block()
+            self.descend()
+            self.link()
+            self.s.release()
+            recall, by = self.audit()
+            _log.info("recall %.4f; by links from (classes, recall): %s", recall, by)
+            least = min([recall, *(share for n, share in by.values() if n >= ENOUGH)])
+            if least >= RECALL:
+                return recall
+            best, waited = (least, 0) if least > best else (best, waited + 1)
+            if waited >= PATIENCE:
+                raise RuntimeError(f"nn-descent: recall {recall:.4f}, {least:.4f} at worst, below {RECALL} and rises no more; by links from (classes, recall): {by}")
 
 
 def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, float]:
@@ -245,14 +287,7 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "v
         g = _Graph(scratch.save(classes.where(F.size("vec") == size).select("cls", "vec"), "vectors"), least, scratch)
         if g.n < 2:
             continue
-        for _ in range(ROUNDS):
-            g.block()
-            g.descend()
-            g.link()
-            scratch.release()
-            if (found := g.audit()) >= RECALL:
-                break
-        recall = min(recall, found)
+        recall = min(recall, g.search())
         links = g.links if links is None else links.unionByName(g.links)
     named = classes.select("cls", "h1", "h2", "copies", F.col("id").alias("least"))
     if links is None:

@@ -320,6 +320,39 @@ def test_nn_descent(spark):
     assert empty.count() == 0
 
 
+def isolated_pairs():
+    """Vectors without structure, with a dense group and pairs of a cosine of 0.965 that nothing leads to."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((300, 64))
+    side -= (side * x[:300]).sum(1, keepdims=True) * x[:300]
+    x[300:600] = 0.965 * x[:300] + (1 - 0.965**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x[600:900] = x[600] + 0.01 * rng.standard_normal((300, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_nn_descent_finds_isolated_pairs(spark, monkeypatch):
+    x = isolated_pairs()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # as on inputs so large that lists don't lead to the pairs and a blocking misses many
+    monkeypatch.setattr(nn_descent, "BLOCKINGS", 1)
+    monkeypatch.setattr(nn_descent._Graph, "descend", lambda g: None)
+    got, recall = nn_descent.near_duplicates(df)
+    got = {r["id"]: r["n_links"] for r in got.collect()}
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert want[:600].max() == 1 and want[600:900].min() == 299
+    assert recall >= 0.99 and np.mean([got[k] == want[k] for k in range(600)]) >= 0.98
+
+
+def test_nn_descent_says_when_it_fails(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "PATIENCE", 1)
+    monkeypatch.setattr(nn_descent._Graph, "link", lambda g: setattr(g, "links", g.edges.select(F.col("u").alias("a"), F.col("v").alias("b")).limit(0)))
+    df = spark.createDataFrame([(k, [1.0, 0.001 * k]) for k in range(50)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_duplicates(df)
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(r[0], r[1], r[2], r[3], len(r[1] or "")) for r in corpus(30)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
