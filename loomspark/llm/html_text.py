@@ -5,8 +5,12 @@ a tokenizer (tags, comments, raw-text elements), a tree builder that opens and c
 knows which elements are hidden, and a renderer that lays out blocks, lists and tables.
 
 Hidden are: head, script, style and other elements that never show; ``hidden``, ``display:none`` and
-``visibility:hidden`` on the element, or given to a tag, class or id by the page's own style sheet;
-closed details (but for their summary) and dialogs; hidden inputs.
+``visibility:hidden`` on the element, or given to it by the page's own style sheets; closed details (but
+for their summary) and dialogs; hidden inputs. Of the sheets count the rules that apply to a screen of
+``SCREEN`` pixels, by importance, specificity and order, where the selector is a tag, an id, classes or
+these together; rules with other selectors are left out, so that what they hide is kept.
+
+Of a select its chosen option shows (all of a list box), of svg its text, of math its text in order.
 
 Layout: paragraphs, headings, lists, tables and the like stand between blank lines, other blocks start
 on a line of their own, ``br`` breaks the line, ``pre`` keeps its white space. Items of lists have a
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDEST = 60
+SCREEN = (1280, 800)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
@@ -40,14 +45,19 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_CSS = re.compile(r"\"(?:\\.|[^\"\\])*+\"?|'(?:\\.|[^'\\])*+'?|[{};]", re.S)
+_COMPOUND = re.compile(r"(?:[\w-]+|\*)?(?:[.#][\w-]+)*")
+_SHOWS = re.compile(r"\s*(display|visibility)\s*:\s*([\w-]+)[^!]*(!\s*important)?\s*", re.I)
+_WIDTHS = re.compile(r"(min|max)-(?:device-)?(width|height)\s*:\s*([0-9.]+)(px|r?em)?")
+_RANGE = re.compile(r"(?:([0-9.]+)(px|r?em)?\s*(<=?|>=?)\s*)?(width|height)(?:\s*(<=?|>=?)\s*([0-9.]+)(px|r?em)?)?")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 # Kinds of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title xmp iframe noembed noframes".split())
-NEVER = set("head script style template noscript title iframe object embed audio video canvas svg math datalist noembed noframes select textarea".split())
+RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
+NEVER = set("head script style template noscript title iframe object embed audio video canvas datalist noembed noframes".split())
+#: Never shown within svg or math.
+FOREIGN = set("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset form hr article section".split())
 BLOCK = SPACED | set("html body address aside center dd details dialog dir div dt figcaption footer header hgroup legend li main menu nav option search summary caption optgroup".split())
 IN_TABLE = set("table thead tbody tfoot tr td th caption colgroup".split())
@@ -69,6 +79,39 @@ CLOSES = {
 HEAD = set("head title base link meta style script noscript template".split())
 
 
+def _true_feature(f: str) -> bool:
+    """Whether one feature of a media query holds on the usual screen."""
+    size = dict(zip(("width", "height"), SCREEN, strict=True))
+    pixels = lambda n, unit: float(n) * (16 if unit and unit.endswith("em") else 1)
+    try:
+        if m := _WIDTHS.fullmatch(f):
+            return size[m[2]] >= pixels(m[3], m[4]) if m[1] == "min" else size[m[2]] <= pixels(m[3], m[4])
+        if (m := _RANGE.fullmatch(f)) and (m[3] or m[5]):
+            holds = lambda a, op, b: (a < b or "=" in op and a == b) if op[0] == "<" else (a > b or "=" in op and a == b)
+            return (not m[3] or holds(pixels(m[1], m[2]), m[3], size[m[4]])) and (not m[5] or holds(size[m[4]], m[5], pixels(m[6], m[7])))
+    except ValueError:
+        return False
+    return re.sub(r"\s", "", f) in {"color", "hover", "hover:hover", "any-hover:hover", "pointer:fine", "any-pointer:fine", "orientation:landscape", "prefers-color-scheme:light", "prefers-reduced-motion:no-preference", "scripting:enabled", "width", "height"}
+
+
+def _on_screen(queries: str) -> bool:
+    """Whether a list of media queries takes in a screen of the usual width."""
+    for q in queries.lower().split(","):
+        words = q.split()
+        negated = words[:1] == ["not"]
+        q = " ".join(words[words[:1] in (["not"], ["only"]) :])
+        ok = True
+        for part in re.split(r"\band\b", q):
+            part = part.strip()
+            if part.startswith("("):
+                ok = ok and any(_true_feature(f.strip("() ")) for f in re.split(r"\)\s*or\s*\(", part))
+            else:
+                ok = ok and part in ("", "all", "screen")
+        if ok != negated:
+            return True
+    return False
+
+
 class _Lines:
     """Text being laid out: lines, with blank lines asked for before the next one."""
 
@@ -162,27 +205,86 @@ class _Page:
         self.out: list[_Lines] = [_Lines()]
         self.tables: list[_Table] = []
         self.lists: list[list] = []  # kind, next number
-        self.styled: set[str] = set()
+        self.selects: list[list] = []  # shows all; options: text, chosen
+        #: compound selector -> property -> (important, order, hides); and the compounds by one of their parts
+        self.styled: dict[tuple, dict[str, tuple[bool, int, bool]]] = {}
+        self.by_part: dict[str, list[tuple]] = {}
+        self.rules = 0
 
     def sheet(self, css: str) -> None:
-        for selectors, body in _RULE.findall(_COMMENT.sub("", css)):
-            if _NONE.search(body):
-                self.styled.update(x for x in map(str.strip, selectors.lower().split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
+        css = _COMMENT.sub(" ", css).replace("<!--", " ").replace("-->", " ")
+        blocks: list[tuple[bool, list[str] | None]] = [(True, None)]  # open ones: applies, selectors
+        at = 0
+        for m in _CSS.finditer(css):
+            if m[0] not in "{};":
+                continue
+            before, at = css[at : m.start()].strip(), m.end()
+            applies, selectors = blocks[-1]
+            if m[0] != "{":
+                self._declare(before, applies, selectors)
+                if m[0] == "}" and len(blocks) > 1:
+                    blocks.pop()
+            elif before.startswith("@"):
+                name, _, rest = before[1:].replace("(", " (", 1).partition(" ")
+                name = name.lower()
+                holds = _on_screen(rest) if name == "media" else name == "layer" or (name == "supports" and not rest.strip().lower().startswith("not"))
+                blocks.append((applies and holds, selectors))
+            else:
+                # a rule within a rule has a selector with a combinator
+                blocks.append((applies and selectors is None, before.split(",")))
+        self._declare(css[at:], *blocks[-1])
+
+    def _declare(self, declaration: str, applies: bool, selectors: list[str] | None) -> None:
+        if not applies or not selectors or not (m := _SHOWS.fullmatch(declaration)):
+            return
+        kind, value = m[1].lower(), m[2].lower()
+        self.rules += 1
+        new = (bool(m[3]), self.rules, value in ("none", "hidden", "collapse"))
+        for x in selectors:
+            x = x.strip().lower()
+            if not x or x == "*" or not _COMPOUND.fullmatch(x):
+                continue
+            parts = tuple(sorted(set(re.findall(r"[.#]?[\w-]+", x))))
+            if parts not in self.styled:
+                self.styled[parts] = {}
+                self.by_part.setdefault(parts[0], []).append(parts)
+            if kind not in self.styled[parts] or self.styled[parts][kind] < new:
+                self.styled[parts][kind] = new
 
     def _is_hidden(self, name: str, attrs: dict[str, str]) -> bool:
-        if name in NEVER or "hidden" in attrs or _NONE.search(attrs.get("style", "")) or (name == "dialog" and "open" not in attrs):
+        if name in NEVER or (name in FOREIGN and (self.opened["svg"] or self.opened["math"])) or (name == "dialog" and "open" not in attrs):
             return True
-        if not self.styled:
-            return False
-        return name in self.styled or "#" + attrs.get("id", "").lower() in self.styled or any("." + c in self.styled for c in attrs.get("class", "").lower().split())
+        #: property -> (important, of the element itself, ids, classes, tags, order, hides)
+        best = {"display": (False, False, -1, 0, 0, 0, True)} if "hidden" in attrs else {}
+        if self.styled:
+            own = {name, *("." + c for c in attrs.get("class", "").lower().split()), "#" + attrs.get("id", "").lower()}
+            for part in own:
+                for parts in self.by_part.get(part, ()):
+                    if own.issuperset(parts):
+                        ids, classes = (sum(p[0] == c for p in parts) for c in "#.")
+                        for kind, (important, order, hides) in self.styled[parts].items():
+                            best[kind] = max(best.get(kind, (False, False, -2)), (important, False, ids, classes, len(parts) - ids - classes, order, hides))
+        for k, declaration in enumerate(attrs["style"].split(";") if "style" in attrs else ()):
+            if m := _SHOWS.fullmatch(declaration):
+                kind = m[1].lower()
+                best[kind] = max(best.get(kind, (False, False, -2)), (bool(m[3]), True, 0, 0, 0, k, m[2].lower() in ("none", "hidden", "collapse")))
+        return any(x[-1] for x in best.values())
 
     def start(self, name: str, raw: str) -> None:
         attrs = {a.lower(): unescape(q or s or u) for a, q, s, u in _ATTR.findall(raw)} if raw and raw != "/" else {}
         if name not in HEAD and self.stack and any(n == "head" for n, _ in self.stack[:3]):
             self.end("head")
+        if self.opened["select"]:
+            if name == "select":
+                self.end("select")
+                return
+            if name in ("input", "textarea", "button") or (name in IN_TABLE and self.opened["table"]):
+                self.end("select")
+            elif name not in ("option", "optgroup", "script", "template", "style"):
+                return
         if name in CLOSES:
             self._close(*CLOSES[name])
-        if name in BLOCK or name in ("table", "hr"):
+        if (name in BLOCK or name in ("table", "hr")) and not self.opened["select"]:
             self._close({"p"}, {"td", "th", "table", "caption", "button", "object"})
         if name in ("td", "th") and self.tables and not any(n == "tr" for n, _ in self._since("table")):
             self.start("tr", "")
@@ -190,6 +292,8 @@ class _Page:
             if not self.hidden and not self._is_hidden(name, attrs):
                 self._void(name, attrs)
             return
+        if raw.endswith("/") and (name in ("svg", "math") or self.opened["svg"] or self.opened["math"]) and not self.opened["foreignobject"]:
+            return
         details = self.stack[-1][0] == "details?" if self.stack else False
         hide = self._is_hidden(name, attrs) or (details and name != "summary")
         self.opened[name] += 1
@@ -208,6 +312,16 @@ class _Page:
             span = attrs.get("colspan", "1")
             self.out.append(_Lines())
             self.out[-1].span = max(1, int(span)) if re.fullmatch("[0-9]{1,3}", span) else 1
+        elif name == "select":
+            size = attrs.get("size", "1")
+            self.selects.append(["multiple" in attrs or (size.isdigit() and int(size[:9]) > 1), []])
+        elif name == "option" and self.selects:
+            self.out.append(_Lines())
+            self.selects[-1][1].append([attrs.get("label", ""), "selected" in attrs, "disabled" in attrs])
+        elif name == "optgroup" and self.selects:
+            pass
+        elif name == "text" and self.opened["svg"]:
+            out.block(1)
         elif name in BLOCK:
             gap = 1 if name in ("ul", "ol") and self.lists else 2 if name in SPACED else 1
             out.block(gap)
@@ -281,6 +395,23 @@ class _Page:
                 if not self.tables[-1].rows:
                     self.tables[-1].rows.append([])
                 self.tables[-1].rows[-1].append((lines.done(), lines.span))
+        elif name == "option" and self.selects:
+            text = self.out.pop().done()
+            self.selects[-1][1][-1][0] = self.selects[-1][1][-1][0] or text
+        elif name == "select" and self.selects:
+            whole, options = self.selects.pop()
+            if not whole:
+                options = ([x for x in options if x[1]] or [x for x in options if not x[2]][:1] or options[:1])[-1:]
+            for text, *_ in options:
+                if whole:
+                    self.out[-1].block(1)
+                self.text(text)
+            if whole:
+                self.out[-1].block(1)
+        elif name == "optgroup" and self.selects:
+            pass
+        elif name == "text" and self.opened["svg"]:
+            self.out[-1].block(1)
         elif name == "table" and self.tables:
             self.tables.pop().put(self.out[-1])
         elif name in BLOCK:
@@ -301,6 +432,8 @@ class _Page:
             return
         if self.stack and self.stack[-1][0] == "details?":
             return
+        if (self.opened["select"] and not self.opened["option"]) or (self.opened["svg"] and not (self.opened["text"] or self.opened["foreignobject"])):
+            return
         if self.stack and self.stack[-1][0] in ("table", "thead", "tbody", "tfoot", "tr", "colgroup") and not s.strip():
             return
         if self.pre:
@@ -313,36 +446,60 @@ class _Page:
         return self.out[0].done()
 
 
-def render(html: str | None) -> str:
-    """The visible text of a page."""
-    html = html or ""
-    page, at, n = _Page(), 0, len(html)
+def _pieces(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes or raw text): text, end, start, and raw for the content of the
+    raw-text element that the start before it opened."""
+    at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         if not m:
-            page.text(unescape(html[at:]))
-            break
+            yield "text", unescape(html[at:]), ""
+            return
         if m.start() > at:
-            page.text(unescape(html[at : m.start()]))
+            yield "text", unescape(html[at : m.start()]), ""
         at = m.end()
         if name := m["end"]:
-            page.end(name.lower())
+            yield "end", name.lower(), ""
         elif name := m["start"]:
-            name, attrs = name.lower(), m["attrs"]
-            page.start(name, attrs)
+            name = name.lower()
+            yield "start", name, m["attrs"]
             if name == "plaintext":
-                page.text(html[at:])
-                break
+                yield "text", html[at:], ""
+                return
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-                if name == "style":
-                    page.sheet(html[at : end.start() if end else n])
-                elif name == "xmp":
-                    page.text(html[at : end.start() if end else n])
+                yield "raw", name, html[at : end.start() if end else n]
                 at = end.end() if end else n
-                page.end(name)
         elif m[0].startswith("<![CDATA["):
-            page.text(m[0][9:].removesuffix("]]>"))
+            yield "text", m[0][9:].removesuffix("]]>"), ""
+
+
+def render(html: str | None) -> str:
+    """The visible text of a page."""
+    html = html or ""
+    page = _Page()
+    if "<style" in html.lower():
+        attrs = ""
+        for kind, name, more in _pieces(html):  # sheets anywhere apply to the whole page
+            if kind == "start":
+                attrs = more
+            elif kind == "raw" and name == "style":
+                media = {a.lower(): unescape(q or s or u) for a, q, s, u in _ATTR.findall(attrs)}.get("media", "")
+                if _on_screen(media):
+                    page.sheet(more)
+    for kind, name, more in _pieces(html):
+        if kind == "text":
+            page.text(name)
+        elif kind == "end":
+            page.end(name)
+        elif kind == "start":
+            page.start(name, more)
+        else:
+            if name == "xmp":
+                page.text(more)
+            elif name == "textarea" and not page.hidden:
+                page.out[-1].verbatim(unescape(more).removeprefix("\r").removeprefix("\n"))
+            page.end(name)
     return page.done()
 
 

@@ -320,6 +320,21 @@ def test_nn_descent(spark):
     assert empty.count() == 0
 
 
+def test_html_keeps_what_a_screen_shows():
+    r = html_text.render
+    css = "@charset 'x';@media print{.x, nav{display:none}}@media (max-width:600px){.y{display:none}}@media screen and (min-width:40em){.z{display:none}}@font-face{src:url(a)}"
+    assert r(f"<style>{css}</style><nav>a</nav><p class=x>b<p class=y>c<p class=z>no") == "a\n\nb\n\nc"
+    assert r("<style media=print>p{display:none}</style><p>a") == r("<noscript><style>p{display:none}</style></noscript><p>a") == "a"
+    assert r("<style>.x{display:none}p{display:none}.x{display:block}</style><p class=x>a<p>no") == "a"
+    assert r("<style>p{display:none!important}#i{display:block}nav.open{display:block}nav{display:none}</style><p id=i>no</p><nav class=open>a</nav><nav>no</nav>") == "a"
+    assert r("<p>a<style>p{display:block}</style><style>@supports (display:grid){p{display:none}}</style>") == ""
+    assert r("x <math><mi>E</mi><mo>=</mo><mi>m</mi><semantics><annotation>no</annotation></semantics></math> y") == "x E=m y"
+    assert r("<svg><title>no</title><defs/><text>a</text><g><path/><text>b &lt; c</text></g></svg>d") == "a\nb < c\nd"
+    assert r("<textarea>\na &amp; b\n c</textarea>") == "a & b\n c"
+    assert r("<p>in <select><option>a<option selected>b<option>c</select> now") == "in b now"
+    assert r("<select multiple><option>a<option>b</select><select><option disabled>no<option>c</select>") == "a\nb\nc"
+
+
 def isolated_pairs():
     """Vectors without structure, with a dense group and pairs of a cosine of 0.965 that nothing leads to."""
     rng = np.random.default_rng(8)
