@@ -35,7 +35,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-# Text (P1-P44)
+# Text (of P1-P44)
 
 
 @query(r"""
@@ -103,7 +103,7 @@ def p_tags_and_stops(spark, d):
     return t.select("conv_id", "turn", "tagged", X.tag(F.col("tagged"), "think").alias("think"), X.tag(F.col("tagged"), "answer").alias("answer"), F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("]")).alias("label"), X.cut_at_stops(F.col("text"), [". "]).alias("before_stop"))
 
 
-# Programs (D1-D16), over a program made of each line item
+# Programs (of D1-D16), over a program made of each line item
 
 _PROGRAMS = """
 WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q, l_linenumber % 6 AS k FROM lineitem)
@@ -228,7 +228,7 @@ def f_audit_reasons(spark, d):
     return t.select("conv_id", F.concat(F.array_join(r, ","), F.when(F.size(r) > 0, ",").otherwise("")).alias("reasons"))
 
 
-# Joins and sets (J1-J15, U1-U6)
+# Joins and sets (of J1-J15, U1-U6)
 
 
 @query(r"""
@@ -296,7 +296,7 @@ def w_keep_first_label(spark, d):
     return R.keep_first_label(table(spark, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id").select("event_type", "user_id")
 
 
-# Aggregates (A1-A32)
+# Aggregates (of A1-A32)
 
 
 @query("""
@@ -433,7 +433,7 @@ def l_ratio_mix(spark, d):
     return L.mix({"main": (t.where("lang = 'en'"), 0.65), "replay": (t.where("lang <> 'en'"), 0.35)}, 100, 9, "doc_id").select("doc_id", "part")
 
 
-# Buckets (B1-B8)
+# Buckets (of B1-B8)
 
 _DIAGNOSTICS = """
 WITH s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
