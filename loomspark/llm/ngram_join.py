@@ -41,8 +41,9 @@ ROUNDS = 2
 MOST_BUCKETS = 2048
 #: Parts of a sketch, and rows of an n-gram's posting list that meet in one task.
 PARTS, MEET = 512, 1024
-#: n-grams whose last byte is below this are the pool.
-POOL = 52
+#: The pool is this many times as large a part of the hash space as a prefix is of a set, so that chance
+#: seldom leaves a set with fewer n-grams there than its prefix has.
+SLACK = 1.35
 _WORDS_KEPT = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Ranges of the hash space for the suffix filter.
@@ -92,7 +93,14 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - int(_least(n, percent)) + 1
 
 
+def _pool(percent: int) -> int:
+    """n-grams whose last byte is below this are the pool."""
+    return min(256, int(np.ceil(256 * SLACK * (100 - percent) / 100)))
+
+
 def _rows(n: int, percent: int):
+    pool_ends = _pool(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(n)
         for b in batches:
@@ -101,7 +109,7 @@ def _rows(n: int, percent: int):
                 found = [sets(t.as_py()) for t in part.column(1)]
                 pools, sizes = [], []
                 for s in found:
-                    inside = (s & 255) < POOL
+                    inside = (s & 255) < pool_ends
                     pool = s[inside]
                     sizes.append(len(pool))
                     more = _prefix_length(len(s), percent) - len(pool) if len(s) else 0
