@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of an overlap n-gram: words or single other characters.
-TOKEN = r"(?U)(\w+|[^\w\s])"
+from ..functions.text import bind
+
+#: Tokens of an overlap n-gram, in lower case: words or single other characters. The ASCII part of the class
+#: is looked up first, the rest of the word characters only where it fails.
+TOKEN = r"(?U)([a-z0-9_\w]++|[^\w\s])"
 
 
 def first_of_key(df: DataFrame, keys: list[str], order: list, last: bool = False) -> DataFrame:
@@ -36,19 +39,35 @@ def exclude(df: DataFrame, *ids: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 1)
+
+
+def _grams(tokens: Column, n: int, of) -> Column:
+    """``of`` each run of n tokens. The tokens are bound once, so that a text is cut once and not for every n-gram."""
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: of(F.slice(t, i, n)))
+    return bind(tokens, lambda t: F.when(F.size(t) >= n, grams(t)))
+
+
 def ngrams(text: Column, n: int) -> Column:
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 1)
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(_grams(_tokens(text), n, lambda g: F.array_join(g, " ")), F.array().cast("array<string>"))
+
+
+def ngram_hashes(text: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams, made of the tokens' hashes; null with fewer tokens than n."""
+    return _grams(F.transform(_tokens(text), lambda w: F.xxhash64(w)), n, lambda g: F.xxhash64(g))
 
 
 def overlaps(rows: DataFrame, reference: DataFrame, n: int = 8, text: str = "text") -> DataFrame:
     """Rows that share an n-gram with the reference, with the number of distinct shared ones.
 
-    N-grams are compared as 64-bit hash pairs, which is what is shuffled."""
-    key = lambda c: F.struct(F.xxhash64(c).alias("a"), F.hash(c).alias("b"))
-    ref = reference.select(F.explode(ngrams(F.col(text), n)).alias("g")).select(key("g").alias("k")).distinct()
-    grams = rows.select("*", F.explode(F.array_distinct(ngrams(F.col(text), n))).alias("_g")).withColumn("k", key("_g"))
-    return grams.join(ref, "k", "left_semi").groupBy(*[c for c in rows.columns if c != text]).agg(F.count("*").alias("shared"))
+    Only hashes are exploded and joined. Of m distinct n-grams in the reference, one in 2 ** 64 / m other
+    n-grams is taken for one of them."""
+    ref = reference.select(F.explode(ngram_hashes(F.col(text), n)).alias("h")).distinct()
+    keep = [c for c in rows.columns if c != text]
+    grams = rows.select(*keep, F.explode(ngram_hashes(F.col(text), n)).alias("h"))
+    # only shared n-grams are counted, so repeats within a text go after the join
+    return grams.join(ref, "h", "left_semi").distinct().groupBy(*keep).agg(F.count("*").alias("shared"))
 
 
 def conflicts(df: DataFrame, prompt: str, label: str) -> DataFrame:

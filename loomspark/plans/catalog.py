@@ -35,6 +35,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer tasks; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Text (of P1-P44)
 
 
@@ -112,6 +118,7 @@ WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey AS s, CAST
 
 def programs(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_linenumber") % 6).alias("k"))
+    t = spread(t)
     f = lambda fmt, *cs: F.format_string(fmt, *(F.col(c) for c in cs))
     program = (
         F.when(F.col("k") == 0, f("divide(subtract(%d, %d), %d)", "p", "q", "q"))
@@ -238,7 +245,7 @@ t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+|[^\s\p
 y AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))
 SELECT doc_id, count(*) AS shared FROM y SEMI JOIN x USING (g) GROUP BY doc_id""")
 def j_ngram_overlap(spark, d):
-    return R.overlaps(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"), 8)
+    return R.overlaps(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"), 8)
 
 
 @query("SELECT d.doc_id, d.lang, l.quality, l.toxic, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomspark.plans import catalog
@@ -21,7 +22,8 @@ def db():
 
 def canonical(df):
     df = df[sorted(df.columns)]
-    shown = [tuple("null" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False)]
+    null = lambda v: v is None or v is pd.NA or v is pd.NaT or v != v
+    shown = [tuple("null" if null(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False)]
     return list(df.columns), sorted(shown)
 
 
