@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .scratch import bounded
 from .units import cut
 
 NONE = np.int32(2**31 - 1)
@@ -251,6 +252,7 @@ def _run(path: str, pattern: str, decode: bool, keep_text: bool = False):
 
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row."""
+    bounded(docs.sparkSession)
     d = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return d.mapInArrow(_run(path, pattern, False), f"id {d.schema['id'].dataType.simpleString()}, ids array<int>")
 

@@ -11,14 +11,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+#: What an Arrow batch to a Python worker may hold, unless the application sets it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches small enough for long texts and long lists."""
+    given = spark.sparkContext.getConf()
+    for key, most in BATCH.items():
+        if not given.contains(key):
+            spark.conf.set(key, most)
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a private temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session, else the context's checkpoint folder. Without either a private
+    temporary folder serves a local master; a cluster has no other folder that all of it sees."""
     global _own
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="loomspark-")
     return f"file://{_own}"
@@ -32,7 +46,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
+        self.spark = bounded(spark)
         self.root = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
         self._saved: dict[str, int] = {}
         atexit.register(self.remove)

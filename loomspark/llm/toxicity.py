@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded
+
 DIMENSIONS = 1 << 20
 MOST_ROWS = 6000
 ALPHA, BETA, L2 = 1.0, 1.0, 0.02
@@ -109,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc
     for label, n in sorted(counts.items()):
         part = known.where(F.col("label") == label).withColumn("rank", rank).orderBy("rank", "id").limit(MOST_ROWS).withColumn("weight", F.lit(max(1.0, n / MOST_ROWS)))
         sample = part if sample is None else sample.unionByName(part)
+    bounded(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most 2 * MOST_ROWS ids; rows that repeat an id count once
     chosen = texts.join(F.broadcast(sample), "id").select("rank", "label", "weight", "text")
