@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import bounded
+
 # Languages (ISO 639-1) of the families that are told apart first; any other is its own family.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl nn no sv",
@@ -155,9 +157,15 @@ def train(docs: DataFrame, use: Column, *, id_col: str = "doc_id", text_col: str
     d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     d = d.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rank = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    ids = d.select("id", "lang", rank.alias("rank"))
+    # a language's least ranks are below a threshold that its count gives; few rows meet in the window
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    at = F.conv(F.substring("rank", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    low = ids.join(F.broadcast(counts), "lang").where(at * F.col("n") < 4 * MOST_ROWS).select("id", "lang", "rank").distinct()
     first = Window.partitionBy("lang").orderBy("rank", "id")
-    sample = d.select("id", "lang", rank.alias("rank")).distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= MOST_ROWS).drop("place")
-    s = sample.select(F.col("id").alias("of"), F.col("lang").alias("as"), "rank")
+    sample = low.withColumn("place", F.row_number().over(first)).where(F.col("place") <= MOST_ROWS)
+    # at most MOST_ROWS rows a language: sent to the texts, which stay where they are
+    s = F.broadcast(sample.select(F.col("id").alias("of"), F.col("lang").alias("as"), "rank"))
     # rows that repeat an id count once
     rows = d.join(s, d["id"].eqNullSafe(s["of"]) & (d["lang"] == s["as"])).groupBy("rank", "lang").agg(F.min("text").alias("text"))
     model = rows.coalesce(1).mapInArrow(_fit, "model binary").collect()
@@ -178,12 +186,12 @@ def _predict(model):
 def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"id {d.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return d.mapInArrow(_predict(bounded(docs.sparkSession).sparkContext.broadcast(model)), f"id {d.schema['id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, model: dict, least: float, *, text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, without the rows whose language is ``und`` or scored below ``least``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
