@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_sizes
 from .ngram_join import ngram_components
 from .nn_descent import near_duplicates
+from .scratch import bounded
 from .suffix_dedup import remove_repeats
 from .token_store import read_shards, tokenize_to_shards
 
@@ -25,7 +26,7 @@ def query(f):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 @query
@@ -68,12 +69,42 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE["op3_suffix_array_dedup"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+b AS (SELECT doc_id, k * 1000 AS base, substr(h, 2000 * k + 1, 2198) AS part FROM (SELECT doc_id, h, unnest(range(0, n // 1000 + 1)) AS k FROM t)),
+w AS (SELECT doc_id, base + j AS pos, md5(substr(part, 2 * j + 1, 200)) AS w FROM (SELECT doc_id, base, part, unnest(range(0, least(1000, length(part) // 2 - 99))) AS j FROM b WHERE length(part) >= 200)),
+f AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS fd, first_value(pos) OVER o AS fp FROM w WINDOW o AS (PARTITION BY w ORDER BY doc_id, pos)),
+l AS (SELECT doc_id, pos, CASE WHEN pos > lag(pos) OVER p + 100 OR lag(pos) OVER p IS NULL THEN 1 ELSE 0 END AS fresh FROM f WHERE (doc_id, pos) <> (fd, fp) WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l),
+s AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 100 AS z FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS last, CAST(sum(z - a) AS BIGINT) AS removed, count(*) AS spans FROM c JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(k.removed, 0) AS n_removed, coalesce(k.spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, '') || substr(t.h, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""
+
+#: (id, root) of a table links(a, b) with both directions, in DuckDB.
+_REACHED = "reached(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other)"
+
+
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_components(documents(spark, sf_dir), n=4, percent=85)
     return found.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+ORACLE["op4_ngram_jaccard"] = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * common >= 85 * (m.n + o.n - common)),
+{_REACHED}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(other) AS root FROM reached GROUP BY id) USING (doc_id)
+"""
+
+
 def remainder(column: str, of: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
@@ -118,5 +149,15 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) WINDOW g AS
 
 @query
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    found, _ = near_duplicates(bounded(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+ORACLE["op10_nn_descent"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+good AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.95),
+{_REACHED}
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(root, vec_id)) AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id) LEFT JOIN (SELECT id AS vec_id, min(other) AS root FROM reached GROUP BY id) USING (vec_id)
+"""
