@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import display_answer, normalized_answer, strip, to_text
+from .text import bind, display_answer, normalized_answer, strip, to_text
 
 # What counts as a number for each parser.
 FIRST = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
@@ -20,19 +20,20 @@ def _double(c: Column) -> Column:
 
 def parse_first(c: Column) -> Column:
     """The first number: ``$`` and commas go, a text all in brackets is negative, a ``%`` right after divides by 100."""
-    text = to_text(c)
-    cleaned = F.regexp_replace(text, r"[$,]", "")
-    number = _double(F.nullif(F.regexp_extract(cleaned, f"({FIRST})", 1), F.lit("")))
-    percent = F.regexp_extract(cleaned, f"({FIRST})(%?)", 2) == "%"
-    number = F.when(text.rlike(r"^\s*\([^()]+\)\s*$") & (number > 0), -number).otherwise(number)
-    return F.when(percent, number / F.lit(100.0)).otherwise(number)
+
+    def parsed(text: Column) -> Column:
+        found = F.regexp_extract(F.regexp_replace(text, r"[$,]", ""), f"({FIRST})(%?)", 0)
+        bracketed = text.rlike(r"^\s*\([^()]+\)\s*$")
+        signed = lambda n: F.when(bracketed & (n > 0), -n).otherwise(n)
+        return bind(found, lambda f: bind(_double(F.nullif(F.rtrim(f, F.lit("%")), F.lit(""))), signed) / F.when(f.endswith("%"), 100.0).otherwise(1.0))
+
+    return bind(to_text(c), parsed)
 
 
 def _last(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(F.regexp_replace(text, "，", ","), F.lit(f"({pattern})"), 1)
     token = F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"[,$]", "")
-    number = _double(F.regexp_replace(token, "%$", ""))
-    return F.when(token.endswith("%"), number / F.lit(100.0)).otherwise(number)
+    return bind(token, lambda t: _double(F.rtrim(t, F.lit("%"))) / F.when(t.endswith("%"), 100.0).otherwise(1.0))
 
 
 def parse_answer(c: Column) -> Column:
@@ -56,7 +57,8 @@ def parse_plain(c: Column) -> Column:
 
 def close(a: Column, b: Column, rel: float = 1e-4, abs_: float = 1e-4) -> Column:
     """Symmetric: within the larger of ``rel`` times the larger magnitude and ``abs_``."""
-    return F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_))
+    near = lambda k: F.abs(k["a"] - k["b"]) <= F.greatest(F.lit(rel) * F.greatest(F.abs(k["a"]), F.abs(k["b"])), F.lit(abs_))
+    return bind(F.struct(a.alias("a"), b.alias("b")), near)
 
 
 def equivalent(a: Column, b: Column, percent: Column | None = None) -> Column:
@@ -66,12 +68,16 @@ def equivalent(a: Column, b: Column, percent: Column | None = None) -> Column:
     def near(x: Column, y: Column) -> Column:
         return F.abs(x - y) <= F.greatest(F.lit(1e-4), F.abs(y) * F.lit(1e-4))
 
-    out = near(a, b)
-    if percent is not None:
-        slack = lambda x, y: (F.abs(x - y) <= 1.0) & ((F.abs(x) > 1.0) | (F.abs(y) > 1.0))
-        h = F.lit(100.0)
-        out = out | (percent & (slack(a, b) | near(a * h, b) | slack(a * h, b) | near(a, b * h) | slack(a, b * h)))
-    return F.coalesce(out, F.lit(False))
+    def same(k: Column) -> Column:
+        x, y = k["a"], k["b"]
+        out = near(x, y)
+        if percent is not None:
+            slack = lambda u, v: (F.abs(u - v) <= 1.0) & ((F.abs(u) > 1.0) | (F.abs(v) > 1.0))
+            h = F.lit(100.0)
+            out = out | (k["p"] & (slack(x, y) | near(x * h, y) | slack(x * h, y) | near(x, y * h) | slack(x, y * h)))
+        return F.coalesce(out, F.lit(False))
+
+    return bind(F.struct(a.alias("a"), b.alias("b"), (F.lit(False) if percent is None else percent).alias("p")), same)
 
 
 def numeric_equal(pred: Column, gold: Column, rel: float = 1e-4, abs_: float = 1e-4) -> Column:
@@ -89,8 +95,8 @@ def answer_correct(pred: Column, gold: Column, rel: float = 1e-4, abs_: float =
 
 def show(c: Column, decimals: int = 6) -> Column:
     """An integer without a point, any other number with ``decimals`` places, zeros at the end left out."""
-    fixed = F.regexp_replace(F.format_string(f"%.{decimals}f", c), r"\.?0+$", "")
-    return F.when(c.isNull(), F.lit("")).when(c == F.floor(c), F.format_string("%.0f", c)).otherwise(fixed)
+    fixed = lambda x: F.regexp_replace(F.format_string(f"%.{decimals}f", x), r"\.?0+$", "")
+    return bind(c, lambda x: F.when(x.isNull(), F.lit("")).when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(fixed(x)))
 
 
 def number_tokens(c: Column) -> Column:
@@ -123,11 +129,29 @@ def unit_and_scale(*texts: Column) -> tuple[Column, Column]:
     return unit, scale
 
 
+# How far a number is moved, at least, and to how many decimals; what stands in for a missing one.
+MOVE, LEAST_MOVE, MOVE_DECIMALS, NO_NUMBER = 0.12, 1.0, 4, " 1"
+
+
 def mutate_number(c: Column) -> Column:
-    """The first number moved away from 0 by the larger of 12 % and 1."""
-    token = F.regexp_extract(c, f"({FIRST})", 1)
-    value = _double(F.regexp_replace(token, ",", ""))
-    step = F.greatest(F.abs(value) * F.lit(0.12), F.lit(1.0))
-    moved = show(F.when(value >= 0, value + step).otherwise(value - step), 4)
-    parts = F.regexp_extract(c, f"(?s)^(.*?)(?:{FIRST})", 1), F.regexp_extract(c, f"(?s)^.*?(?:{FIRST})(.*)$", 1)
-    return F.when(token == "", F.concat(c, F.lit(" 1"))).otherwise(F.concat(parts[0], moved, parts[1]))
+    """The text with its first number moved away from 0."""
+    cut = F.regexp_instr(c, F.lit(FIRST))
+    token = F.regexp_extract(c, FIRST, 0)
+
+    def moved(t: Column) -> Column:
+        value = _double(F.regexp_replace(t, ",", ""))
+        return show(value + F.when(value < 0, -1.0).otherwise(1.0) * F.greatest(F.abs(value) * F.lit(MOVE), F.lit(LEAST_MOVE)), MOVE_DECIMALS)
+
+    replaced = bind(token, lambda t: F.concat(F.left(c, cut - 1), moved(t), F.substr(c, cut + F.length(t))))
+    return F.when(cut == 0, F.concat(c, F.lit(NO_NUMBER))).otherwise(replaced)
+
+
+def percentile(values: Column, q: float) -> Column:
+    """The linearly interpolated percentile of an array, null and NaN left out; null if none is left."""
+
+    def at(v: Column) -> Column:
+        place = (F.size(v) - 1) * F.lit(min(max(q, 0.0), 1.0))
+        low, high = F.element_at(v, F.floor(place).cast("int") + 1), F.element_at(v, F.ceil(place).cast("int") + 1)
+        return F.when(F.size(v) > 0, low + (high - low) * (place - F.floor(place)))
+
+    return bind(F.array_sort(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x))), at)

@@ -18,16 +18,32 @@ def count_flags(df: DataFrame, flags: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(flags)).alias("flag")).groupBy("flag").agg(F.count("*").alias("rows"))
 
 
-def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def percentiles(df: DataFrame, value: str, qs: list[float], by: list[str], how: str = "floor", more: bool = False) -> DataFrame:
+    """Values at index ``int((n - 1) q)`` (floor) or ``round((n - 1) q)`` with halves to even (round); with
+    ``more`` also the mean and the median (the mean of the middle two).
+
+    Equal values are counted first, map-side, and the places come from running sums of the counts: a group
+    costs its distinct values, not its rows."""
+    rows = df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
     part = Window.partitionBy(*by)
-    return df.where(F.col(value).isNotNull()).select(*by, value).withColumn("_at", F.row_number().over(part.orderBy(value)) - 1).withColumn("_n", F.count("*").over(part))
+    run = counts.withColumn("_end", F.sum("_c").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(part))
+    place = lambda q: (F.floor if how == "floor" else lambda c: F.bround(c, 0))((F.col("_n") - 1) * F.lit(q))
+    holds = lambda at: (F.col("_end") > at) & (F.col("_end") - F.col("_c") <= at)
+    at = lambda i: F.max(F.when(holds(i), F.col(value)))
+    out = [at(place(q)).alias(f"p{round(q * 100)}") for q in qs]
+    if more:
+        out += [(F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), ((at(F.floor((F.col("_n") - 1) / 2)) + at(F.ceil((F.col("_n") - 1) / 2))) / 2).alias("median")]
+    return run.groupBy(*by).agg(*out)
 
 
-def percentiles(df: DataFrame, value: str, qs: list[float], by: list[str], how: str = "floor") -> DataFrame:
-    """Values at index ``int((n - 1) q)`` (floor) or ``round((n - 1) q)`` with halves to even (round)."""
-    r = _ranked(df, value, by)
-    at = lambda q: (F.floor if how == "floor" else lambda c: F.bround(c, 0))((F.col("_n") - 1) * F.lit(q))
-    return r.groupBy(*by).agg(*(F.max(F.when(F.col("_at") == at(q), F.col(value))).alias(f"p{round(q * 100)}") for q in qs))
+def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Count, mean, exact median and maximum of a column per group."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"))
+
+
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    return df.groupBy(value).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), value)
 
 
 def top(df: DataFrame, value: str, k: int) -> DataFrame:
@@ -35,18 +51,15 @@ def top(df: DataFrame, value: str, k: int) -> DataFrame:
     return df.groupBy(value).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), value).limit(k)
 
 
-def pass_at(correct: Column, index: Column, k: int) -> Column:
-    """Aggregate: 1 if any of the first k candidates is right, null without candidates."""
-    return F.max(F.when(index < k, (correct > 0).cast("double")))
-
-
 def passes(df: DataFrame, keys: list[str], ks: list[int], *, mode: str = "generation_mode", index: str = "candidate_index", correct: str = "answer_correct") -> DataFrame:
-    """Per record the greedy score, the first sample's and pass@k over the samples."""
+    """Per record the greedy score, the first sample's and pass@k over the first k samples (all, if there are
+    fewer) in order of ``index``, whatever its values; null without samples. The aggregation keeps one
+    boolean a sample."""
     sampled = F.col(mode) == "sampled"
-    right = F.when(sampled, F.col(correct))
-    greedy = F.max(F.when(F.col(mode) == "greedy", F.col(correct)))
-    out = [greedy.alias("pass1_greedy"), F.max(F.when(F.col(index) == 0, (right > 0).cast("double"))).alias("pass1_sampled")]
-    return df.groupBy(*keys).agg(*out, *(pass_at(right, F.col(index), k).alias(f"pass{k}") for k in ks if k != 1))
+    ordered = F.array_sort(F.collect_list(F.when(sampled, F.struct(F.col(index).alias("i"), (F.col(correct) > 0).alias("ok")))))
+    grouped = df.groupBy(*keys).agg(F.max(F.when(F.col(mode) == "greedy", F.col(correct))).alias("pass1_greedy"), F.transform(ordered, lambda x: x["ok"]).alias("_ok"))
+    any_of = lambda k: F.when(F.size("_ok") > 0, F.exists(F.slice("_ok", 1, k), lambda x: x).cast("double"))
+    return grouped.select(*keys, "pass1_greedy", any_of(1).alias("pass1_sampled"), *(any_of(k).alias(f"pass{k}") for k in ks if k != 1))
 
 
 def roll_up(df: DataFrame, metrics: list[str], *, model: str = "model", task: str = "task", bucket: str = "bucket") -> DataFrame:
@@ -109,22 +122,27 @@ def step_windows(df: DataFrame, step: str, metrics: list[str], width: int = 10)
     return out.withColumn("window", F.coalesce("window", F.lit("overall")))
 
 
+def placed(df: DataFrame, bucket: str, order: str, size: int) -> DataFrame:
+    """(bucket, order, bundle): prompts of each bucket in whole bundles of ``size``, in order."""
+    w = Window.partitionBy(bucket)
+    prompts = df.select(bucket, order).distinct().withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    return prompts.withColumn("bundle", F.floor(F.col("_at") / size)).where((F.col("bundle") + 1) * size <= F.col("_n")).drop("_at", "_n")
+
+
 def bundles(df: DataFrame, bucket: str, order: str, generation: str, reward: str, size: int) -> DataFrame:
     """(bucket, bundle, generation, total) over whole bundles of ``size`` prompts, in order."""
-    prompts = df.select(bucket, order).distinct()
-    place = F.row_number().over(Window.partitionBy(bucket).orderBy(order)) - 1
-    n = F.count("*").over(Window.partitionBy(bucket))
-    placed = prompts.withColumn("bundle", F.floor(place / size)).withColumn("n", n).where((F.col("bundle") + 1) * size <= F.col("n"))
-    return df.join(placed.drop("n"), [bucket, order]).groupBy(bucket, "bundle", generation).agg(F.sum(reward).alias("total"))
-
-
-def bundle_spread(totals: DataFrame, bucket: str, low: float = 0.2, high: float = 0.8) -> DataFrame:
-    """Per bundle: mean, deviation, two linear quantiles and the mean of the tail below the lower one."""
-    w = Window.partitionBy(bucket, "bundle")
-    t = totals.withColumn("q_low", F.percentile("total", F.lit(low)).over(w))
-    return t.groupBy(bucket, "bundle").agg(
-        F.avg("total").alias("mean"), F.stddev_pop("total").alias("std"), F.max("q_low").alias("q_low"), F.percentile("total", F.lit(high)).alias("q_high"), F.avg(F.when(F.col("total") <= F.col("q_low"), F.col("total"))).alias("tail_mean")
-    )
+    return df.join(placed(df, bucket, order, size), [bucket, order]).groupBy(bucket, "bundle", generation).agg(F.sum(reward).alias("total"))
+
+
+def bundle_spread(totals: DataFrame, by: list[str], size: int, low: float = 0.2, high: float = 0.8) -> DataFrame:
+    """Over the sums of bundles: mean, deviation, two linear quantiles, the mean of the tail up to the lower
+    one, and the shares of sums with nothing and with everything right."""
+    q = totals.withColumn("_q", F.percentile("total", F.lit(low)).over(Window.partitionBy(*by)))
+    t = F.col("total")
+    return q.groupBy(*by).agg(
+        F.avg(t).alias("mean"), F.stddev_pop(t).alias("std"), F.max("_q").alias("q_low"), F.percentile(t, F.lit(high)).alias("q_high"), F.avg(F.when(t <= F.col("_q"), t)).alias("tail_mean"),
+        F.avg((t <= 0).cast("double")).alias("all_wrong_rate"), F.avg((t >= size).cast("double")).alias("all_correct_rate"), (F.avg(t) / size).alias("exact_rate"),
+    )
 
 
 def errors(df: DataFrame, pred: str, gold: str) -> DataFrame:
@@ -146,3 +164,87 @@ def distribution(df: DataFrame, dims: list[str]) -> DataFrame:
     """(dimension, value, rows) of several columns in one pass."""
     pairs = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims))
     return df.select(F.inline(pairs)).groupBy("dimension", "value").agg(F.count("*").alias("rows"))
+
+
+def _ratio(cond: Column) -> Column:
+    """The share of rows where a condition holds; 0 without rows."""
+    return F.coalesce(F.avg(F.coalesce(cond, F.lit(False)).cast("double")), F.lit(0.0))
+
+
+def regroup(df: DataFrame, keys: list[str], *, mode: str = "generation_mode", index: str = "candidate_index") -> DataFrame:
+    """(keys, greedy, samples): per record the greedy prediction, else the first of all, as a struct of the
+    other columns, and the samples in order of ``index``."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*rest)
+    by = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct(F.col(index).alias("i"), row.alias("row")))))
+    g = df.groupBy(*keys).agg(F.min_by(row, F.struct((F.col(mode) != "greedy").alias("late"), index)).alias("greedy"), by(F.col(mode) == "sampled").alias("_s"))
+    return g.select(*keys, "greedy", F.transform("_s", lambda x: x["row"]).alias("samples"))
+
+
+def paired_summary(df: DataFrame, *, task: str, correct: str, flags: dict[str, Column], means: list[str]) -> DataFrame:
+    """Per task and over all: examples, pass1, the share of each flag and means (nulls skipped); the row
+    ``macro`` has the mean of the tasks' pass1."""
+    out = [F.count("*").alias("num_examples"), F.avg(F.coalesce(F.col(correct).cast("double"), F.lit(0.0))).alias("pass1"), *(_ratio(c).alias(n) for n, c in flags.items()), *(F.avg(m).alias(m) for m in means)]
+    by = df.rollup(task).agg(*out).withColumn(task, F.coalesce(task, F.lit("overall")))
+    macro = by.where(F.col(task) != "overall").agg(F.lit("macro").alias(task), F.sum("num_examples").alias("num_examples"), F.avg("pass1").alias("pass1"))
+    return by.unionByName(macro, allowMissingColumns=True)
+
+
+def candidate_metrics(df: DataFrame, keys: list[str], *, program: str, executable: str, correct: str, reward: str) -> DataFrame:
+    """Per record over its candidates: shares of distinct programs among all and among those that run, the
+    largest share of one program, mean and deviation of rewards, and what kind of group it is."""
+    per = df.groupBy(*keys, program).agg(
+        F.count("*").alias("c"), F.count_if(executable).alias("e"), F.count_if(correct).alias("r"), F.count_if(F.col(executable) & ~F.col(correct)).alias("w"),
+        F.sum(reward).alias("s"), F.sum(F.col(reward) * F.col(reward)).alias("q"), F.min(reward).alias("low"), F.max(reward).alias("high"),
+    )
+    n, mean = F.sum("c"), F.sum("s") / F.sum("c")
+    g = per.groupBy(*keys).agg(
+        n.alias("n"), (F.count(program) / n).alias("unique_program_ratio"), F.coalesce(F.try_divide(F.count_if(F.col("e") > 0), F.sum("e")), F.lit(0.0)).alias("executable_program_unique_ratio"),
+        (F.max("c") / n).alias("max_program_share"), mean.alias("reward_mean"), F.sqrt(F.greatest(F.sum("q") / n - mean * mean, F.lit(0.0))).alias("reward_std"),
+        (F.sum("r") > 0).alias("_right"), (F.sum("w") > 0).alias("_wrong"), (F.min("low") < F.max("high")).alias("mixed_reward"),
+    )
+    return g.withColumn("executable_contrast", F.col("_right") & F.col("_wrong")).withColumn("duplicate_collapse", F.col("max_program_share") >= 0.8).drop("_right", "_wrong")
+
+
+def diversity_summary(records: DataFrame, skeletons: DataFrame, skeleton: str, lookup: Column) -> DataFrame:
+    """One row on all records: means and shares of ``candidate_metrics`` and of the gold programs' skeletons."""
+    ratios = ("unique_program_ratio", "executable_program_unique_ratio", "max_program_share", "reward_std")
+    flags = ("executable_contrast", "mixed_reward", "duplicate_collapse")
+    a = records.agg(F.count("*").alias("records"), *(F.avg(c).alias(f"mean_{c}") for c in ratios), *(_ratio(F.col(c)).alias(f"{c}_ratio") for c in flags))
+    e = entropy(skeletons.withColumn("_all", F.lit(1)), ["_all"], skeleton, 1).select(F.col("entropy").alias("skeleton_entropy"), F.col("kinds").alias("skeletons"), F.col("top_share").alias("top1_skeleton_share"))
+    look = skeletons.agg(_ratio(lookup).alias("direct_lookup_share"))
+    return a.join(F.broadcast(e)).join(F.broadcast(look))  # one row each
+
+
+def probe_summary(groups: DataFrame) -> DataFrame:
+    """One row over group statistics (n, n_correct, n_executable, n_programs, n_distinct, zero_std, all_correct,
+    all_wrong, mixed_reward, history): counts and shares, 0 where there is nothing to divide by."""
+    share = lambda a, b: (F.sum(a) / F.greatest(F.sum(b), F.lit(1))).alias
+    kinds = ("zero_std", "all_correct", "all_wrong", "mixed_reward")
+    return groups.agg(
+        F.count("*").alias("records"), F.sum("n").alias("total_completions"), *(_ratio(F.col(k)).alias(f"{k}_ratio") for k in kinds),
+        share("n_correct", "n")("sampled_correct_rate"), share("n_executable", "n")("sampled_executable_rate"), share("n_distinct", "n_programs")("unique_program_ratio"),
+        F.count_if("history").alias("history_records"), F.count_if(~F.col("history")).alias("nonhistory_records"),
+    )
+
+
+def frontier_summary(df: DataFrame, *, label: str, phase: str, keys: dict[str, Column]) -> DataFrame:
+    """Per label, and over all (``overall``): rows, their share, distinct values of each key and rows by phase."""
+    counts = [F.count("*").alias("rows"), *(F.count_distinct(c).alias(f"unique_{n}") for n, c in keys.items()), *(F.count_if(F.col(phase) == p).alias(p) for p in ("pilot", "extension"))]
+    by = df.rollup(label).agg(*counts).withColumn(label, F.coalesce(label, F.lit("overall")))
+    total = F.max(F.when(F.col(label) == "overall", F.col("rows"))).over(Window.partitionBy())  # a row a label
+    return by.withColumn("share", F.round(F.col("rows") / total, 6))
+
+
+def run_summary(df: DataFrame, family: str, counters: dict[str, Column]) -> DataFrame:
+    """(family, counters map<string, long>) in one pass; counters that are 0 stay."""
+    names = list(counters)
+    g = df.groupBy(family).agg(F.count("*").alias("_rows"), *(F.count_if(c).alias(f"_{i}") for i, c in enumerate(counters.values())))
+    entries = F.array(F.struct(F.lit("rows").alias("key"), F.col("_rows").alias("value")), *(F.struct(F.lit(n).alias("key"), F.col(f"_{i}").alias("value")) for i, n in enumerate(names)))
+    return g.select(family, F.map_from_entries(entries).alias("counters"))
+
+
+def rows_audit(df: DataFrame, *, prompt: str, problems: dict[str, Column]) -> DataFrame:
+    """One row: rows, rows whose prompt came before, and rows with each problem. Prompts are counted by hash."""
+    by = df.groupBy(F.md5(prompt).alias("_p")).agg(F.count("*").alias("_n"), *(F.count_if(c).alias(n) for n, c in problems.items()))
+    return by.agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicate_prompt_rows"), *(F.sum(n).alias(n) for n in problems))

@@ -126,20 +126,51 @@ def pair_positives(positive: Column, negative: Column, most: int) -> Column:
     return F.slice(F.filter(made, lambda x: x["rejected"].isNotNull()), 1, most)
 
 
-def sequential_dedupe(df: DataFrame, key: str, prompt: str, order: str) -> DataFrame:
+def sequential_dedupe(df: DataFrame, key: str, prompt: str, order: str, rounds: int = 100) -> DataFrame:
     """Rows of which no kept row before (by ``order``, unique) has the key or the prompt.
 
     A row that comes first of its key and of its prompt among the open rows stays; rows that share either
-    with it go; what is left is open again. Rounds are as many as such rows hang on one another."""
-    open_, kept = df.select(key, prompt, order), None
-    while True:
+    with it go; what is left is open again. Rounds are as many as such rows hang on one another; more than
+    ``rounds`` of them raise. Each round's lineage is cut by ``checkpoint`` where the session has a folder."""
+    sc = df.sparkSession.sparkContext
+    cut = (lambda d: d.checkpoint()) if sc.getCheckpointDir() else (lambda d: d.persist())
+    open_, kept, held = cut(df.select(key, prompt, order)), None, []
+    for _ in range(rounds):
         w = lambda c: F.min(order).over(Window.partitionBy(c))
-        first = open_.withColumn("_k", w(key)).withColumn("_p", w(prompt)).where((F.col(order) == F.col("_k")) & (F.col(order) == F.col("_p"))).select(key, prompt, order)
+        first = cut(open_.withColumn("_k", w(key)).withColumn("_p", w(prompt)).where((F.col(order) == F.col("_k")) & (F.col(order) == F.col("_p"))).select(key, prompt, order))
         kept = first if kept is None else kept.unionByName(first)
-        kept = kept.persist()
-        open_ = open_.join(kept.select(key).distinct(), key, "left_anti").join(kept.select(prompt).distinct(), prompt, "left_anti").persist()
-        if open_.isEmpty():
+        before, open_ = open_, cut(open_.join(first.select(key).distinct(), key, "left_anti").join(first.select(prompt).distinct(), prompt, "left_anti"))
+        held.append(first)
+        done = open_.isEmpty()
+        before.unpersist()
+        if done:
             return df.join(kept.select(order), order, "left_semi")
+    raise RuntimeError(f"rows are still open after {rounds} rounds")
+
+
+def zip_rows(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Rows of two tables side by side by their place in order, from 1, up to the end of the shorter."""
+    return places(left, left_order, "place").join(places(right, right_order, "place"), "place")
+
+
+def places(df: DataFrame, order: str, name: str, ranges: int = 64) -> DataFrame:
+    """``df`` with the place of each row by ``order`` (numeric, unique), from 1. Rows are numbered within ranges
+    that quantiles bound, after the rows of the ranges before, so no task holds a whole table."""
+    bounds = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)])).first()[0] or []
+    part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(bounds)))), lambda x: x < F.col(order))) if bounds else F.lit(0)
+    inside = df.withColumn("_part", part)
+    counts = inside.groupBy("_part").agg(F.count("*").alias("_n"))
+    # a row a range
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")
+    return inside.join(F.broadcast(before), "_part").withColumn(name, at).drop("_part", "_before")
+
+
+def overlap_count(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: distinct keys of either side and of both."""
+    side = lambda d, n: d.select(*keys).distinct().withColumn(n, F.lit(1))
+    both = side(a, "a").join(side(b, "b"), keys, "full_outer")
+    return both.agg(F.count("a").alias("left_ids"), F.count("b").alias("right_ids"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both_ids"))
 
 
 def new_pieces(vocabulary: DataFrame, more: DataFrame, column: str = "piece") -> DataFrame:

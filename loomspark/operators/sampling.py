@@ -16,6 +16,11 @@ def take(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
     return df.orderBy(order_key(seed, *(F.col(c) for c in ids)), *ids).limit(n)
 
 
+def take_in_order(df: DataFrame, n: int, seed: int, order: str, *ids: str) -> DataFrame:
+    """n rows at random, sorted by ``order`` as they were."""
+    return take(df, n, seed, *ids).orderBy(order)
+
+
 def per_stratum(df: DataFrame, strata: list[str], n: int, *order: Column) -> DataFrame:
     w = Window.partitionBy(*strata).orderBy(*order)
     return df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
@@ -44,7 +49,8 @@ def stratified(df: DataFrame, strata: list[str], n: int, seed: int, *ids: str) -
 def round_robin(df: DataFrame, strata: list[str], n: int, *order: Column) -> DataFrame:
     """One row of each stratum per pass until there are n."""
     w = Window.partitionBy(*strata).orderBy(*order)
-    return df.withColumn("_pass", F.row_number().over(w)).orderBy("_pass", *strata, *order).limit(n).drop("_pass")
+    # no stratum gives more than n
+    return df.withColumn("_pass", F.row_number().over(w)).where(F.col("_pass") <= n).orderBy("_pass", *strata, *order).limit(n).drop("_pass")
 
 
 def priority_fill(df: DataFrame, priority: Column, n: int, seed: int, *ids: str) -> DataFrame:
@@ -102,3 +108,35 @@ def chunks(df: DataFrame, size: int, order: str, by: list[str]) -> DataFrame:
 def phases(df: DataFrame, pilot: int, by: list[str], *order: Column) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("phase", F.when(place <= pilot, "pilot").otherwise("extension"))
+
+
+def bucket_mix(df: DataFrame, buckets: dict[str, tuple[Column, float]], n: int, seed: int, *ids: str, rest: str = "rest") -> DataFrame:
+    """n rows of ``df`` with ``bucket``: each bucket gives its share, repeating its rows if it has too few;
+    what no bucket holds gives the remainder. An empty bucket's share, and rows missing at the end, come from all."""
+    wants = {name: (cond, round(n * share)) for name, (cond, share) in buckets.items()}
+    wants[rest] = (~F.coalesce(F.greatest(*(c.cast("int") for c, _ in buckets.values())), F.lit(0)).cast("boolean"), max(0, n - sum(k for _, k in wants.values())))
+    have = df.agg(*(F.count_if(c).alias(name) for name, (c, _) in wants.items())).first()
+    out = None
+    for name, (cond, k) in wants.items():
+        if k:
+            part = cycle(df.where(cond) if have[name] else df, k, seed, *ids).withColumn("bucket", F.lit(name))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def budgets(sources: dict[str, tuple[int, int, int | None]], budget: int | None, most: int | None = None) -> dict[str, int]:
+    """Rows to take of each source (target, available, its own cap): the budget shared by targets, never over
+    ``most``, the cap or what there is. Without a budget a source's target counts."""
+    total = sum(t for t, _, _ in sources.values())
+    share = lambda t: t if budget is None else round(budget * t / total) if total else budget
+    return {name: min(x for x in (share(t), have, cap, most) if x is not None) for name, (t, have, cap) in sources.items()}
+
+
+def budgeted_mix(sources: dict[str, tuple[DataFrame, int, int | None]], budget: int, seed: int, *ids: str, most: int | None = None) -> DataFrame:
+    """Rows of several sources (rows, target, cap) with ``part``, as many of each as ``budgets`` says."""
+    takes = budgets({name: (t, df.count(), cap) for name, (df, t, cap) in sources.items()}, budget, most)
+    out = None
+    for name, (df, _, _) in sources.items():
+        part = take(df, takes[name], seed, *ids).withColumn("part", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -158,7 +158,7 @@ def d_execute_native(spark, d):
 SELECT l_orderkey, l_linenumber, p, s, CASE k WHEN 0 THEN 'relative_change' WHEN 1 THEN 'relative_change' WHEN 2 THEN 'aggregate' WHEN 3 THEN 'lookup' WHEN 4 THEN 'relative_change' ELSE 'aggregate' END AS family,
   CASE k WHEN 0 THEN 'divide,subtract' WHEN 1 THEN 'subtract,divide' WHEN 2 THEN 'table_average' WHEN 3 THEN '' WHEN 4 THEN 'divide,subtract' ELSE 'max,multiply' END AS ops,
   CASE k WHEN 0 THEN 'divide(subtract(NUM, NUM), NUM)' WHEN 1 THEN 'subtract(NUM, NUM), divide(REF, NUM)' WHEN 2 THEN 'table_average(NUM, NUM, NUM)' WHEN 3 THEN 'NUM - NUM' WHEN 4 THEN 'divide(NUM, subtract(NUM, NUM))' ELSE 'max(NUM, multiply(NUM, NUM))' END AS skeleton,
-  CASE k WHEN 0 THEN 'ratio_or_percent' WHEN 1 THEN 'ratio_or_percent' WHEN 2 THEN 'ratio_or_percent' WHEN 3 THEN 'direct_lookup' WHEN 4 THEN 'ratio_or_percent' ELSE 'ratio_or_percent' END AS kind
+  CASE k WHEN 2 THEN 'other' WHEN 3 THEN 'direct_lookup' WHEN 5 THEN 'other' ELSE 'share_of_total' END AS kind
 FROM t""")
 def d_program_analysis(spark, d):
     p = F.col("program")
@@ -307,12 +307,11 @@ def w_keep_first_label(spark, d):
 
 
 @query("""
-WITH e AS (SELECT user_id, event_type, value, event_id % 8 AS i, CAST(value > 20 AS INT) AS ok FROM events)
-SELECT user_id, max(CASE WHEN event_type = 'click' THEN CAST(ok AS DOUBLE) END) AS pass1_greedy,
-  max(CASE WHEN event_type <> 'click' AND i = 0 THEN CAST(ok > 0 AS DOUBLE) END) AS pass1_sampled, max(CASE WHEN event_type <> 'click' AND i < 4 THEN CAST(ok > 0 AS DOUBLE) END) AS pass4,
-  max(CASE WHEN event_type <> 'click' AND i < 8 THEN CAST(ok > 0 AS DOUBLE) END) AS pass8 FROM e GROUP BY user_id""" .replace("CAST(ok > 0 AS DOUBLE)", "CAST(CAST(ok > 0 AS INT) AS DOUBLE)"))
+WITH e AS (SELECT user_id, event_type = 'click' AS greedy, CAST(CAST(value > 20 AS INT) AS DOUBLE) AS ok, row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY event_id) AS i FROM events)
+SELECT user_id, max(CASE WHEN greedy THEN ok END) AS pass1_greedy, max(CASE WHEN NOT greedy AND i = 1 THEN ok END) AS pass1_sampled, max(CASE WHEN NOT greedy AND i <= 4 THEN ok END) AS pass4, max(CASE WHEN NOT greedy AND i <= 8 THEN ok END) AS pass8
+FROM e GROUP BY user_id""")
 def a_pass_at_k(spark, d):
-    e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "click", "greedy").otherwise("sampled").alias("generation_mode"), (F.col("event_id") % 8).alias("candidate_index"), (F.col("value") > 20).cast("double").alias("answer_correct"))
+    e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "click", "greedy").otherwise("sampled").alias("generation_mode"), F.col("event_id").alias("candidate_index"), (F.col("value") > 20).cast("double").alias("answer_correct"))
     return A.passes(e, ["user_id"], [1, 4, 8])
 
 
@@ -546,14 +545,24 @@ def a_count_flags(spark, d):
 
 
 @query("""
-SELECT user_id, event_id, CASE WHEN invalid > 0.8 THEN 'invalid_rate' WHEN count(*) OVER t10 = 10 AND avg(mean) OVER t10 < -0.5 THEN 'low_reward_10' WHEN count(*) OVER t5 = 5 AND avg(zero) OVER t5 >= 1.0 THEN 'zero_std_5' END AS stop
-FROM (SELECT user_id, event_id, CAST(event_id % 10 AS DOUBLE) / 10 AS invalid, CASE WHEN value < 10 THEN CAST(-1 AS DOUBLE) ELSE 0 END AS mean, CASE WHEN value > 5 THEN CAST(1 AS DOUBLE) ELSE 0 END AS zero FROM events)
-WINDOW t10 AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), t5 AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+WITH e AS (SELECT user_id, event_id, CASE WHEN value < 8 THEN CAST(0 AS DOUBLE) ELSE value END AS rs, value < 20 AS z, CAST(event_id % 10 AS DOUBLE) / 10 AS x, event_id % 97 = 0 AS mk, value > 30 AS mp, value < 15 AS w, event_id % 89 = 0 AS bad FROM events)
+SELECT user_id, event_id, CASE WHEN bad THEN 'numerical_instability' WHEN count(*) OVER t5 = 5 AND bool_and(w) OVER t5 THEN 'zero_reward_variance' WHEN count(*) OVER t3 = 3 AND bool_and(mp) OVER t3 THEN 'execution_contract_regression'
+  WHEN bool_or(mk) OVER a THEN 'execution_contract_regression' WHEN (count(*) OVER t5 = 5 AND max(rs) OVER t5 <= 1e-8) OR (count(*) OVER t10 = 10 AND avg(CAST(z AS DOUBLE)) OVER t10 >= 0.8) THEN 'zero_reward_variance'
+  WHEN count(*) OVER t10 = 10 AND avg(x) OVER t10 < 0.7 THEN 'execution_contract_regression' END AS stop
+FROM e WINDOW t10 AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), t5 AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+  t3 AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY event_id)""")
 def w_early_stop(spark, d):
-    e = table(spark, d, "events").select(
-        "user_id", "event_id", ((F.col("event_id") % 10).cast("double") / 10).alias("invalid"), F.when(F.col("value") < 10, -1.0).otherwise(0.0).alias("mean"), F.when(F.col("value") > 5, 1.0).otherwise(0.0).alias("zero")
-    )
-    return G.early_stop(e, "user_id", "event_id", zero="zero", invalid="invalid", mean="mean").select("user_id", "event_id", "stop")
+    return G.early_stop(trace(table(spark, d, "events")), "user_id", "event_id").select("user_id", "event_id", "stop")
+
+
+def trace(events: DataFrame) -> DataFrame:
+    """Events as the trace of a run a user."""
+    v, n = F.col("value"), F.col("event_id")
+    flag = lambda c: c.cast("double")
+    return events.select(
+        "user_id", "event_id", F.when(v < 8, 0.0).otherwise(v).alias("reward_std"), (v < 20).alias("zero_std"), ((n % 10).cast("double") / 10).alias("executable_rate"), flag(n % 97 == 0).alias("marker_rate"),
+        flag(v > 30).alias("multiple_program_rate"), (v < 15).alias("all_wrong"), F.when(n % 89 == 0, float("nan")).otherwise(1.0).alias("loss"),
+    )
 
 
 @query("""
@@ -588,3 +597,6 @@ def f_leakage_and_tier(spark, d):
     prompt = F.concat(F.lit("Question?\n"), F.when(low, winner).otherwise(""))
     flags = F.when(low, F.array(F.lit("question_semantic_risk"))).when(F.col("c_custkey") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("program_parse_or_execute_error:x")))
     return c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("record_id"), C.leakage(prompt, winner=winner).alias("leak"), (low & C.clean_rollout(winner)).alias("clean"), C.tier(flags).alias("tier"))
+
+
+from . import catalog_rows  # noqa: E402, F401  (registers its queries)

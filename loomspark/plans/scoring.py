@@ -24,9 +24,8 @@ def score_numeric(df: DataFrame, *, prediction: str = "prediction", gold_answer:
 
     The program is run once per row; answers are compared in double precision."""
     p = F.col(prediction)
-    d = df.withColumn("program_section", X.program_section(p)).withColumn("evidence", X.evidence_section(p))
+    d = X.computed(df, program_section=X.program_section(p), evidence=X.evidence_section(p), gold_number=N.parse_answer(F.col(gold_answer)), answer_number=N.parse_answer(p))
     d = d.withColumn("executed", P.execute(P.canonicalize(F.col("program_section"))))
-    d = d.withColumn("gold_number", N.parse_answer(F.col(gold_answer))).withColumn("answer_number", N.parse_answer(p))
     value, gold = F.col("executed.value"), F.col("gold_number")
     one = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     executed_right = one(N.close(value, gold, rel, abs_))
@@ -94,26 +93,36 @@ def choose_answer(raw: Column, executed_answer: Column, value: Column) -> tuple[
     return norm, flags
 
 
+def plain(c: Column) -> Column:
+    """A text as evidence is compared: white space collapsed, lower case."""
+    return F.lower(X.normalize_ws(c))
+
+
 def align(gold: Column, blocks: Column, table: Column, most: int = 3, chars: int = 400) -> Column:
-    """Evidence items, array<struct<raw_id, text>>, held against text blocks, array<struct<location, text>>,
+    """Evidence items, array<struct<raw_id, text>>, held against text blocks, array<struct<location, text, plain>>,
     and table rows; the first ``most`` that aren't empty."""
 
-    def one(g: Column) -> Column:
-        text = X.normalize_ws(g["text"])
-        row = F.regexp_extract(g["raw_id"], r"(?i)^table_(\d+)$", 1)
-        hit = F.filter(blocks, lambda b: F.lower(X.normalize_ws(b["text"])) == F.lower(text))
-        hinted = F.regexp_extract(g["raw_id"], r"(?i)^text_(\d+)$", 1)
-        at_hint = F.try_element_at(blocks, hinted.try_cast("int") + 1)
-        location = F.when(F.lower(X.normalize_ws(at_hint["text"])) == F.lower(text), at_hint["location"]).otherwise(F.try_element_at(hit, F.lit(1))["location"])
-        cells = F.array_join(F.try_element_at(table, row.try_cast("int") + 1), " | ")
-        is_row = row != ""
-        location = F.when(is_row, F.when(cells.isNotNull() & (cells != ""), F.concat(F.lit("table["), row, F.lit("]")))).otherwise(location)
-        kind = F.when(is_row, "table").when((hinted != "") | location.isNotNull(), "text").otherwise("unknown")
-        shown = F.when(is_row & (text == ""), X.normalize_ws(cells)).otherwise(text)
+    def parsed(g: Column) -> Column:
+        number = lambda kind: F.regexp_extract(g["raw_id"], rf"(?i)^{kind}_(\d+)$", 1).try_cast("int")
+        return F.struct(g["raw_id"].alias("raw_id"), X.normalize_ws(g["text"]).alias("text"), number("table").alias("row"), number("text").alias("hint"))
+
+    def found(g: Column) -> Column:
+        same = F.filter(blocks, lambda b: b["plain"] == F.lower(g["text"]))
+        hinted = F.filter(F.array(F.try_element_at(blocks, g["hint"] + 1)), lambda b: b["plain"] == F.lower(g["text"]))
+        cells = F.array_join(F.try_element_at(table, g["row"] + 1), " | ")
+        in_table = F.when(F.coalesce(cells, F.lit("")) != "", F.concat(F.lit("table["), g["row"].cast("string"), F.lit("]")))
+        in_text = F.try_element_at(F.concat(hinted, same), F.lit(1))["location"]
+        return F.struct(g.alias("g"), F.when(g["row"].isNotNull(), in_table).otherwise(in_text).alias("location"), cells.alias("cells"))
+
+    def one(f: Column) -> Column:
+        g, location = f["g"], f["location"]
+        kind = F.when(g["row"].isNotNull(), "table").when(g["hint"].isNotNull() | location.isNotNull(), "text").otherwise("unknown")
+        shown = F.when(g["row"].isNotNull() & (g["text"] == ""), X.normalize_ws(f["cells"])).otherwise(g["text"])
         match = F.when(location.isNotNull(), "exact").otherwise("missing")
         return F.struct(kind.alias("evidence_type"), g["raw_id"].alias("raw_id"), F.coalesce(location, F.lit("")).alias("source_location"), X.truncate(shown, chars).alias("rendered_text"), match.alias("match_type"))
 
-    return F.slice(F.filter(F.transform(gold, one), lambda e: e["rendered_text"] != ""), 1, most)
+    items = F.transform(F.transform(F.transform(gold, parsed), found), one)
+    return F.slice(F.filter(items, lambda e: e["rendered_text"] != ""), 1, most)
 
 
 def render_target(evidence: Column, program: Column, display: Column, norm: Column, variant: str = "benchmark_sft") -> Column:
@@ -126,25 +135,3 @@ def render_target(evidence: Column, program: Column, display: Column, norm: Colu
     if variant == "dual_answer_sft":
         parts.append(F.concat(F.lit("Normalized Answer: "), norm))
     return F.concat_ws("\n\n", *parts)
-
-
-#: Weights of reward variants over (answer, executable, similarity, grounding, scale, format).
-REWARDS = {
-    "execution": (1.0, 0.0, 0.0, 0.0, 0.0, 0.0),
-    "answer_first": (0.55, 0.18, 0.08, 0.12, 0.0, 0.07),
-    "program_first": (0.5, 0.2, 0.15, 0.05, 0.05, 0.05),
-    "sequence": (0.4, 0.2, 0.2, 0.1, 0.05, 0.05),
-}
-
-
-def reward(variant: str, answer: Column, executable: Column, similarity: Column, grounding: Column, scale: Column, form: Column) -> Column:
-    out = F.lit(0.0)
-    for w, c in zip(REWARDS[variant], (answer, executable, similarity, grounding, scale, form), strict=True):
-        out = out + F.lit(w) * c
-    return out
-
-
-def rubric(answer_ok: Column, has_evidence: Column, has_program: Column, executable: Column, brief: Column) -> Column:
-    """A quality score from 0 to 1: fields of 0 to 2, weighted."""
-    two = lambda c: F.when(c, 2.0).otherwise(0.0)
-    return F.round((two(answer_ok) * 3 + two(has_evidence) + two(has_program) + two(executable) * 2 + two(brief)) / F.lit(16.0), 6)

@@ -20,7 +20,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_wrapped(spark: SparkSession, path: str, row: str, keys: tuple[str, ...] = ("data", "records", "examples", "items")) -> DataFrame:
-    """Rows (DDL ``row``) of the first of ``keys`` that a JSON object has, or of the object itself if it is a list."""
+    """Rows (DDL ``row``) of the first of ``keys`` that a JSON object has (``data.train.records`` for nested
+    ones), or of the object itself if it is a list. A file is one JSON value, so it is read by one task."""
     text = spark.read.text(path, wholetext=True)
     wrapped = [F.from_json(F.get_json_object("value", f"$.{k}"), f"array<struct<{row}>>") for k in keys]
     plain = F.from_json("value", f"array<struct<{row}>>")
@@ -84,13 +85,37 @@ def require_one_kind(spark: SparkSession, root: str) -> str:
 
 
 def allowlist(lines: DataFrame, column: str = "value", keys: tuple[str, ...] = ("record_id", "id")) -> DataFrame:
-    """Distinct ids of lines that are ids or JSON objects with one; an empty list raises when it is used."""
+    """Distinct ids of lines that are ids or JSON objects with one; an empty list raises."""
     line = F.trim(column)
     from_json = F.coalesce(*(F.get_json_object(line, f"$.{k}") for k in keys))
     ids = lines.select(F.when(line.startswith("{"), from_json).otherwise(line).alias("id")).where("id <> ''").distinct()
+    if ids.isEmpty():
+        raise ValueError("the allowlist has no id")
     return ids
 
 
+def read_capped(spark: SparkSession, root: str, schema: T.StructType | str, most: int | None = None) -> DataFrame:
+    """Rows of all JSONL files below a folder, ``most`` of them if given."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(root)
+    return rows.limit(most) if most is not None else rows
+
+
+def validate_lines(lines: DataFrame, column: str = "value", roles: tuple[str, ...] = ("system", "human", "gpt")) -> DataFrame:
+    """One row: lines, blank ones, those that are no JSON, those without a list of turns of known roles, and the
+    valid ones. Nothing is kept of them."""
+    blank, parsed = F.trim(column) == "", F.try_parse_json(column).isNotNull()
+    turns = F.from_json(F.get_json_object(column, "$.conversations"), "array<struct<`from`:string,value:string>>")
+    shaped = F.coalesce((F.size(turns) > 0) & F.forall(turns, lambda t: F.coalesce(t["from"].isin(*roles) & t["value"].isNotNull(), F.lit(False))), F.lit(False))
+    kinds = {"blank": blank, "bad_json": ~blank & ~parsed, "bad_turns": ~blank & parsed & ~shaped, "valid": ~blank & parsed & shaped}
+    return lines.agg(F.count("*").alias("lines"), *(F.count_if(c).alias(n) for n, c in kinds.items()))
+
+
+def catalog_source(spark: SparkSession, name: str, split: str | None = None, **options: str) -> DataFrame:
+    """Rows of a named data source that the session knows (Python data sources too); the hook for remote hubs."""
+    reader = spark.read.format(name).options(**options)
+    return (reader.option("split", split) if split else reader).load()
+
+
 def decode_pages(files: DataFrame) -> DataFrame:
     """(path, text) of text and Markdown files from binaryFile rows: lines joined, a sentence end kept."""
     text = F.decode("content", "UTF-8")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,44 +10,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import groups as G
+
 
 def source(spark: SparkSession, path: str, schema, kind: str = "parquet", files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A watermark wants a timestamp with a time zone; event files may hold one without."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows and mean value per window and type; what comes later than ``late`` is dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("rows"), F.avg("value").alias("value"))
+    return _timed(events, late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("rows"), F.avg("value").alias("value"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("rows"))
+    return _timed(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("rows"))
 
 
 def distinct(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """The first row of a key within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return _timed(events, late).dropDuplicatesWithinWatermark(keys)
+
 
+#: What the rules of an early stop need of a row, as numbers.
+TRACE = ("reward_std", "zero_std", "executable_rate", "marker_rate", "multiple_program_rate", "all_wrong", "loss")
 
-def stop_rules(trace: DataFrame, key: str = "run", step: str = "step", tail: int = 10) -> DataFrame:
-    """(key, step, stop) with a ring of the last ``tail`` rows per run as state: an invalid rate above 0.8, a
-    mean reward below -0.5 over a full ring, or five steps in a row without spread; the first of these."""
+
+def stop_rules(trace: DataFrame, key: str = "run", step: str = "step") -> DataFrame:
+    """(key, step, stop) by the rules of ``groups.early_stop``, with a ring of the last ten rows of each run and
+    whether a marker was seen as state. Rows of a trigger are taken in order of their step."""
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
+        flat, marked = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
+        ring = [tuple(flat[k : k + len(TRACE)]) for k in range(0, len(flat), len(TRACE))]
         out = []
-        rows = pd.concat(list(batches)).sort_values(step)
-        for s, invalid, mean, zero in rows[[step, "invalid_rate", "reward_mean", "zero_std"]].itertuples(index=False):
-            ring = [*ring, float(mean), float(zero)][-2 * tail :]
-            means, zeros = ring[::2], ring[1::2]
-            full = len(means) == tail
-            stop = "invalid_rate" if invalid > 0.8 else "low_reward_10" if full and sum(means) / tail < -0.5 else "zero_std_5" if len(zeros) >= 5 and all(z >= 1.0 for z in zeros[-5:]) else None
-            out.append((keys[0], s, stop))
-        state.update((ring,))
+        for s, *row in pd.concat(list(batches)).sort_values(step)[[step, *TRACE]].itertuples(index=False):
+            ring = [*ring, tuple(0.0 if v is None else float(v) for v in row)][-10:]
+            marked = marked or ring[-1][3] > 0
+            last = lambda name, n: [r[TRACE.index(name)] for r in ring[-n:]] if len(ring) >= n else None  # noqa: B023, E731
+            tests = [
+                (G.UNSTABLE, not math.isfinite(ring[-1][6])),
+                (G.VARIANCE, (x := last("all_wrong", 5)) is not None and all(x)),
+                (G.CONTRACT, (x := last("multiple_program_rate", 3)) is not None and min(x) > 0),
+                (G.CONTRACT, marked),
+                (G.VARIANCE, (x := last("reward_std", 5)) is not None and max(x) <= G.NO_SPREAD),
+                (G.VARIANCE, (x := last("zero_std", 10)) is not None and sum(x) / 10 >= G.ZERO_SHARE),
+                (G.CONTRACT, (x := last("executable_rate", 10)) is not None and sum(x) / 10 < G.LEAST_RUNS),
+            ]
+            out.append((keys[0], s, next((reason for reason, holds in tests if holds), None)))
+        state.update(([v for r in ring for v in r], marked))
         yield pd.DataFrame(out, columns=[key, step, "stop"])
 
     kind = trace.schema[key].dataType.simpleString()
-    return trace.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {step} long, stop string", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = trace.select(key, step, *(F.col(c).cast("double").alias(c) for c in TRACE))
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {step} long, stop string", "ring array<double>, marked boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def unfinished(parts: DataFrame, done: DataFrame, key: str, expected: str, rows: str) -> DataFrame:
+    """Parts that have fewer rows done than expected; the others are skipped."""
+    have = done.groupBy(key).agg(F.sum(rows).alias("_have"))
+    return parts.join(have, key, "left").where(F.coalesce("_have", F.lit(0)) < F.col(expected)).drop("_have")
 
 
 def append_new(batch: DataFrame, done_path: str, keys: list[str]) -> None:

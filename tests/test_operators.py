@@ -1,9 +1,13 @@
 """Operators on small tables written out here."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import groups, relations, sampling, sequences
+from loomspark.operators import gates, groups, relations, sampling, sequences
 from loomspark.sources import readers, writers
+from loomspark.streaming import events
 
 
 def test_sequential_dedupe_is_the_ordered_pass(spark):
@@ -31,10 +35,37 @@ def test_split_and_quotas(spark):
     assert sampling.cycle(df.limit(3), 7, 1, "id").count() == 7
 
 
-def test_early_stop(spark):
-    df = spark.createDataFrame([("r", i, 1.0 if i > 3 else 0.0, 0.1, 0.2) for i in range(1, 10)], "run string, step int, z double, inv double, m double")
-    got = groups.early_stop(df, "run", "step", zero="z", invalid="inv", mean="m").orderBy("step").collect()
-    assert [r["stop"] for r in got] == [None] * 7 + ["zero_std_5"] * 2
+def test_early_stop_in_batch_and_stream(spark, tmp_path):
+    schema = "run string, step long, reward_std double, zero_std boolean, executable_rate double, marker_rate double, multiple_program_rate double, all_wrong boolean, loss double"
+    row = lambda run, i, **k: (run, i, *({"std": 1.0, "zero": False, "ex": 1.0, "mark": 0.0, "multi": 0.0, "wrong": False, "loss": 1.0} | k).values())
+    rows = [row("std", i, std=0.0 if i > 3 else 1.0) for i in range(1, 10)] + [row("zero", i, zero=i > 2) for i in range(1, 12)] + [row("ex", i, ex=0.5) for i in range(1, 11)]
+    rows += [row("mark", i, mark=float(i == 2)) for i in range(1, 4)] + [row("multi", i, multi=1.0) for i in range(1, 5)] + [row("wrong", i, wrong=True, multi=1.0) for i in range(1, 6)] + [row("nan", 1, loss=float("nan"))]
+    df = spark.createDataFrame(rows, schema)
+    got = {(r["run"], r["step"]): r["stop"] for r in groups.early_stop(df, "run", "step").collect()}
+    v, c, u = groups.VARIANCE, groups.CONTRACT, groups.UNSTABLE
+    assert [got["std", i] for i in range(1, 10)] == [None] * 7 + [v] * 2
+    assert got["zero", 9] is None and got["zero", 10] == got["zero", 11] == v and got["ex", 9] is None and got["ex", 10] == c
+    assert [got["mark", i] for i in range(1, 4)] == [None, c, c] and [got["multi", i] for i in range(1, 5)] == [None, None, c, c]
+    assert [got["wrong", i] for i in range(1, 6)] == [None, None, c, c, v] and got["nan", 1] == u
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = events.stop_rules(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = s.writeStream.format("memory").queryName("stops").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["run"], r["step"]): r["stop"] for r in spark.table("stops").collect()} == got
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(300)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    src = lambda: events.source(spark, str(tmp_path / "in"), rows.schema)
+    for name, made in {"counted": events.counts(src()), "session": events.sessions(src()), "unique": events.distinct(src(), ["event_id"])}.items():
+        q = made.writeStream.format("memory").queryName(name).outputMode("append" if name == "unique" else "complete" if name == "counted" else "append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert spark.table("counted").agg(F.sum("rows")).first()[0] == rows.count() == spark.table("unique").count()
+    assert spark.table("session").agg(F.sum("rows")).first()[0] <= rows.count()
+    for _ in range(2):
+        events.append_new(rows, str(tmp_path / "out"), ["event_id"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.select("event_id").distinct().count()
 
 
 def test_sources(spark, tmp_path):
@@ -46,3 +77,32 @@ def test_sources(spark, tmp_path):
     assert [r["line_no"] for r in readers.read_numbered(spark, str(tmp_path / "a.jsonl")).orderBy("line_no").collect()] == [1, 3, 4]
     df = spark.createDataFrame([(1, ["a", "b"])], "id int, tags array<string>")
     assert writers.flat(df).first()["tags"] == "a;b"
+    (tmp_path / "c.jsonl").write_text('{"conversations": [{"from": "human", "value": "a"}]}\n\nx\n{"conversations": [{"from": "cat", "value": "a"}]}\n')
+    assert readers.validate_lines(spark.read.text(str(tmp_path / "c.jsonl"))).first().asDict() == {"lines": 4, "blank": 1, "bad_json": 1, "bad_turns": 1, "valid": 1}
+    assert sorted(r["id"] for r in readers.allowlist(spark.createDataFrame([("a",), ('{"id": "b"}',), ("",)], "value string")).collect()) == ["a", "b"]
+    with pytest.raises(ValueError, match="no id"):
+        readers.allowlist(spark.createDataFrame([("",)], "value string"))
+
+
+def test_long_texts_are_cut_once(spark):
+    """N-grams of a text of 20,000 words take no more than a few seconds."""
+    df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20_000)))], "id int, text string")
+    began = time.perf_counter()
+    assert relations.overlaps(df, df, 8).first()["shared"] == 19_993
+    assert time.perf_counter() - began < 20
+
+
+def test_gates(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, config string")
+    assert gates.require_same(df.where("config = 'a'"), "config").count() == 2
+    with pytest.raises(Exception, match="configurations differ"):
+        gates.require_same(df, "config").collect()
+    assert gates.bucket_rows(df, {"x": (F.col("config") == "a", 1)}, 1, "id").count() == 1
+    with pytest.raises(Exception, match="fewer than 3"):
+        gates.bucket_rows(df, {"x": (F.col("config") == "a", 3)}, 1, "id").collect()
+
+
+def test_places_and_pairs(spark):
+    left, right = spark.range(0, 1000, 3).withColumn("v", F.col("id") * 2), spark.range(500).withColumnRenamed("id", "k")
+    got = relations.zip_rows(left, right, "id", "k").collect()
+    assert len(got) == 334 and all(r["id"] == 3 * (r["place"] - 1) and r["k"] == r["place"] - 1 for r in got)
