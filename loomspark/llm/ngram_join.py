@@ -234,10 +234,16 @@ class _Join:
         kind = texts.schema["id"].dataType.simpleString()
         self.rows = s.save(texts.mapInArrow(_rows(n, percent), f"id {kind}, n int, cls long, inside int, pool array<long>"), "rows")
         pool = self.rows.where("n > 0").select("cls", "n", "inside", F.posexplode("pool").alias("at", "h"))
+        open_ = s.save(self._prefixes(pool).select("cls").distinct(), "open-classes")
+        # the pool has done its work
+        self.rows = s.save(self.rows.select("id", "n", "cls"), "rows")
+        for name, keep in (("rows", 1), ("prefix", 0)):
+            s.drop(name, keep)
         # classes that may be linked at all; in what follows they alone count, with all their n-grams
-        self.sets = self._sets(texts, n, self._prefixes(pool).select("cls").distinct())
+        self.sets = self._sets(texts, n, open_)
         every = self.sets.select("cls", F.size("grams").alias("n"), F.explode("grams").alias("h"))
         self.prefix = self._prefixes(every.withColumn("inside", F.col("n")).withColumn("at", F.lit(0)))
+        s.drop("prefix")
 
     def _prefixes(self, pool: DataFrame) -> DataFrame:
         """(h, cls, n, pos, rank) of the n-grams in prefixes that more than one class has there.
@@ -248,6 +254,7 @@ class _Join:
         shared = s.save(self._several(pool), "several")
         s.release()
         met = s.save(pool.join(shared, "h").distinct(), "shared")
+        s.drop("several", 0)
         s.release()
         classes = met.groupBy("h").agg(F.count("*").alias("df"))
         outside = (F.col("at") >= F.col("inside")).cast("int")
@@ -260,6 +267,8 @@ class _Join:
         rank = F.when(F.col("outside") == 1, F.col("mine") + F.col("at") - F.col("inside")).otherwise(F.col("place") - 1).cast("int")
         length = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
         prefix = s.save(ranked.select("h", "cls", "n", pos.alias("pos"), rank.alias("rank")).where(F.col("pos") < length), "prefix")
+        s.drop("shared", 0)
+        s.release()
         return s.save(prefix.join(self._several(prefix), "h", "left_semi"), "prefix")
 
     @staticmethod
