@@ -38,7 +38,7 @@ LENGTH, K = 100, 32
 SHARD, CROWD = 1_000_000, 2048
 _BATCH = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPANS = "o long, th int, s long, e long"
+_SPANS = "o long, th long, s long, e long"
 
 
 def _hashes(raw: bytes) -> np.ndarray:
@@ -162,7 +162,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         o, s, th = (np.array([r[k] for r in held], np.int64) for k in (2, 4, 3))
         k, a, b = covered([r[5] for r in held], o, s)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (o[k], th[k].astype(np.int32), s[k] + a, s[k] + b)], ["o", "th", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (o[k], th[k], s[k] + a, s[k] + b)], ["o", "th", "s", "e"])
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -199,12 +199,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Places (o, th, h, sh, s, e) of the segments whose anchor occurs more than once."""
     found = texts.where(F.octet_length("raw") >= LENGTH).select("o", "th", "raw")
-    found = scratch.save(found.mapInArrow(_anchor_rows, "o long, th int, s array<int>, e array<int>, h array<long>, sh array<long>"), "anchors")
+    found = scratch.save(found.mapInArrow(_anchor_rows, "o long, th long, s array<int>, e array<int>, h array<long>, sh array<long>"), "anchors")
     twice = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     twice = scratch.save(twice, "twice")
     scratch.release()
     flat = found.select("o", "th", F.inline(F.arrays_zip("h", "sh", "s", "e")))
-    return scratch.save(flat.join(twice, "h"), "places")
+    places = scratch.save(flat.join(twice, "h"), "places")
+    scratch.drop("anchors", keep=0)
+    scratch.drop("twice", keep=0)
+    scratch.release()
+    return places
 
 
 def _later() -> F.Column:
@@ -217,7 +221,7 @@ def _differing(texts: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFra
     differ = firsts.join(kinds, "h").groupBy("first.o", "first.th").agg(F.collect_list(F.struct("h", "sh", "first.s", "first.e", "kinds")).alias("found"))
     rows = texts.select("o", "th", "raw").join(differ, ["o", "th"]).select("o", "th", "raw", "found")
     # rows that repeat id and text give the same segments again; they fall together in the shards
-    return scratch.save(rows.mapInArrow(_segments, "o long, th int, h long, sh long, s long, kinds int, segment binary"), "differ")
+    return scratch.save(rows.mapInArrow(_segments, "o long, th long, h long, sh long, s long, kinds int, segment binary"), "differ")
 
 
 def _crowded(differ: DataFrame, scratch: Scratch) -> DataFrame:
@@ -239,6 +243,9 @@ def _spans(texts: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
     some = differ.where(F.col("kinds") <= CROWD).select("h", "sh", "o", "th", "s", "segment")
     arrays = scratch.save(some.repartition("h").sortWithinPartitions("h", "sh").mapInArrow(_shards, _SPANS), "arrays")
     crowded = _crowded(differ, scratch)
+    # the segments' bytes aren't needed any more
+    scratch.drop("differ", keep=0)
+    scratch.release()
     many = firsts.where("n > 1").select("h", "sh", F.col("first.o").alias("fo"), F.col("first.s").alias("fs"))
     copies = places.join(many, ["h", "sh"]).where(_later()).select("o", "th", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
     spans = copies.unionByName(arrays).unionByName(crowded)
@@ -250,11 +257,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("raw"))
-    texts = texts.select("id", "raw", F.coalesce("id", F.lit(-(2**63))).alias("o"), F.hash("raw").alias("th"))
+    texts = texts.select("id", "raw", F.coalesce("id", F.lit(-(2**63))).alias("o"), F.xxhash64("raw").alias("th"))
 
     places = _shared(texts, scratch)
-    scratch.drop("anchors", keep=0)
-    scratch.release()
     spans = _spans(texts, places, scratch)
     for name in ("places", "firsts", "differ", "arrays", "windows"):
         scratch.drop(name, keep=0)
