@@ -106,3 +106,12 @@ def test_places_and_pairs(spark):
     left, right = spark.range(0, 1000, 3).withColumn("v", F.col("id") * 2), spark.range(500).withColumnRenamed("id", "k")
     got = relations.zip_rows(left, right, "id", "k").collect()
     assert len(got) == 334 and all(r["id"] == 3 * (r["place"] - 1) and r["k"] == r["place"] - 1 for r in got)
+
+
+def test_bm25_without_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The cat sat"), (2, "a cat, a dog; a cat"), (2, "dog"), (3, ""), (4, None), (5, "bird")], "doc_id int, text string")
+    queries = spark.createDataFrame([(7, "cat dog"), (8, "THE bird bird"), (9, None)], "item_id int, text string")
+    rows = lambda: sorted((r["item_id"], r["doc_id"], round(r["score"], 9)) for r in sequences.bm25(docs, queries).collect())
+    few = rows()
+    monkeypatch.setattr(sequences, "BROADCAST_TERMS", 0)
+    assert rows() == few and [r[:2] for r in few] == [(7, 1), (7, 2), (8, 1), (8, 5)]
