@@ -190,14 +190,19 @@ def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
 
 
 def with_language(docs: DataFrame, model: dict, least: float, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows whose language is ``und`` or scored below ``least``."""
+    """``docs`` with all its columns, without the rows whose language is ``und`` or scored below ``least``.
+
+    If nothing could be learned, no language can be rejected: only rows without a letter go."""
     sent = bounded(docs.sparkSession).sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, learned = docs.columns.index(text_col), bool(model["families"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guess = Predictor(sent.value)
         for b in batches:
-            kept = [lang != "und" and sure >= least for lang, sure in (guess(t.as_py()) for t in b.column(at))]
+            if learned:
+                kept = [lang != "und" and sure >= least for lang, sure in (guess(t.as_py()) for t in b.column(at))]
+            else:
+                kept = [bool(_LETTERS.search(t.as_py() or "")) for t in b.column(at)]
             yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -280,6 +280,7 @@ def test_language(spark, none):
     got = {r["id"]: r for r in langid.predict(df, model).collect()}
     assert all(got[r[0]]["lang_pred"] == r[2] for r in rows[:-2]) and got[900]["lang_pred"] == got[901]["lang_pred"] == "und"
     assert langid.with_language(df, model, 0.5).count() == len(rows) - 2
+    assert langid.with_language(df, langid.train(none, F.lit(True)), 0.5).count() == len(rows) - 2
     assert langid.predict(df, langid.train(none, F.lit(True))).where("lang_pred <> 'und'").count() == 0
 
 
