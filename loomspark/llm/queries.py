@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import html_text, langid, toxicity
 from .byte_bpe import encode_decode
+from .elkan import elkan, with_inertia
 from .exact_dedup import exact_dedup
 from .mixing import mix_sizes
 from .ngram_join import ngram_components
@@ -161,3 +162,25 @@ links AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(root, vec_id)) AS kept
 FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id) LEFT JOIN (SELECT id AS vec_id, min(other) AS root FROM reached GROUP BY id) USING (vec_id)
 """
+
+
+@query
+def op11_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_inertia(*elkan(bounded(spark).read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+#: Rows (vec_id, d: squared distance and number of the nearest centroid of table c) and the centroids that follow, in DuckDB.
+_NEAREST = """a{n} AS MATERIALIZED (SELECT vec_id, any_value(v.x) AS x, min({{'d': CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c.c}}) AS near FROM v, c{n} c GROUP BY vec_id)"""
+_MEANS = """s{n} AS (SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT near.c AS c, unnest(x) AS e, unnest(range(64)) AS i FROM a{n}) GROUP BY c, i),
+m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{n} GROUP BY c),
+c{m} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (c))"""
+
+ORACLE["op11_elkan"] = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+h AS (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM v),
+c0 AS MATERIALIZED (SELECT c, x FROM h WHERE c < 16),
+{", ".join(_NEAREST.format(n=n) + ", " + _MEANS.format(n=n, m=n + 1) for n in range(3))}, {_NEAREST.format(n=3)}
+SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia, CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.c = near.c
+"""
