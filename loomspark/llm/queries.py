@@ -14,6 +14,7 @@ from .mixing import mix_sizes
 from .ngram_join import ngram_components
 from .nn_descent import near_duplicates
 from .scratch import bounded
+from .shard_cuts import shard
 from .suffix_dedup import remove_repeats
 from .token_store import read_shards, tokenize_to_shards
 
@@ -184,3 +185,36 @@ c0 AS MATERIALIZED (SELECT c, x FROM h WHERE c < 16),
 SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia, CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
 FROM a3 JOIN c3 ON c3.c = near.c
 """
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut, _ = shard(documents(spark, sf_dir), 40)
+    return cut.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: crc32 of a list of bytes in DuckDB: a table made by the rule of the polynomial, and a fold over the bytes.
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda z, e: xor(z >> 1, 3988292384 * (z & 1))) AS c FROM range(256) r(i)))"
+
+
+def _crc(bytes_: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], {bytes_}), lambda z, e: xor(t[1 + (xor(z, e) & 255)], z >> 8)), 4294967295)"
+
+
+ORACLE["op13_sharding"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, sha256(coalesce(text, '')) AS h,
+  CAST({_crc("list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT))")} AS BIGINT) AS text_crc32 FROM documents, crc),
+g AS (SELECT h, CAST(sum(size) AS BIGINT) AS z FROM d GROUP BY h),
+p AS MATERIALIZED (SELECT h, row_number() OVER (ORDER BY h) AS i, z, CAST(sum(z) OVER (ORDER BY h) AS BIGINT) AS p FROM g UNION ALL SELECT '', 0, 0, 0),
+dp(s, i, m) AS (SELECT 1, i, p FROM p UNION ALL SELECT dp.s + 1, x.i, min(greatest(dp.m, x.p - y.p)) FROM dp JOIN p y ON y.i = dp.i JOIN p x ON x.i >= y.i WHERE dp.s < 40 GROUP BY dp.s, x.i),
+c AS MATERIALIZED (SELECT m AS c, (SELECT max(p) FROM p) AS t FROM dp WHERE s = 40 ORDER BY i DESC LIMIT 1),
+l(s, l) AS (SELECT 40, t FROM c UNION ALL SELECT l.s - 1, min(p.p) FROM l JOIN c ON true JOIN p ON p.p >= l.l - c.c WHERE l.s > 1 GROUP BY l.s),
+f AS MATERIALIZED (SELECT * FROM l),
+w(s, x) AS (SELECT 0, CAST(0 AS BIGINT) UNION ALL
+  SELECT s + 1, greatest(CASE WHEN goal = a THEN a WHEN a = x THEN b WHEN b - x > c OR goal - a <= b - goal THEN a ELSE b END, l) FROM (
+    SELECT w.s, w.x, c.c, f.l, w.x + (c.t - w.x) // (40 - w.s) AS goal, max(p.p) FILTER (p.p <= w.x + (c.t - w.x) // (40 - w.s)) AS a, coalesce(min(p.p) FILTER (p.p > w.x + (c.t - w.x) // (40 - w.s)), c.t) AS b
+    FROM w JOIN c ON true JOIN f ON f.s = w.s + 1 JOIN p ON true WHERE w.s < 39 GROUP BY w.s, w.x, c.c, c.t, f.l)),
+o AS (SELECT p.h, CAST(count(*) FILTER (w.s > 0 AND w.x <= p.p - p.z) AS INTEGER) AS shard FROM p, w WHERE p.i > 0 GROUP BY p.h)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM d JOIN o USING (h)
+"""
