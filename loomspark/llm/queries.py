@@ -17,6 +17,7 @@ from .scratch import bounded
 from .shard_cuts import shard
 from .suffix_dedup import remove_repeats
 from .token_store import read_shards, tokenize_to_shards
+from .turn_repair import damage, digests, repair
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -187,12 +188,6 @@ FROM a3 JOIN c3 ON c3.c = near.c
 """
 
 
-@query
-def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut, _ = shard(documents(spark, sf_dir), 40)
-    return cut.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
 #: crc32 of a list of bytes in DuckDB: a table made by the rule of the polynomial, and a fold over the bytes.
 _CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda z, e: xor(z >> 1, 3988292384 * (z & 1))) AS c FROM range(256) r(i)))"
 
@@ -201,6 +196,46 @@ def _crc(bytes_: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295], {bytes_}), lambda z, e: xor(t[1 + (xor(z, e) & 255)], z >> 8)), 4294967295)"
 
 
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = bounded(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    report, repaired = repair(damage(talks), talks)
+    found = digests(repaired).select(F.col("id").alias("of"), "sha256")
+    out = report.join(found, report["id"].eqNullSafe(found["of"]), "left")
+    return out.select(F.col("id").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: A conversation is walked turn by turn; of each state the least (cost, audit, text) goes on. ``due`` is the state after the next turn by state.
+ORACLE["op12_turn_repair"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, due(q, z, name) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc("list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda e: CAST(unicode(e) AS BIGINT))")} % 20 AS k FROM conversations, crc),
+e AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(conv_id || ':' || length(role) || ':' || role || text), copy) AS i, role[1] AS initial FROM e),
+r AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM n),
+f AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY conv_id),
+ins(q, z, c, a, o) AS (SELECT q, q, 0, '', '' FROM due UNION ALL SELECT ins.q, due.z, c + 5, a || 'I', o || chr(10) || due.name || ':' FROM ins JOIN due ON due.q = ins.z WHERE c < 15),
+ed(x, c) AS (VALUES ('K', 0), ('R', 1), ('D', 2)),
+w(conv_id, i, q, b) AS (SELECT conv_id, CAST(0 AS BIGINT), 0, {{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}} FROM f UNION ALL
+  SELECT conv_id, i, q, min({{'c': c, 'a': a, 'o': o}}) FROM (
+    SELECT w.conv_id, r.i, CASE WHEN ed.x = 'D' THEN ins.z WHEN ed.x = 'K' AND r.initial = 's' THEN 1 ELSE due.z END AS q, CAST(w.b.c + ins.c + ed.c + CASE WHEN ed.x <> 'D' AND r.fault = 't' THEN 5 ELSE 0 END AS BIGINT) AS c, w.b.a || ins.a || ed.x AS a,
+      w.b.o || ins.o || CASE ed.x WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || r.role || ':' || r.text ELSE chr(10) || due.name || ':' || r.text END AS o
+    FROM w JOIN r ON r.conv_id = w.conv_id AND r.i = w.i + 1 JOIN ins ON ins.q = w.q JOIN due ON due.q = ins.z JOIN ed ON ed.x = 'D' OR (r.fault NOT IN ('b', 'd') AND (ed.x = 'R' OR r.initial = due.name[1] OR (ins.z = 0 AND r.initial = 's'))))
+  GROUP BY conv_id, i, q),
+l AS (SELECT w.conv_id, min({{'c': w.b.c + ins.c, 'a': w.b.a || ins.a, 'o': w.b.o || ins.o}}) AS b FROM w JOIN f ON f.conv_id = w.conv_id AND f.n = w.i JOIN ins ON ins.q = w.q WHERE ins.z IN (0, 3) GROUP BY w.conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.o[2:], '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN f USING (conv_id) LEFT JOIN l USING (conv_id)
+"""
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut, _ = shard(documents(spark, sf_dir), 40)
+    return cut.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 ORACLE["op13_sharding"] = f"""
 WITH RECURSIVE {_CRC_TABLE},
 d AS MATERIALIZED (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, sha256(coalesce(text, '')) AS h,
