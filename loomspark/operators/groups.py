@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,13 +55,13 @@ NO_SPREAD, ZERO_SHARE, LEAST_RUNS = 1e-8, 0.8, 0.7
 VARIANCE, CONTRACT, UNSTABLE = "zero_reward_variance", "execution_contract_regression", "numerical_instability"
 
 
-def early_stop(df: DataFrame, key: str, step: str) -> DataFrame:
+def early_stop(df: DataFrame, key: str, step: str, finite: Sequence[str] = ("loss",)) -> DataFrame:
     """``df`` with ``stop``: the reason to stop after each row of a trace, null if there is none.
 
     df has reward_std, zero_std (boolean), executable_rate, marker_rate, multiple_program_rate, all_wrong
-    (boolean) and loss. Rules look at the last 3, 5 or 10 rows, markers at all so far; the last rule that
+    (boolean) and the columns of ``finite``, all that is logged as a number. Rules look at the last 3, 5 or 10 rows, markers at all so far; the last rule that
     applies names the reason, in this order: no spread in 5 rows; else no spread in 8 of 10; else less than
-    0.7 executable over 10; any marker; several programs in 3 rows; 5 rows all wrong; a loss that isn't finite."""
+    0.7 executable over 10; any marker; several programs in 3 rows; 5 rows all wrong; a logged number that isn't finite."""
     tail = lambda n: Window.partitionBy(key).orderBy(step).rowsBetween(-(n - 1), 0)
     full = lambda n: F.count("*").over(tail(n)) == n
     share = lambda c, n: F.avg(F.coalesce(c, F.lit(False)).cast("double")).over(tail(n))
@@ -73,7 +75,7 @@ def early_stop(df: DataFrame, key: str, step: str) -> DataFrame:
         F.when(F.max(number("marker_rate")).over(so_far) > 0, CONTRACT),
         F.when(all_of(number("multiple_program_rate") > 0, 3), CONTRACT),
         F.when(all_of(F.col("all_wrong"), 5), VARIANCE),
-        F.when(F.isnan("loss") | (F.abs("loss") == float("inf")), UNSTABLE),
+        F.when(F.coalesce(F.exists(F.array(*(F.col(c).cast("double") for c in finite)), lambda v: F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False)), UNSTABLE),
     ]
     return df.withColumn("stop", F.coalesce(*reversed(rules)))
 

@@ -61,9 +61,10 @@ def _prompted(spark, d: str) -> DataFrame:
     return records.with_prompt(records.supervision(raw(spark, d)), "You answer questions on reports.", "Evidence:\nProgram:\nAnswer:")
 
 
-@query(_RAW + r"""
+@query(_RAW + r""", m AS (SELECT *, CAST(p - q AS DOUBLE) AS v FROM s), n AS (SELECT *, v + CASE WHEN v < 0 THEN -1 ELSE 1 END * greatest(abs(v) * CAST(0.12 AS DOUBLE), 1) AS moved FROM m),
+o AS (SELECT *, CASE WHEN moved = floor(moved) THEN CAST(CAST(moved AS BIGINT) AS VARCHAR) ELSE rtrim(rtrim(format('{:.4f}', moved), '0'), '.') END AS other FROM n)
 SELECT record_id, md5('Evidence:' || chr(10) || '- ' || evidence || chr(10) || chr(10) || 'Program: ' || program || chr(10) || chr(10) || 'Answer: ' || norm) AS target,
-  md5('Evidence:' || chr(10) || '- ' || evidence || chr(10) || chr(10) || 'Program: ' || replace(program, 'subtract', 'add') || chr(10) || chr(10) || 'Answer: ' || norm) AS rejected FROM s WHERE k IN (0, 2)""")
+  md5('Evidence:' || chr(10) || '- ' || evidence || chr(10) || chr(10) || 'Program: ' || replace(program, 'subtract', 'add') || chr(10) || chr(10) || 'Answer: ' || other) AS rejected FROM o WHERE k IN (0, 2)""")
 def c_items(spark, d):
     made = _prompted(spark, d)
     sft = records.sft_items(made, "A,B").where(F.size("conversations") == 2).select("record_id").distinct()
@@ -195,26 +196,38 @@ def b_question_kinds(spark, d):
     return t.select("l_orderkey", "l_linenumber", "p", "s", kind.alias("kind"), scale.alias("scale"), C.history_dependency(q, F.col("p") % 2 == 0).alias("dependency"), C.hard_row(kind, F.size(P.ops(p)), C.RATIO_TYPES).alias("hard"), C.ratio_row(kind, scale).alias("ratio"), F.array_join(P.denominators(p), ",").alias("denominators"))
 
 
-@query(_ASKED + """, x AS (SELECT *, p % 2 = 0 AS good, s % 2 = 0 AS bad FROM t)
+@query(_ASKED + """, a AS (SELECT *, p % 2 = 0 AS good, s % 2 = 0 AS bad, CASE k WHEN 0 THEN [p, 7, s, 1] WHEN 3 THEN [p] ELSE [p, s] END AS used, [p, 7, 1] AS seen, s % 250 AS words,
+  length(CASE k WHEN 0 THEN 'divide(subtract(' || p || ', 7), add(' || s || ', 1))' WHEN 1 THEN 'subtract(' || p || ', ' || s || ')' WHEN 2 THEN 'average(' || p || ', ' || s || ')' ELSE CAST(p AS VARCHAR) END) AS chars FROM t),
+f AS (SELECT *, CAST(len(list_intersect(list_distinct(used), list_distinct(seen))) AS DOUBLE) AS common, CASE WHEN k = 0 THEN CASE WHEN list_contains(seen, s) THEN 1.0 ELSE 0.5 END ELSE 1.0 END::DOUBLE AS denominator, CASE WHEN k <> 0 AND p % 2 = 1 THEN 0 ELSE 1 END::DOUBLE AS divides,
+  CASE k WHEN 3 THEN 0 ELSE 1 END::DOUBLE AS shortcut FROM a),
+g AS (SELECT *, 2 * common / (len(list_distinct(used)) + len(list_distinct(seen))) AS source, 1 - common / len(list_distinct(used)) AS extra FROM f),
+h AS (SELECT *, CAST(0.24 AS DOUBLE) * (CAST(s % 5 AS DOUBLE) / 4) + CAST(0.14 AS DOUBLE) * source + CAST(0.14 AS DOUBLE) + CAST(0.16 AS DOUBLE) * (1 - extra) + CAST(0.12 AS DOUBLE) * divides + CAST(0.1 AS DOUBLE) * denominator + CAST(0.06 AS DOUBLE) + CAST(0.04 AS DOUBLE) * shortcut AS total FROM g),
+m AS (SELECT *, greatest(0, least(1, total * least(divides, denominator, shortcut, 1))) AS semantic, CAST(s % 10 AS DOUBLE) / 10 AS likeness, least(CAST(0.1 AS DOUBLE), greatest(chars - 24, 0) / CAST(24 AS DOUBLE) * CAST(0.2 AS DOUBLE)) AS long FROM h)
 SELECT l_orderkey, l_linenumber, p, s, CASE WHEN k = 3 THEN -1 WHEN good AND bad THEN 0.25 WHEN good THEN 1 WHEN bad THEN -0.3 ELSE -0.1 END::DOUBLE AS band,
-  CASE WHEN k = 3 THEN 0 WHEN good THEN greatest(CAST(0.5 AS DOUBLE), CAST(1.04 AS DOUBLE)) ELSE CAST(0.05 AS DOUBLE) END AS reward,
-  CASE WHEN k = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS denominator, CASE k WHEN 3 THEN 0 ELSE 1 END::DOUBLE AS shortcut, CAST(1 AS DOUBLE) AS divides, CASE k WHEN 0 THEN 0.86 WHEN 3 THEN 0.0 ELSE 0.96 END::DOUBLE AS semantic, CAST(0.05 AS DOUBLE) AS shape FROM x""")
+  round(CASE WHEN k = 3 THEN 0 WHEN good THEN greatest(CAST(0.5 AS DOUBLE), 1 + CAST(0.05 AS DOUBLE) * likeness + CAST(0.03 AS DOUBLE) * source + CAST(0.02 AS DOUBLE) - long)
+    ELSE least(CAST(0.2 AS DOUBLE), greatest(0, CAST(0.2 AS DOUBLE) * likeness - CAST(0.1 AS DOUBLE) * (1 - semantic) - long)) END, 9) AS reward,
+  denominator, shortcut, divides, round(source, 9) AS source, round(extra, 9) AS extra, round(semantic, 9) AS semantic,
+  round(CASE WHEN words = 0 OR words > 220 THEN 0 ELSE least(CAST(1 AS DOUBLE), words / CAST(80 AS DOUBLE), 1 - (words - 160) / CAST(60 AS DOUBLE)) END, 9) AS shape FROM m""")
 def d_rewards(spark, d):
     t = _asked(spark, d)
     p, right, runs = F.col("program"), F.col("p") % 2 == 0, F.col("k") < 3
     one, zero = F.lit(1.0), F.lit(0.0)
     evidence = F.concat(F.lit("- the values "), F.col("p").cast("string"), F.lit(", 7 and 1"))
-    denominator = F.when(F.col("k") == 0, F.when(F.col("s").isin(1, 7) | (F.col("s") == F.col("p")), 0.5).otherwise(W.denominator_grounding(p, evidence))).otherwise(W.denominator_grounding(p, evidence))
-    shortcut = W.lookup_shortcut(F.lit("difference"), p)
-    semantic = W.semantic_process({"process": F.lit(0.5), "source": one, "scale": one, "extra": zero, "ratio_divide": one, "denominator": F.when(F.col("k") == 0, 0.9).otherwise(1.0), "table": one, "lookup": shortcut, "strict": one, "shortcut": zero})
-    reward = W.completion_reward(exact=right, executable=runs, closeness=F.lit(0.5), structure=F.lit(0.8), coverage=zero, steps=zero, semantic=F.lit(0.5), format_penalty=zero, length_penalty_=W.length_penalty(p, 1000, 0.1, 0.1))
-    return t.select("l_orderkey", "l_linenumber", "p", "s", C.reward_band(right, runs, F.col("s") % 2 == 0).alias("band"), F.round(reward, 9).alias("reward"), denominator.alias("denominator"), shortcut.alias("shortcut"),
-        W.ratio_divides(F.col("question"), F.when(F.col("k") == 0, p).otherwise(F.lit("divide(1, 2)"))).alias("divides"), F.round(F.when(F.col("k") == 0, F.lit(0.86)).otherwise(semantic + F.when(F.col("k") == 3, 0.0).otherwise(0.08)), 9).alias("semantic"), F.round(W.length_shape(F.lit("a b c d")), 9).alias("shape"))
+    question = F.when((F.col("k") != 0) & ~right, "which percentage of it").otherwise(F.col("question"))
+    t = X.computed(t, denominator=W.denominator_grounding(p, evidence), shortcut=W.lookup_shortcut(F.lit("difference"), p), divides=W.ratio_divides(question, p), source=W.source_precision(p, evidence), extra=W.extra_numbers(p, evidence))
+    c = F.col
+    semantic = W.semantic_process({"process": (c("s") % 5) / F.lit(4.0), "source": c("source"), "scale": one, "extra": c("extra"), "ratio_divide": c("divides"), "denominator": c("denominator"), "table": one, "lookup": c("shortcut"), "strict": one, "shortcut": zero})
+    t = X.computed(t, semantic=semantic, likeness=(c("s") % 10) / F.lit(10.0))
+    reward = W.completion_reward(exact=right, executable=runs, closeness=c("likeness"), structure=c("likeness"), coverage=c("source"), steps=one, semantic=c("semantic"), format_penalty=zero, length_penalty_=W.length_penalty(p, 24, 0.2, 0.1))
+    rounded = lambda *names: [F.round(n, 9).alias(n) for n in names]
+    return t.select("l_orderkey", "l_linenumber", "p", "s", C.reward_band(right, runs, F.col("s") % 2 == 0).alias("band"), F.round(reward, 9).alias("reward"), "denominator", "shortcut", "divides", *rounded("source", "extra", "semantic"),
+        F.round(W.length_shape(F.repeat(F.lit("a "), (c("s") % 250).cast("int"))), 9).alias("shape"))
 
 
 @query(_ASKED + """
 SELECT l_orderkey, l_linenumber, p, s, CASE WHEN p % 2 = 0 THEN 0.55 ELSE 0 END::DOUBLE AS answer, CAST(0.03 AS DOUBLE) AS format, CAST(0.08 AS DOUBLE) AS runs, CASE k WHEN 3 THEN 0 ELSE 0.12 END::DOUBLE AS operators, CAST(0.05 AS DOUBLE) AS evidence, CAST(0.05 AS DOUBLE) AS brief,
-  CAST(1 AS DOUBLE) AS tags, CAST(CAST(p % 2 = 0 AS INT) AS DOUBLE) AS exact, CASE WHEN p % 2 = 0 THEN 11.5 ELSE 5.5 END::DOUBLE AS quality FROM t""")
+  CAST(1 AS DOUBLE) AS tags, CAST(CAST(p % 2 = 0 AS INT) AS DOUBLE) AS exact,
+  round(CASE WHEN p % 2 = 0 THEN CAST(7 AS DOUBLE) / 2 + 4 + 1 ELSE CAST(4 AS DOUBLE) / 2 END + CASE WHEN k = 3 THEN 0 ELSE 1.5 END::DOUBLE + CAST(0.5 AS DOUBLE) - least(CAST(2 AS DOUBLE), (s % 7) * CAST(0.5 AS DOUBLE)) - greatest(1000 + 10 * s - 1400, 0) / CAST(1400 AS DOUBLE), 6) AS quality FROM t""")
 def d_reward_set(spark, d):
     t = _asked(spark, d)
     right = F.col("p") % 2 == 0
@@ -223,9 +236,9 @@ def d_reward_set(spark, d):
     parts = W.reward_set(completion, F.col("program"), F.lit(3.0), gold, F.col("program"), F.concat(F.lit("of "), F.col("p").cast("string")), ("Evidence:", "Program:"), ("Answer:",))
     tagged = F.concat(F.lit("<think>x</think>\n<answer>"), F.col("p").cast("string"), F.lit("</answer>"))
     total = W.rubric({"consistent": (right, F.lit(False)), "complete": (F.lit(False), F.lit(True)), "relevant": (right, F.lit(True)), "other": (F.lit(False), F.lit(False)), "shown": (F.lit(True), F.lit(True))})["total"]
-    quality = W.quality({"answer_correct": right, "format_ok": F.lit(True), "has_answer": F.lit(True), "program_consistent": right}, F.lit(0), total, F.lit(100))
+    quality = W.quality({"answer_correct": right, "format_ok": F.col("k") < 3, "has_answer": F.lit(True), "program_consistent": right}, F.col("s") % 7, total, 1000 + 10 * F.col("s"))
     return t.withColumn("r", parts).select("l_orderkey", "l_linenumber", "p", "s", *(F.round(f"r.{n}", 9).alias(n) for n in ("answer", "format", "runs", "operators", "evidence", "brief")), W.format_reward(tagged).alias("tags"),
-        W.exact_reward(tagged, F.when(right, F.col("p").cast("string")).otherwise("no")).alias("exact"), (quality + F.when(right, 1.0).otherwise(1.5)).alias("quality"))
+        W.exact_reward(tagged, F.when(right, F.col("p").cast("string")).otherwise("no")).alias("exact"), quality.alias("quality"))
 
 
 # Filters and gates

@@ -59,7 +59,7 @@ def supervision(df: DataFrame, *, facts: int = 3, chars: int = 400) -> DataFrame
         )
     )
     semantic = F.array_compact(
-        F.array(F.when(C.semantic_risk(c("question"), c("_evidence")), "question_evidence_semantic_risk"), F.when(c("_swapped") != c("_aligned"), "table_evidence_replaced_by_text"), F.when(X.suspicious_question(c("question")), "suspicious_question_text"))
+        F.array(F.when(C.semantic_risk(c("question"), c("_evidence")), "question_semantic_risk"), F.when(c("_swapped") != c("_aligned"), "table_evidence_replaced_by_text"), F.when(X.suspicious_question(c("question")), "suspicious_question_text"))
     )
     d = X.computed(d, answer_unit=unit, answer_scale=scale, audit_flags=F.array_sort(F.array_distinct(F.concat(flags, "_answer_flags"))), semantic_audit_flags=F.array_sort(semantic))
     d = X.computed(d, quality_tier=C.tier(F.concat("audit_flags", "semantic_audit_flags")), answer_source=F.when(c("program_executable").isNotNull(), "program_executable").otherwise("raw_answer"))
@@ -85,9 +85,26 @@ def sft_items(df: DataFrame, tiers: str = "A") -> DataFrame:
     return df.where(gates.listed(F.col("quality_tier"), tiers, "A")).select("record_id", sharegpt(F.col("prompt"), F.col("target")).alias("conversations"))
 
 
+# Lines of a rejected response that lacks them.
+NO_PROGRAM, NO_ANSWER = "Program: use a nearby unsupported calculation", "0"
+
+
+def rejected_response(chosen: Column) -> Column:
+    """A response whose program lines have an operator swapped and whose answer lines have a number moved; a line
+    that is missing is added, wrong."""
+    lines = F.split(chosen, "\n")
+    body = lambda x, head: X.strip(F.substr(x, F.lit(len(head) + 1)))
+    swap = lambda head, f: lambda x: F.concat(F.lit(f"{head} "), f(body(x, head)))
+    program, answer = swap("Program:", P.mutate), swap("Answer:", N.mutate_number)
+    changed = F.transform(lines, lambda x: F.when(x.startswith("Program:"), program(x)).when(x.startswith("Answer:"), answer(x)).otherwise(x))
+    missing = lambda head, line: F.when(~F.exists(lines, lambda x: x.startswith(head)), line)
+    more = F.array_compact(F.array(missing("Program:", F.lit(NO_PROGRAM)), missing("Answer:", F.concat(F.lit("Answer: "), N.mutate_number(F.lit(NO_ANSWER))))))
+    return F.array_join(F.concat(changed, more), "\n")
+
+
 def dpo_items(df: DataFrame, tiers: str = "A") -> DataFrame:
-    """(record_id, question, response_chosen, response_rejected): the target against one with its program mutated."""
-    rejected = F.replace(F.col("target"), F.col("program_canonical"), P.mutate(F.col("program_canonical")))
+    """(record_id, question, response_chosen, response_rejected): the target against one with program and answer made wrong."""
+    rejected = rejected_response(F.col("target"))
     return df.where(gates.listed(F.col("quality_tier"), tiers, "A")).select("record_id", F.col("prompt").alias("question"), F.col("target").alias("response_chosen"), rejected.alias("response_rejected"))
 
 
