@@ -599,4 +599,4 @@ def f_leakage_and_tier(spark, d):
     return c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("record_id"), C.leakage(prompt, winner=winner).alias("leak"), (low & C.clean_rollout(winner)).alias("clean"), C.tier(flags).alias("tier"))
 
 
-from . import catalog_rows, catalog_turns  # noqa: E402, F401  (they register their queries)
+from . import catalog_more, catalog_rows, catalog_turns  # noqa: E402, F401  (they register their queries)
