@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import latex
 from ..operators import retrieval
 from .catalog import ORACLE, query, table
 
@@ -23,3 +24,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_i
 def m_top_dense(spark, d):
     e = table(spark, d, "embeddings")
     return retrieval.top_dense(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), 10)
+
+
+@query("""
+WITH t AS (SELECT doc_id, doc_id % 97 + 2 AS p, n_chars % 89 + 2 AS q, doc_id % 10 AS k FROM documents)
+SELECT doc_id, p, q, CAST(CASE WHEN k IN (1, 7) THEN p = q WHEN k IN (5, 9) THEN false ELSE true END AS DOUBLE) AS reward FROM t""")
+def d_latex_equality(spark, d):
+    """Answers made of two numbers of each document in ten pairs of forms."""
+    t = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 97 + 2).alias("p"), (F.col("n_chars") % 89 + 2).alias("q"), (F.col("doc_id") % 10).alias("k"))
+    made = [
+        (r"\frac{%1$d}{%2$d}", r"\dfrac{%3$d}{%4$d}"), (r"\frac{%1$d}{%2$d}", r"\frac{%2$d}{%1$d}"), (r"\sqrt{%5$d}", r"%1$d\sqrt{%2$d}"), (r"x^2 + %1$dx + %2$d", r"%2$d + x\left(x + %1$d\right)"), (r"\{%1$d, %2$d\}", r"\{%2$d, %1$d\}"),
+        ("[%1$d, %2$d)", "[%1$d, %2$d]"), ("%1$d.5", r"\frac{%6$d}{2}"), ("(%1$d, %2$d)", "(%2$d, %1$d)"), (r"%1$d\%%", r"\frac{%1$d}{100}"), ("x = %1$d", "%1$d.001"),
+    ]
+    p, q = F.col("p"), F.col("q")
+    form = lambda side: F.element_at(F.array(*(F.format_string(f[side], p, q, 3 * p, 3 * q, p * p * q, 2 * p + 1) for f in made)), (F.col("k") + 1).cast("int"))
+    t = t.select("doc_id", "p", "q", F.concat(F.lit(r"Thus \boxed{"), form(0), F.lit("}.")).alias("said"), F.concat(F.lit("So it is #### "), form(1)).alias("gold"))
+    return latex.latex_reward(t, "said", "gold").select("doc_id", "p", "q", "reward")
