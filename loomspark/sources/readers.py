@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +37,19 @@ def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_numbered(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
-    """(file, line_no from 1, line) of text files; blank lines count but are left out."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    out = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    out = out.select("file", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+    """(file, line_no from 1, line) of text files; blank lines count but are left out.
+
+    Files are read in splits by many tasks. Each split's lines are counted, sums over the splits before give its first number, and
+    lines are numbered within their split; one row a split is broadcast, by a hash of its file. Both reads are planned
+    at once, so they see the same splits; a line of a split without a count is an error."""
+    at = ["_split", "_start"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_at"))
+    lines = lines.withColumn("_split", F.xxhash64("file"))
+    counts = lines.groupBy(*at).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_split").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select(*at, "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = F.coalesce(F.col("_before") + F.col("_at") - F.col("_first") + 1, F.raise_error(F.lit("files changed while they were read")).cast("long"))
+    out = lines.join(F.broadcast(base), at, "left").select("file", number.alias("line_no"), F.col("value").alias("line"))
     return out if keep_blank else out.where(F.trim("line") != "")
 
 
