@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,37 +35,51 @@ def distinct(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFr
     return _timed(events, late).dropDuplicatesWithinWatermark(keys)
 
 
-#: What the rules of an early stop need of a row, as numbers.
-TRACE = ("reward_std", "zero_std", "executable_rate", "marker_rate", "multiple_program_rate", "all_wrong", "loss")
+#: What the rules of an early stop need of a row, as numbers, and the most rows that one looks at.
+TRACE = ("reward_std", "zero_std", "executable_rate", "marker_rate", "multiple_program_rate", "all_wrong", "unstable")
+LONGEST = 10
 
 
-def stop_rules(trace: DataFrame, key: str = "run", step: str = "step") -> DataFrame:
+def numbered(trace: DataFrame, key: str, step: str, finite: Sequence[str] = ("loss",)) -> DataFrame:
+    """Rows as the rules take them; ``unstable`` where a column of ``finite`` isn't."""
+    unstable = F.exists(F.array(*(F.col(c).cast("double") for c in finite)), lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    return trace.withColumn("unstable", F.coalesce(unstable, F.lit(False))).select(key, F.col(step).cast("long").alias(step), *map(number, TRACE))
+
+
+def stop_reason(ring: list[tuple], marked: bool) -> str | None:
+    """Why to stop after the last of ``ring``, the latest rows of a run (as TRACE) up to ten of them."""
+    last = lambda name, n: [r[TRACE.index(name)] for r in ring[-n:]] if len(ring) >= n else None
+    tests = [
+        (G.UNSTABLE, ring[-1][TRACE.index("unstable")] > 0),
+        (G.VARIANCE, (x := last("all_wrong", 5)) is not None and all(x)),
+        (G.CONTRACT, (x := last("multiple_program_rate", 3)) is not None and min(x) > 0),
+        (G.CONTRACT, marked),
+        (G.VARIANCE, (x := last("reward_std", 5)) is not None and max(x) <= G.NO_SPREAD),
+        (G.VARIANCE, (x := last("zero_std", 10)) is not None and sum(x) / 10 >= G.ZERO_SHARE),
+        (G.CONTRACT, (x := last("executable_rate", 10)) is not None and sum(x) / 10 < G.LEAST_RUNS),
+    ]
+    return next((reason for reason, holds in tests if holds), None)
+
+
+def stop_rules(trace: DataFrame, key: str = "run", step: str = "step", finite: Sequence[str] = ("loss",)) -> DataFrame:
     """(key, step, stop) by the rules of ``groups.early_stop``, with a ring of the last ten rows of each run and
-    whether a marker was seen as state. Rows of a trigger are taken in order of their step."""
+    whether a marker was seen as state. Rows of a trigger are taken in order of their step; ``stops.ordered_stops`` takes
+    rows that come out of order across triggers."""
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flat, marked = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
         ring = [tuple(flat[k : k + len(TRACE)]) for k in range(0, len(flat), len(TRACE))]
         out = []
         for s, *row in pd.concat(list(batches)).sort_values(step)[[step, *TRACE]].itertuples(index=False):
-            ring = [*ring, tuple(0.0 if v is None else float(v) for v in row)][-10:]
-            marked = marked or ring[-1][3] > 0
-            last = lambda name, n: [r[TRACE.index(name)] for r in ring[-n:]] if len(ring) >= n else None  # noqa: B023, E731
-            tests = [
-                (G.UNSTABLE, not math.isfinite(ring[-1][6])),
-                (G.VARIANCE, (x := last("all_wrong", 5)) is not None and all(x)),
-                (G.CONTRACT, (x := last("multiple_program_rate", 3)) is not None and min(x) > 0),
-                (G.CONTRACT, marked),
-                (G.VARIANCE, (x := last("reward_std", 5)) is not None and max(x) <= G.NO_SPREAD),
-                (G.VARIANCE, (x := last("zero_std", 10)) is not None and sum(x) / 10 >= G.ZERO_SHARE),
-                (G.CONTRACT, (x := last("executable_rate", 10)) is not None and sum(x) / 10 < G.LEAST_RUNS),
-            ]
-            out.append((keys[0], s, next((reason for reason, holds in tests if holds), None)))
+            ring = [*ring, tuple(map(float, row))][-LONGEST:]
+            marked = marked or ring[-1][TRACE.index("marker_rate")] > 0
+            out.append((keys[0], s, stop_reason(ring, marked)))
         state.update(([v for r in ring for v in r], marked))
         yield pd.DataFrame(out, columns=[key, step, "stop"])
 
     kind = trace.schema[key].dataType.simpleString()
-    rows = trace.select(key, step, *(F.col(c).cast("double").alias(c) for c in TRACE))
+    rows = numbered(trace, key, step, finite)
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {step} long, stop string", "ring array<double>, marked boolean", "append", GroupStateTimeout.NoTimeout)
 
 
