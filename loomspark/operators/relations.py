@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
+from ..sources.shared import Shared
 
 #: Tokens of an overlap n-gram, in lower case: words or single other characters. The ASCII part of the class
 #: is looked up first, the rest of the word characters only where it fails.
@@ -126,26 +128,102 @@ def pair_positives(positive: Column, negative: Column, most: int) -> Column:
     return F.slice(F.filter(made, lambda x: x["rejected"].isNotNull()), 1, most)
 
 
-def sequential_dedupe(df: DataFrame, key: str, prompt: str, order: str, rounds: int = 100) -> DataFrame:
-    """Rows of which no kept row before (by ``order``, unique) has the key or the prompt.
-
-    A row that comes first of its key and of its prompt among the open rows stays; rows that share either
-    with it go; what is left is open again. Rounds are as many as such rows hang on one another; more than
-    ``rounds`` of them raise. Each round's lineage is cut by ``checkpoint`` where the session has a folder."""
-    sc = df.sparkSession.sparkContext
-    cut = (lambda d: d.checkpoint()) if sc.getCheckpointDir() else (lambda d: d.persist())
-    open_, kept, held = cut(df.select(key, prompt, order)), None, []
-    for _ in range(rounds):
-        w = lambda c: F.min(order).over(Window.partitionBy(c))
-        first = cut(open_.withColumn("_k", w(key)).withColumn("_p", w(prompt)).where((F.col(order) == F.col("_k")) & (F.col(order) == F.col("_p"))).select(key, prompt, order))
-        kept = first if kept is None else kept.unionByName(first)
-        before, open_ = open_, cut(open_.join(first.select(key).distinct(), key, "left_anti").join(first.select(prompt).distinct(), prompt, "left_anti"))
-        held.append(first)
-        done = open_.isEmpty()
-        before.unpersist()
+#: Rows of a component of keys and prompts up to which one task may pass over it in order.
+ONE_TASK = 1_000_000
+
+
+def sequential_dedupe(df: DataFrame, key: str, prompt: str, order: str, one_task: int = ONE_TASK) -> DataFrame:
+    """Rows of which no kept row before (by ``order``, unique) has the key or the prompt. Nulls are equal to one another.
+
+    Of the open rows, those that come first of their key and of their prompt stay. A row with one open row before it, in its key or its prompt, stays
+    if that one goes: such rows hang on one another in chains, which doubling resolves in a logarithmic number of joins, however long they are. Rows that
+    share a key or a prompt with one that stays go. Where a round decides less than half of the open rows, each connected component of keys and prompts that
+    has up to ``one_task`` rows is passed over in order by one task; greater ones go on in rounds, each of which decides some rows.
+    No window holds more than two rows of a key from each task. Actions run while the plan is built; steps are written to the shared folder."""
+    shared = Shared(df.sparkSession, "sequential-dedupe")
+    text = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value"))
+    rows = df.select(F.col(order).alias("at"), F.xxhash64(F.lit(1), text(key)).alias("k1"), F.xxhash64(F.lit(2), text(key)).alias("k2"), F.xxhash64(F.lit(1), text(prompt)).alias("p1"), F.xxhash64(F.lit(2), text(prompt)).alias("p2"))
+    rows = rows.select("at", F.struct("k1", "k2").alias("k"), F.struct("p1", "p2").alias("p"))
+    # of equal pairs only the first can stay
+    open_ = shared.save(rows.groupBy("k", "p").agg(F.min("at").alias("at")), "open")
+    left, kept = open_.count(), []
+    while left:
+        first = shared.save(_first_in_both(open_), "first")
+        stay = shared.save(_alternating(first, shared), "stay")
+        kept.append(stay.select("at"))
+        rest = open_.join(stay.select("k").distinct(), "k", "left_anti").join(stay.select("p").distinct(), "p", "left_anti")
+        open_ = shared.save(rest, "open")
+        before, left = left, open_.count()
+        if left > before / 2:
+            root = _components(open_, shared)
+            small = root.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= one_task).select("root")
+            root = shared.save(root.join(small.withColumn("small", F.lit(True)), "root", "left"), "root")
+            passed = root.where("small").select("root", "at", "k", "p").groupBy("root").applyInPandas(_pass, "at " + df.schema[order].dataType.simpleString())
+            kept.append(shared.save(passed, "passed"))
+            open_ = shared.save(root.where("small is null").select("k", "p", "at"), "open")
+            left = open_.count()
+    if not kept:
+        return df.where(F.lit(False))
+    every = kept[0]
+    for k in kept[1:]:
+        every = every.unionByName(k)
+    return df.join(every.withColumnRenamed("at", order), order, "left_semi")
+
+
+def _first_in_both(open_: DataFrame) -> DataFrame:
+    """Open rows with ``before``: null for those first of key and prompt; the one open row before those that have one; rows with more are left out."""
+
+    def two(c: str) -> DataFrame:
+        w = Window.partitionBy(c).orderBy("at")
+        return open_.select(c, "at", F.row_number().over(w).alias("n")).where("n <= 2")
+
+    def place(c: str) -> DataFrame:
+        t = two(c)
+        lead = t.where("n = 1").select(c, F.col("at").alias("lead"))
+        return t.join(lead, c).select("at", F.col("n").alias(f"n_{c}"), F.when(F.col("n") == 2, F.col("lead")).alias(f"lead_{c}"))
+
+    both = open_.join(place("k"), "at").join(place("p"), "at").where("n_k = 1 or n_p = 1")
+    return both.select("at", "k", "p", F.coalesce("lead_k", "lead_p").alias("before"))
+
+
+def _alternating(first: DataFrame, shared: Shared) -> DataFrame:
+    """The rows that stay among chains of rows with one row before: those an even number of steps from a first one."""
+    t = shared.save(first.select("at", F.coalesce("before", "at").alias("to"), F.when(F.col("before").isNull(), 0).otherwise(1).alias("odd"), F.col("before").isNull().alias("done")), "chain")
+    while True:
+        up = t.select(F.col("at").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"), F.col("done").alias("ends"))
+        # a row whose chain leads to one with several rows before it waits
+        joined = t.where("not done").join(up, "to").select("at", F.col("next").alias("to"), (F.col("odd") + F.col("more")) % 2, "ends")
+        moved = shared.save(joined.toDF("at", "to", "odd", "done"), "moved")
+        if moved.isEmpty():
+            break
+        t = shared.save(t.where("done").unionByName(moved), "chain")
+    return first.join(t.where("done and odd = 0").select("at"), "at")
+
+
+def _components(open_: DataFrame, shared: Shared) -> DataFrame:
+    """Open rows with ``root``, the least row of those that shared keys and prompts connect: the least root of a key and of a prompt, and of the root itself, in turns."""
+    t = shared.save(open_.withColumn("root", F.col("at")), "labels")
+    while True:
+        least = lambda d, c: d.join(d.groupBy(c).agg(F.min("root").alias("least")), c).withColumn("root", F.col("least")).drop("least")
+        n = least(least(t.withColumn("was", F.col("root")), "k"), "p")
+        up = n.groupBy(F.col("was").alias("root")).agg(F.min("root").alias("next"))  # the least that any row of an old root found
+        n = n.join(up.withColumnRenamed("root", "was"), "was").select("k", "p", "at", F.least("root", "next").alias("root"), "was")
+        n = shared.save(n, "labels")
+        done = n.where("root <> was").isEmpty()
+        t = n.drop("was")
         if done:
-            return df.join(kept.select(order), order, "left_semi")
-    raise RuntimeError(f"rows are still open after {rounds} rounds")
+            return t
+
+
+def _pass(rows: pd.DataFrame) -> pd.DataFrame:
+    keys, prompts, kept = set(), set(), []
+    for at, k, p in rows.sort_values("at")[["at", "k", "p"]].itertuples(index=False):
+        k, p = tuple(k.values()) if isinstance(k, dict) else tuple(k), tuple(p.values()) if isinstance(p, dict) else tuple(p)
+        if k not in keys and p not in prompts:
+            keys.add(k)
+            prompts.add(p)
+            kept.append(at)
+    return pd.DataFrame({"at": kept})
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
