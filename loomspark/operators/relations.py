@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bind
 from ..sources.shared import Shared
+from .offsets import running
 
 #: Tokens of an overlap n-gram, in lower case: words or single other characters. The ASCII part of the class
 #: is looked up first, the rest of the word characters only where it fails.
@@ -231,17 +232,11 @@ def zip_rows(left: DataFrame, right: DataFrame, left_order: str, right_order: st
     return places(left, left_order, "place").join(places(right, right_order, "place"), "place")
 
 
-def places(df: DataFrame, order: str, name: str, ranges: int = 64) -> DataFrame:
-    """``df`` with the place of each row by ``order`` (numeric, unique), from 1. Rows are numbered within ranges
-    that quantiles bound, after the rows of the ranges before, so no task holds a whole table."""
-    bounds = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)])).first()[0] or []
-    part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(bounds)))), lambda x: x < F.col(order))) if bounds else F.lit(0)
-    inside = df.withColumn("_part", part)
-    counts = inside.groupBy("_part").agg(F.count("*").alias("_n"))
-    # a row a range
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")
-    return inside.join(F.broadcast(before), "_part").withColumn(name, at).drop("_part", "_before")
+def places(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with the place of each row by ``order`` (unique), from 1. Places come from running sums over ranges of
+    the order alone, as many ranges as Spark makes of the table; no task holds a whole table. Actions run while the plan is built."""
+    at = running(df, F.lit(0), order, F.lit(1), Shared(df.sparkSession, "places"))
+    return df.join(at.select(order, (F.col("at") + 1).alias(name)), order)
 
 
 def overlap_count(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

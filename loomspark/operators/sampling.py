@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Shared
+from .offsets import mark_lowest, running, small
+
 
 def order_key(seed: int, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in ids)))
@@ -39,11 +42,10 @@ def quotas(counts: DataFrame, n: int, strata: list[str], count: str = "c") -> Da
 
 
 def stratified(df: DataFrame, strata: list[str], n: int, seed: int, *ids: str) -> DataFrame:
-    """n rows in proportion to the strata, at random within each."""
+    """n rows in proportion to the strata, at random within each. Histograms of the order find each stratum's last row; no task holds a stratum."""
     counts = df.groupBy(*strata).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*strata).orderBy(order_key(seed, *(F.col(c) for c in ids)), *ids)
-    ranked = df.withColumn("_place", F.row_number().over(w))
-    return ranked.join(quotas(counts, n, strata).select(*strata, "quota"), strata).where("_place <= quota").drop("_place", "quota")
+    key = order_key(seed, *(F.col(c) for c in ids))
+    return mark_lowest(df, strata, quotas(counts, n, strata), key, list(ids), "_in").where("_in").drop("_in")
 
 
 def round_robin(df: DataFrame, strata: list[str], n: int, *order: Column) -> DataFrame:
@@ -54,11 +56,13 @@ def round_robin(df: DataFrame, strata: list[str], n: int, *order: Column) -> Dat
 
 
 def priority_fill(df: DataFrame, priority: Column, n: int, seed: int, *ids: str) -> DataFrame:
-    """One row of each priority class in order, then any at random, n in all."""
+    """One row of each priority class in order, then any at random, n in all. Each class's first row comes from an aggregate."""
     key = order_key(seed, *(F.col(c) for c in ids))
-    w = Window.partitionBy("_class").orderBy(key, *ids)
-    ranked = df.withColumn("_class", priority).withColumn("_first", F.row_number().over(w) == 1)
-    return ranked.orderBy(F.desc("_first"), F.when(F.col("_first"), F.col("_class")), key, *ids).limit(n).drop("_class", "_first")
+    at = F.struct(key.alias("key"), *ids)
+    ranked = df.withColumn("_class", F.struct(priority.alias("v"))).withColumn("_at", at)
+    first = small(ranked.groupBy("_class").agg(F.min("_at").alias("_least")))
+    ranked = ranked.join(first, "_class").withColumn("_first", F.col("_at") == F.col("_least"))
+    return ranked.orderBy(F.desc("_first"), F.when(F.col("_first"), F.col("_class.v")), "_at").limit(n).select(*df.columns)
 
 
 def cycle(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
@@ -100,14 +104,18 @@ def exact_or_raise(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def chunks(df: DataFrame, size: int, order: str, by: list[str]) -> DataFrame:
-    """``df`` with ``part``: parts of ``size`` rows within each group, in order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    return df.withColumn("part", F.floor(place / size))
-
-
-def phases(df: DataFrame, pilot: int, by: list[str], *order: Column) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("phase", F.when(place <= pilot, "pilot").otherwise("extension"))
+    """``df`` with ``part``: parts of ``size`` rows within each group, in order (unique in a group); places come from running sums over ranges."""
+    shared = Shared(df.sparkSession, "chunks")
+    at = running(df, F.struct(*by), order, F.lit(1), shared)
+    key = F.struct(F.struct(*by).alias("v"))
+    return df.withColumn("_g", key).join(at.select(F.col("g").alias("_g"), order, F.floor(F.col("at") / size).alias("part")), ["_g", order]).select(*df.columns, "part")
+
+
+def phases(df: DataFrame, pilot: int, by: list[str], seed: int, *ids: str) -> DataFrame:
+    """``df`` with ``phase``: the first ``pilot`` rows of each group, at random, are the pilot."""
+    wanted = df.select(*by).distinct().withColumn("quota", F.lit(pilot))
+    marked = mark_lowest(df, by, wanted, order_key(seed, *(F.col(c) for c in ids)), list(ids), "_in")
+    return marked.withColumn("phase", F.when(F.col("_in"), "pilot").otherwise("extension")).drop("_in")
 
 
 def bucket_mix(df: DataFrame, buckets: dict[str, tuple[Column, float]], n: int, seed: int, *ids: str, rest: str = "rest") -> DataFrame:

@@ -584,7 +584,7 @@ def a_metric_means(spark, d):
 @query("""
 SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5('2:' || doc_id)) <= 20 THEN 'pilot' ELSE 'extension' END AS phase FROM documents""")
 def w_phases(spark, d):
-    return L.phases(table(spark, d, "documents").select("doc_id", "lang"), 20, ["lang"], L.order_key(2, F.col("doc_id"))).select("doc_id", "phase")
+    return L.phases(table(spark, d, "documents").select("doc_id", "lang"), 20, ["lang"], 2, "doc_id").select("doc_id", "phase")
 
 
 @query("""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import latex
-from ..operators import retrieval
+from ..operators import relations, retrieval, sampling
+from ..operators import sequences as Q
 from .catalog import ORACLE, query, table
 
 
@@ -40,3 +41,33 @@ def d_latex_equality(spark, d):
     form = lambda side: F.element_at(F.array(*(F.format_string(f[side], p, q, 3 * p, 3 * q, p * p * q, 2 * p + 1) for f in made)), (F.col("k") + 1).cast("int"))
     t = t.select("doc_id", "p", "q", F.concat(F.lit(r"Thus \boxed{"), form(0), F.lit("}.")).alias("said"), F.concat(F.lit("So it is #### "), form(1)).alias("gold"))
     return latex.latex_reward(t, "said", "gold").select("doc_id", "p", "q", "reward")
+
+
+@query(r"""
+WITH w AS (SELECT source, doc_id, list_append(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []), '</s>') AS t FROM documents), u AS (SELECT source, doc_id, unnest(t) AS token, unnest(range(len(t))) AS i FROM w),
+p AS (SELECT source, token, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS pos, count(*) OVER (PARTITION BY source) AS total FROM u)
+SELECT source, CAST(pos // 512 AS BIGINT) AS block, count(*) AS n, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens FROM p WHERE (pos // 512 + 1) * 512 <= total OR total < 512 GROUP BY source, pos // 512""")
+def m_packed_tokens(spark, d):
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    packed = Q.pack(table(spark, d, "documents").select("doc_id", "source", words.alias("tokens")), "tokens", "doc_id", "source", 512, "</s>")
+    return packed.select("source", "block", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') || n_chars % 50 AS k, coalesce(lang, '') || doc_id % 97 AS p, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+s(i, ks, ps, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT) UNION ALL
+  SELECT t.i, CASE WHEN ok THEN list_append(ks, k) ELSE ks END, CASE WHEN ok THEN list_append(ps, p) ELSE ps END, CASE WHEN ok THEN doc_id END FROM (SELECT s.ks, s.ps, t.*, NOT list_contains(s.ks, t.k) AND NOT list_contains(s.ps, t.p) AS ok FROM s JOIN t ON t.i = s.i + 1) AS t)
+SELECT kept AS doc_id FROM s WHERE kept IS NOT NULL""")
+def u_sequential_dedupe(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.col("n_chars") % 50).alias("k"), F.concat(F.coalesce("lang", F.lit("")), F.col("doc_id") % 97).alias("p"))
+    return relations.sequential_dedupe(t, "k", "p", "doc_id").select("doc_id")
+
+
+@query("""
+WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY md5('11:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY source, lang) AS n FROM documents)
+SELECT doc_id, source, lang, k <= n // 2 AS half FROM r""")
+def w_half_of_each(spark, d):
+    """The half of every source and language that comes first by hash, and the other rows."""
+    t = table(spark, d, "documents").select("doc_id", "source", "lang")
+    wanted = t.groupBy("source", "lang").agg(F.floor(F.count("*") / 2).alias("quota"))
+    return sampling.mark_lowest(t, ["source", "lang"], wanted, sampling.order_key(11, F.col("doc_id")), ["doc_id"], "half")
