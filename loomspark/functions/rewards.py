@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,6 +155,107 @@ def completion_reward(*, exact: Column, executable: Column, closeness: Column, s
     return F.when(~executable, 0.0).when(exact, F.greatest(F.lit(floor), likeness - penalty)).otherwise(F.least(F.lit(cap), F.greatest(F.lit(0.0), wrong)))
 
 
+# Reward of an invalid completion, weights of the process score, of likeness by whether outcome comes first, what answer lines add and cost by mode.
+INVALID = -1.0
+PROCESS = {"evidence_alignment": 0.04, "argument_precision": 0.04, "operation_prior": 0.03, "dsl": 0.01, "ratio_divide": 0.0, "denominator": 0.0, "table": 0.0, "lookup": 0.0}
+LIKENESS = {False: (0.05, 0.03, 0.02), True: (0.03, 0.02, 0.01)}
+ANSWER_FIRST = {"program": 0.15, "consistent": 0.05, "no_dsl": 0.12, "floor": 0.55}
+CALIBRATION = {(True, True): 0.25, (True, False): 1.0, (False, True): -0.3, (False, False): -0.1}
+AUX = {"answer": 0.06, "consistent": 0.04, "missing": 0.05, "inconsistent": 0.15, "wrong": 0.01}
+GATED = {"answer": 0.03, "consistent": 0.05, "missing": 0.04, "most": 0.25}
+DENSE = {"trailing": 0.04, "infix": 0.06, "wrapper": 0.06, "scale": 0.04}
+PLAIN = {"forbidden": 0.05, "multiple": 0.05, "trailing": 0.05}
+DENSE_LEAST, DENSE_MOST = 0.02, 0.35
+
+#: Modes of ``program_reward``.
+MODES = ("execution", "answer_only", "answer_first", "frontier_execution_calibration", "program_first_answer_aux", "program_gated_answer_aux")
+
+
+@dataclass(frozen=True)
+class RewardSettings:
+    """How completions are rewarded; the defaults are fixed values."""
+
+    mode: str = "execution"
+    outcome_first: bool = False
+    dense: bool = False
+    hard_gate: bool = False
+    process: bool = False
+    process_weight: float = 0.12
+    brevity_weight: float = 0.02
+    floor: float = 0.85
+    wrong_cap: float = 0.2
+    invalid: float = INVALID
+    soft_weight: float = 0.05
+    soft_most: float = 0.15
+    semantic_weight: float = 0.0
+    history_weight: float = 0.0
+
+    def __post_init__(self) -> None:
+        if self.mode not in MODES:
+            raise ValueError(f"mode {self.mode!r} is none of {', '.join(MODES)}")
+
+
+def process_score(scores: dict[str, Column], weights: dict[str, float] = PROCESS) -> Column:
+    """How a program came about, in [0, 1]: the weighted mean of the scores named in ``weights``."""
+    return weighted(scores, weights)
+
+
+def program_reward(parts: dict[str, Column], settings: RewardSettings = RewardSettings()) -> Column:
+    """The reward of a program completion in one of six modes.
+
+    Numbers: answer_only, answer_first, structure, coverage, steps, closeness, semantic, process, scale, brevity, history (scores), schema_reasons and contract_reasons
+    (counts), length_penalty, reasoning_penalty. Booleans: runs, exact, dsl (strictly valid), answered (it names a number), consistent (that the program gives),
+    forbidden, multiple, trailing, answer_line, infix, wrapper, history_due. What is missing or null counts as 0 or false, but scale and history as 1."""
+    s = settings
+    ones = {"scale": 1.0, "history": 1.0}
+    n = lambda k: F.coalesce(parts[k].cast("double"), F.lit(ones.get(k, 0.0))) if k in parts else F.lit(ones.get(k, 0.0))
+    is_ = lambda k: n(k) > 0
+    aux, gated = s.mode == "program_first_answer_aux", s.mode == "program_gated_answer_aux"
+    if s.mode == "answer_only":
+        return n("answer_only")
+    soft = sum((F.least(F.lit(s.soft_most), F.lit(s.soft_weight) * n(k)) for k in ("schema_reasons", "contract_reasons")), F.lit(0.0))
+    lengths = n("length_penalty") + n("reasoning_penalty")
+    if s.mode == "answer_first":
+        worth = 1.0 + F.lit(ANSWER_FIRST["program"]) * n("exact") + F.lit(ANSWER_FIRST["consistent"]) * n("consistent")
+        cost = soft + F.when(is_("dsl"), 0.0).otherwise(ANSWER_FIRST["no_dsl"]) + lengths
+        return F.when(is_("answer_first"), F.greatest(F.lit(ANSWER_FIRST["floor"]), worth - cost)).otherwise(0.0)
+    violated = n("schema_reasons") + n("contract_reasons") > 0
+    invalid = F.lit(s.invalid if s.outcome_first else INVALID)
+    if s.mode == "frontier_execution_calibration":
+        bad = violated | ~is_("dsl")
+        score = lambda right: F.when(bad, CALIBRATION[right, True]).otherwise(CALIBRATION[right, False])
+        return F.when(~is_("runs"), invalid).when(is_("exact"), score(True)).otherwise(score(False))
+
+    trailing = is_("trailing") & ~is_("answer_line") if aux or gated else is_("trailing")
+    flag = lambda c, w: F.when(c, w).otherwise(0.0)
+    if s.dense:
+        format_ = soft + flag(trailing, DENSE["trailing"]) + flag(is_("infix"), DENSE["infix"]) + flag(is_("wrapper"), DENSE["wrapper"]) + F.lit(DENSE["scale"]) * (1.0 - F.least(n("scale"), F.lit(1.0)))
+    elif s.outcome_first:
+        format_ = soft
+    else:
+        format_ = sum((flag(is_(k), w) for k, w in PLAIN.items()), F.lit(0.0))
+    process = F.lit(s.process_weight) * n("process") if s.process else F.lit(0.0)
+
+    right = sum((F.lit(w) * n(k) for k, w in zip(("structure", "coverage", "steps"), LIKENESS[s.outcome_first], strict=True)), F.lit(1.0)) + F.lit(s.brevity_weight) * n("brevity") + process
+    clash = is_("answered") & ~is_("consistent")
+    if aux:
+        right = right + F.lit(AUX["answer"]) * n("answer_first") + F.lit(AUX["consistent"]) * n("consistent") - F.when(~is_("answered"), AUX["missing"]).when(clash, AUX["inconsistent"]).otherwise(0.0)
+    if gated:
+        agreed = right + F.lit(GATED["answer"]) * n("answer_first") + F.lit(GATED["consistent"]) * n("consistent")
+        right = F.when(~is_("answered"), right - GATED["missing"]).when(clash, F.least(right, F.lit(GATED["most"]))).otherwise(agreed)
+    right = F.greatest(F.lit(s.floor), right - format_ - lengths)
+    if gated:
+        right = F.when(clash, F.least(right, F.lit(GATED["most"]))).otherwise(right)
+    if s.dense:
+        right = F.when(is_("infix") | trailing | is_("wrapper"), F.least(right, 1.0 - F.least(F.lit(DENSE_MOST), F.greatest(F.lit(DENSE_LEAST), format_)))).otherwise(right)
+    right = F.when(is_("history_due") & (n("history") < 1.0), F.least(right, 1.0 - F.lit(s.history_weight) * (1.0 - n("history")))).otherwise(right)
+
+    wrong = F.lit(s.wrong_cap) * n("closeness") - process + (F.lit(AUX["wrong"]) * n("answer_first") if aux else F.lit(0.0))
+    wrong = F.least(F.lit(s.wrong_cap), F.greatest(F.lit(0.0), wrong - F.lit(s.semantic_weight) * (1.0 - n("semantic")) - format_ - lengths))
+    open_ = is_("runs") if not s.hard_gate or s.outcome_first else is_("runs") & ~violated
+    return F.when(~open_, invalid).when(is_("exact"), right).otherwise(wrong)
+
+
 def sequence_reward(scores: dict[str, Column], weights: dict[str, float], bonus: Column, penalty: Column) -> Column:
     """The sequence-level variant: a weighted core in [0, 1], a bonus for short answers and a penalty."""
     return F.greatest(F.lit(0.0), weighted(scores, weights) + bonus - penalty)

@@ -190,20 +190,37 @@ def paired_summary(df: DataFrame, *, task: str, correct: str, flags: dict[str, C
     return by.unionByName(macro, allowMissingColumns=True)
 
 
-def candidate_metrics(df: DataFrame, keys: list[str], *, program: str, executable: str, correct: str, reward: str) -> DataFrame:
-    """Per record over its candidates: shares of distinct programs among all and among those that run, the
-    largest share of one program, mean and deviation of rewards, and what kind of group it is."""
-    per = df.groupBy(*keys, program).agg(
-        F.count("*").alias("c"), F.count_if(executable).alias("e"), F.count_if(correct).alias("r"), F.count_if(F.col(executable) & ~F.col(correct)).alias("w"),
-        F.sum(reward).alias("s"), F.sum(F.col(reward) * F.col(reward)).alias("q"), F.min(reward).alias("low"), F.max(reward).alias("high"),
+# Fixed value: share of one program from which a record's candidates have collapsed.
+COLLAPSED = 0.75
+
+
+def candidate_metrics(df: DataFrame, keys: list[str], *, program: str, executable: str, correct: str, reward: str, completion: str | None = None, skeleton: str | None = None) -> DataFrame:
+    """Per record over its candidates: shares of distinct completions, programs, programs that run and skeletons, the largest share of one program,
+    counts of right, wrong and invalid candidates, deviation of rewards, and what kind of group it is.
+
+    A null program is none: it counts as a candidate, but neither among the programs nor their shares. Without programs the largest share is 1.
+    Without ``completion`` and ``skeleton`` a program stands for either."""
+    has = F.col(program).isNotNull()
+    runs, right = (F.coalesce(F.col(c), F.lit(False)) for c in (executable, correct))
+    text = F.coalesce(F.col(completion), F.lit("")) if completion else F.coalesce(F.col(program), F.lit(""))
+    per = df.groupBy(*keys, program).agg(F.count("*").alias("c"), F.count_if(runs).alias("e"))
+    share = per.where(has).groupBy(*keys).agg(
+        F.count("*").alias("_programs"), F.sum("c").alias("_with"), F.max("c").alias("_most"), F.count_if(F.col("e") > 0).alias("_ran"), F.sum("e").alias("_runs"),
     )
-    n, mean = F.sum("c"), F.sum("s") / F.sum("c")
-    g = per.groupBy(*keys).agg(
-        n.alias("n"), (F.count(program) / n).alias("unique_program_ratio"), F.coalesce(F.try_divide(F.count_if(F.col("e") > 0), F.sum("e")), F.lit(0.0)).alias("executable_program_unique_ratio"),
-        (F.max("c") / n).alias("max_program_share"), mean.alias("reward_mean"), F.sqrt(F.greatest(F.sum("q") / n - mean * mean, F.lit(0.0))).alias("reward_std"),
-        (F.sum("r") > 0).alias("_right"), (F.sum("w") > 0).alias("_wrong"), (F.min("low") < F.max("high")).alias("mixed_reward"),
+    g = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_distinct(text).alias("_texts"), F.count_distinct(F.when(has, F.col(skeleton or program))).alias("_skeletons"), F.count_distinct(reward).alias("reward_unique_count"), F.stddev_pop(reward).alias("reward_std"),
+        F.count_if(right).alias("correct_count"), F.count_if(runs & ~right).alias("wrong_executable_count"), F.count_if(~runs).alias("invalid_count"),
     )
-    return g.withColumn("executable_contrast", F.col("_right") & F.col("_wrong")).withColumn("duplicate_collapse", F.col("max_program_share") >= 0.8).drop("_right", "_wrong")
+    shares = share.select(*(F.col(k).alias(f"_{k}") for k in keys), "_programs", "_with", "_most", "_ran", "_runs")
+    g = g.join(shares, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
+    c = lambda name: F.coalesce(F.col(name), F.lit(0))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return g.select(
+        *keys, "n", (F.col("_texts") / F.col("n")).alias("exact_completion_unique_ratio"), (c("_programs") / F.col("n")).alias("unique_program_ratio"), ratio(c("_ran"), c("_runs")).alias("executable_program_unique_ratio"),
+        (F.col("_skeletons") / F.col("n")).alias("skeleton_unique_ratio"), F.coalesce(F.try_divide(F.col("_most"), F.col("_with")), F.lit(1.0)).alias("max_program_share"), "reward_unique_count", "reward_std",
+        "correct_count", "wrong_executable_count", "invalid_count", (F.col("reward_unique_count") >= 2).alias("mixed_reward"), ((F.col("correct_count") > 0) & (F.col("correct_count") < F.col("n"))).alias("answer_variance"),
+        ((F.col("correct_count") > 0) & (F.col("wrong_executable_count") > 0)).alias("executable_contrast"), (c("_ran") >= 2).alias("effective_diversity"), (F.col("_skeletons") >= 2).alias("canonical_diversity"),
+    ).withColumn("duplicate_collapse", F.col("max_program_share") >= COLLAPSED)
 
 
 def diversity_summary(records: DataFrame, skeletons: DataFrame, skeleton: str, lookup: Column) -> DataFrame:

@@ -315,27 +315,31 @@ def a_paired_summary(spark, d):
 
 
 _CANDIDATES = """
-WITH c AS (SELECT user_id, event_type AS program, value > 4 AS e, value > 20 AS r, value / 100 AS w FROM events), g AS (SELECT user_id, program, count(*) AS c, bool_or(e) AS e FROM c GROUP BY ALL),
-m AS (SELECT user_id, sum(c) AS n, count(*) / sum(c) AS u, count(*) FILTER (e) AS eu, max(c) / sum(c) AS share FROM g GROUP BY user_id),
-k AS (SELECT user_id, CAST(n AS BIGINT) AS n, round(u, 9) AS unique_program_ratio, round(coalesce(eu / nullif((SELECT count(*) FROM c WHERE c.user_id = m.user_id AND c.e), 0), 0), 9) AS executable_program_unique_ratio, round(share, 9) AS max_program_share FROM m),
-f AS (SELECT user_id, min(w) < max(w) AS mixed_reward, bool_or(r) AND bool_or(e AND NOT r) AS executable_contrast, round(stddev_pop(w), 6) AS reward_std FROM c GROUP BY user_id)
+WITH c AS (SELECT user_id, CASE WHEN event_id % 11 > 0 THEN event_type END AS program, event_type || event_id % 3 AS completion, left(event_type, 1) AS skeleton, value > 4 AS e, value > 20 AS r, round(value / 10) AS w FROM events),
+m AS (SELECT user_id, max(c) AS most, sum(c) AS programs FROM (SELECT user_id, program, count(*) AS c FROM c WHERE program IS NOT NULL GROUP BY ALL) GROUP BY user_id),
+k AS (SELECT user_id, count(*) AS n, round(count(DISTINCT completion) / count(*), 9) AS exact_completion_unique_ratio, round(count(DISTINCT program) / count(*), 9) AS unique_program_ratio,
+  round(coalesce(count(DISTINCT program) FILTER (e) / nullif(count(program) FILTER (e), 0), 0), 9) AS executable_program_unique_ratio, round(count(DISTINCT skeleton) FILTER (program IS NOT NULL) / count(*), 9) AS skeleton_unique_ratio, count(DISTINCT w) AS reward_unique_count,
+  round(stddev_pop(w), 6) AS reward_std, count(*) FILTER (r) AS correct_count, count(*) FILTER (e AND NOT r) AS wrong_executable_count, count(*) FILTER (NOT e) AS invalid_count, count(DISTINCT w) >= 2 AS mixed_reward, bool_or(r) AND NOT bool_and(r) AS answer_variance,
+  bool_or(r) AND bool_or(e AND NOT r) AS executable_contrast, count(DISTINCT program) FILTER (e) >= 2 AS effective_diversity, count(DISTINCT skeleton) FILTER (program IS NOT NULL) >= 2 AS canonical_diversity FROM c GROUP BY user_id),
+f AS (SELECT k.*, round(coalesce(most / programs, 1), 9) AS max_program_share, coalesce(most / programs, 1) >= 0.75 AS duplicate_collapse FROM k LEFT JOIN m USING (user_id))
 """
 
 
 def _candidates(spark, d: str) -> DataFrame:
-    c = table(spark, d, "events").select("user_id", F.col("event_type").alias("program"), (F.col("value") > 4).alias("e"), (F.col("value") > 20).alias("r"), (F.col("value") / 100).alias("w"))
-    return A.candidate_metrics(c, ["user_id"], program="program", executable="e", correct="r", reward="w")
+    c = table(spark, d, "events").select("user_id", F.when(F.col("event_id") % 11 > 0, F.col("event_type")).alias("program"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("completion"), F.left("event_type", F.lit(1)).alias("skeleton"),
+        (F.col("value") > 4).alias("e"), (F.col("value") > 20).alias("r"), F.round(F.col("value") / 10).alias("w"))
+    return A.candidate_metrics(c, ["user_id"], program="program", executable="e", correct="r", reward="w", completion="completion", skeleton="skeleton")
 
 
-@query(_CANDIDATES + "SELECT user_id, n, unique_program_ratio, executable_program_unique_ratio, max_program_share, mixed_reward, executable_contrast, reward_std, max_program_share >= 0.8 AS duplicate_collapse FROM k JOIN f USING (user_id)")
+@query(_CANDIDATES + "SELECT * FROM f")
 def a_candidate_metrics(spark, d):
-    rounded = lambda c, n=9: F.round(c, n).alias(c)
-    return _candidates(spark, d).select("user_id", "n", rounded("unique_program_ratio"), rounded("executable_program_unique_ratio"), rounded("max_program_share"), "mixed_reward", "executable_contrast", rounded("reward_std", 6), "duplicate_collapse")
+    t = _candidates(spark, d)
+    return t.select(*(F.round(f.name, 6 if f.name == "reward_std" else 9).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in t.schema))
 
 
 @query(_CANDIDATES + """, s AS (SELECT event_type, count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY event_type)
 SELECT count(*) AS records, round(avg(unique_program_ratio), 6) AS unique_ratio, round(avg(CAST(executable_contrast AS INT)), 6) AS contrast, round(avg(CAST(mixed_reward AS INT)), 6) AS mixed, (SELECT round(-sum(p * log2(p)), 6) FROM s) AS entropy,
-  (SELECT count(*) FROM s) AS skeletons, (SELECT round(max(p), 6) FROM s) AS top1, (SELECT round(avg(CAST(event_type = 'click' AS INT)), 6) FROM events) AS lookups FROM k JOIN f USING (user_id)""")
+  (SELECT count(*) FROM s) AS skeletons, (SELECT round(max(p), 6) FROM s) AS top1, (SELECT round(avg(CAST(event_type = 'click' AS INT)), 6) FROM events) AS lookups FROM f""")
 def a_diversity(spark, d):
     s = A.diversity_summary(_candidates(spark, d), table(spark, d, "events").select("event_type"), "event_type", F.col("event_type") == "click")
     r = lambda c, n: F.round(c, 6).alias(n)
