@@ -63,7 +63,7 @@ def test_lowest(many, monkeypatch, leaf):
 
 def test_pack(many):
     rng = random.Random(4)
-    data = [(i, rng.choice(["hot"] * 5 + [None, "b"]), [rng.randint(1, 9) for _ in range(rng.choice([0, 1, 3, 40, 300]))]) for i in range(200)] + [(900, "tiny", [7]), (901, "b", None)]
+    data = [(i, rng.choice(["hot"] * 5 + [None, "b"]), [rng.randint(1, 9) for _ in range(rng.choice([0, 1, 3, 40, 300]))]) for i in range(200)] + [(900, "tiny", [7]), (901, "b", None), (902, "b", [5, 6]), (902, "b", [5, 6])]
     df = many.createDataFrame(data, "id long, s string, tokens array<int>").repartition(4)
     for eos in (0, None):
         got = {(r["s"], r["block"]): r["tokens"] for r in sequences.pack(df, "tokens", "id", "s", 16, eos).collect()}
