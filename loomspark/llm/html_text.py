@@ -4,9 +4,10 @@ Three steps run over a page's characters once, each linear in its length and non
 a tokenizer (tags, comments, raw-text elements), a tree builder that opens and closes implied tags and
 knows which elements are hidden, and a renderer that lays out blocks, lists and tables.
 
-Hidden are: head, script, style and other elements that never show; ``hidden``, ``display:none`` and
-``visibility:hidden`` on the element, or given to it by the page's own style sheets; closed details (but
-for their summary) and dialogs; hidden inputs. Of the sheets count the rules that apply to a screen of
+Hidden are: head, script, style and other elements that never show; ``hidden`` and ``display:none`` on the
+element, or given to it by the page's own style sheets; closed details (but for their summary) and dialogs;
+hidden inputs. ``visibility`` given in the same ways is inherited, so ``visible`` shows an element within one that
+isn't; what is invisible keeps its place in the layout. Of the sheets count the rules that apply to a screen of
 ``SCREEN`` pixels, by importance, specificity and order, where the selector is a tag, an id, classes or
 these together; rules with other selectors are left out, so that what they hide is kept.
 
@@ -15,8 +16,10 @@ Of a select its chosen option shows (all of a list box), of svg its text, of mat
 Layout: paragraphs, headings, lists, tables and the like stand between blank lines, other blocks start
 on a line of their own, ``br`` breaks the line, ``pre`` keeps its white space. Items of lists have a
 dash or number and are indented by their depth. The cells of a table row are separated by `` | `` and
-padded to the width of their column, of ``WIDEST`` characters at most (longer cells stand whole, without
-padding). A table with cells of several lines is taken for page layout: its cells follow as blocks.
+padded to the width of their column; a cell over several columns to theirs, and a cell over several rows leaves its
+place empty in the rows below. A table whose padding would be over ``PADDING`` times its text, which one
+very long cell in a column of many short ones does, pads no further than ``WIDEST`` characters; longer cells stand whole there. A table
+with cells of several lines is taken for page layout: its cells follow as blocks.
 
 Defined cases: null or empty HTML gives the empty text; text without tags is itself, white space
 collapsed. Broken markup is read as browsers would, roughly, and never raises. Null ids and urls are
@@ -35,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDEST = 60
+#: Bounds of a page's output: padding of a table as a multiple of its text and in itself; the width of its columns beyond that.
+PADDING, LEAST_PADDING, WIDEST = 4, 1 << 16, 60
 SCREEN = (1280, 800)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -164,42 +168,81 @@ class _Lines:
 
 class _Table:
     def __init__(self):
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[tuple[str, int, int]]] = []  # cells: text, columns, rows
         self.caption = ""
 
+    def grid(self) -> list[list[tuple[str, int, int]]]:
+        """Rows of (text, first column, columns); cells of rows above that reach down are empty texts. No cell is wider than the row of the most
+        cells, and no more than ``PADDING`` empty texts a cell are made in all, so that what a page says of spans can't outgrow it."""
+        out: list[list[tuple[str, int, int]]] = []
+        widest, left_over = max(map(len, self.rows), default=0), PADDING * sum(map(len, self.rows)) + LEAST_PADDING // 16
+        below: dict[int, tuple[int, int]] = {}  # first column -> columns, rows left
+        for r in self.rows:
+            made, at, cells = [], 0, iter(r)
+            left, below = below, {}
+            rest = iter(sorted(left))
+            while True:
+                if at in left:
+                    span, n = left.pop(at)
+                    made.append(("", at, span))
+                    left_over -= 1
+                    if n > 1 and left_over > 0:
+                        below[at] = (span, n - 1)
+                elif (c := next(cells, None)) is not None:
+                    # a cell ends where one from above begins
+                    text, span, down = c
+                    span = min(span, widest)
+                    if span > 1:
+                        span = next((k - at for k in range(at + 1, at + span) if k in left), span)
+                    made.append((text, at, span))
+                    if down > 1 and left_over > 0:
+                        below[at] = (span, down - 1)
+                elif left:
+                    at = next(k for k in rest if k in left)
+                    continue
+                else:
+                    break
+                at += span
+            out.append(made)
+        return [r for r in out if any(c for c, _, _ in r)]
+
+    def widths(self, rows: list[list[tuple[str, int, int]]], most: int | None) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for c, at, span in sorted((x for r in rows for x in r), key=lambda x: x[2]):
+            if most is None or len(c) <= most:
+                short = len(c) - sum(out.get(k, 0) for k in range(at, at + span)) - 3 * (span - 1)
+                if short > 0:
+                    out[at + span - 1] = out.get(at + span - 1, 0) + short
+        return out
+
     def put(self, out: _Lines) -> None:
-        rows = [r for r in self.rows if any(c for c, _ in r)]
+        rows = self.grid()
         out.block(2)
         if self.caption:
             out.verbatim(self.caption)
             out.block(1)
-        if any("\n" in c for r in rows for c, _ in r):
+        if any("\n" in c for r in rows for c, _, _ in r):
             for r in rows:
-                for c, _ in r:
+                for c, _, _ in r:
                     if c:
                         out.verbatim(c)
                         out.block(1)
         else:
-            widths: dict[int, int] = {}
-            for r in rows:
-                at = 0
-                for c, span in r:
-                    if span == 1 and len(c) <= WIDEST:
-                        widths[at] = max(widths.get(at, 0), len(c))
-                    at += span
+            widths = self.widths(rows, None)
+            text = sum(len(c) for r in rows for c, _, _ in r)
+            close = (sum(widths.values()) + 3 * max((at + span for r in rows for _, at, span in r), default=0)) * len(rows) > max(PADDING * text, LEAST_PADDING)
+            if close:
+                widths = self.widths([[x for x in r if x[2] == 1] for r in rows], WIDEST)
             for r in rows:
-                cells, at = [], 0
-                for c, span in r:
-                    cells.append(c.ljust(widths.get(at, 0)) if span == 1 else c)
-                    at += span
-                out.verbatim(" | ".join(cells).rstrip())
+                padded = (c if close and span > 1 else c.ljust(sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)) for c, at, span in r)
+                out.verbatim(" | ".join(padded).rstrip())
                 out.block(1)
         out.block(2)
 
 
 class _Page:
     def __init__(self):
-        self.stack: list[tuple[str, bool]] = []  # open elements: name, hidden by itself
+        self.stack: list[tuple[str, bool, bool]] = []  # open elements: name, hidden by itself, invisible
         self.opened: Counter = Counter()  # by name, so that nothing is searched in vain
         self.hidden = self.pre = 0
         self.out: list[_Lines] = [_Lines()]
@@ -251,9 +294,15 @@ class _Page:
             if kind not in self.styled[parts] or self.styled[parts][kind] < new:
                 self.styled[parts][kind] = new
 
-    def _is_hidden(self, name: str, attrs: dict[str, str]) -> bool:
+    @property
+    def unseen(self) -> bool:
+        """Whether text here shows nothing though it has its place."""
+        return bool(self.stack) and self.stack[-1][2]
+
+    def _hidden(self, name: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+        """Whether the element isn't there, and whether it is invisible."""
         if name in NEVER or (name in FOREIGN and (self.opened["svg"] or self.opened["math"])) or (name == "dialog" and "open" not in attrs):
-            return True
+            return True, self.unseen
         #: property -> (important, of the element itself, ids, classes, tags, order, hides)
         best = {"display": (False, False, -1, 0, 0, 0, True)} if "hidden" in attrs else {}
         if self.styled:
@@ -268,11 +317,11 @@ class _Page:
             if m := _SHOWS.fullmatch(declaration):
                 kind = m[1].lower()
                 best[kind] = max(best.get(kind, (False, False, -2)), (bool(m[3]), True, 0, 0, 0, k, m[2].lower() in ("none", "hidden", "collapse")))
-        return any(x[-1] for x in best.values())
+        return "display" in best and best["display"][-1], best["visibility"][-1] if "visibility" in best else self.unseen
 
     def start(self, name: str, raw: str) -> None:
         attrs = {a.lower(): unescape(q or s or u) for a, q, s, u in _ATTR.findall(raw)} if raw and raw != "/" else {}
-        if name not in HEAD and self.stack and any(n == "head" for n, _ in self.stack[:3]):
+        if name not in HEAD and self.stack and any(n == "head" for n, *_ in self.stack[:3]):
             self.end("head")
         if self.opened["select"]:
             if name == "select":
@@ -286,18 +335,20 @@ class _Page:
             self._close(*CLOSES[name])
         if (name in BLOCK or name in ("table", "hr")) and not self.opened["select"]:
             self._close({"p"}, {"td", "th", "table", "caption", "button", "object"})
-        if name in ("td", "th") and self.tables and not any(n == "tr" for n, _ in self._since("table")):
+        if name in ("td", "th") and self.tables and not any(n == "tr" for n, *_ in self._since("table")):
             self.start("tr", "")
         if name in VOID:
-            if not self.hidden and not self._is_hidden(name, attrs):
+            gone, unseen = self._hidden(name, attrs) if not self.hidden else (True, True)
+            if not gone and (not unseen or name in ("br", "hr")):
                 self._void(name, attrs)
             return
         if raw.endswith("/") and (name in ("svg", "math") or self.opened["svg"] or self.opened["math"]) and not self.opened["foreignobject"]:
             return
         details = self.stack[-1][0] == "details?" if self.stack else False
-        hide = self._is_hidden(name, attrs) or (details and name != "summary")
+        hide, unseen = self._hidden(name, attrs)
+        hide = hide or (details and name != "summary")
         self.opened[name] += 1
-        self.stack.append(("details?" if name == "details" and "open" not in attrs else name, hide))
+        self.stack.append(("details?" if name == "details" and "open" not in attrs else name, hide, unseen))
         if hide:
             self.hidden += 1
         if self.hidden:
@@ -309,9 +360,10 @@ class _Page:
         elif name == "tr" and self.tables:
             self.tables[-1].rows.append([])
         elif name in ("td", "th", "caption") and self.tables:
-            span = attrs.get("colspan", "1")
+            number = lambda n, most: min(int(attrs[n]), most) if re.fullmatch("[0-9]{1,9}", attrs.get(n, "")) else 1
             self.out.append(_Lines())
-            self.out[-1].span = max(1, int(span)) if re.fullmatch("[0-9]{1,3}", span) else 1
+            # a row span of 0 reaches to the end of the table
+            self.out[-1].span, self.out[-1].down = max(1, number("colspan", 1000)), number("rowspan", 65534) or 65534
         elif name == "select":
             size = attrs.get("size", "1")
             self.selects.append(["multiple" in attrs or (size.isdigit() and int(size[:9]) > 1), []])
@@ -349,7 +401,7 @@ class _Page:
         elif name == "input" and attrs.get("type", "").lower() in ("submit", "button", "reset") and attrs.get("value"):
             self.text(attrs["value"])
 
-    def _since(self, name: str) -> list[tuple[str, bool]]:
+    def _since(self, name: str) -> list[tuple[str, bool, bool]]:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
                 return self.stack[k:]
@@ -379,7 +431,7 @@ class _Page:
 
     def _pop(self, to: int) -> None:
         while len(self.stack) > to:
-            name, hid = self.stack.pop()
+            name, hid, _ = self.stack.pop()
             name = name.rstrip("?")
             self.opened[name] -= 1
             if not self.hidden:
@@ -394,7 +446,7 @@ class _Page:
             else:
                 if not self.tables[-1].rows:
                     self.tables[-1].rows.append([])
-                self.tables[-1].rows[-1].append((lines.done(), lines.span))
+                self.tables[-1].rows[-1].append((lines.done(), lines.span, lines.down))
         elif name == "option" and self.selects:
             text = self.out.pop().done()
             self.selects[-1][1][-1][0] = self.selects[-1][1][-1][0] or text
@@ -428,7 +480,7 @@ class _Page:
             self.pre -= 1
 
     def text(self, s: str) -> None:
-        if self.hidden:
+        if self.hidden or self.unseen:
             return
         if self.stack and self.stack[-1][0] == "details?":
             return
@@ -497,7 +549,7 @@ def render(html: str | None) -> str:
         else:
             if name == "xmp":
                 page.text(more)
-            elif name == "textarea" and not page.hidden:
+            elif name == "textarea" and not page.hidden and not page.unseen:
                 page.out[-1].verbatim(unescape(more).removeprefix("\r").removeprefix("\n"))
             page.end(name)
     return page.done()
