@@ -14,7 +14,8 @@
    so large groups don't outweigh small ones. While the mean, or that of the classes with about as many
    links (``ENOUGH`` or more), is below ``RECALL``, blocks by other hyperplanes add neighbours and 3 and 4
    run again. If the recall doesn't rise for ``PATIENCE`` rounds, ``near_duplicates`` raises an error; it
-   returns the audited recall, and logs it by number of links.
+   returns the audited recall, and logs it by number of links. Where none of the audited classes has a link, links are
+   too rare to measure it: the recall is None, not 1.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing.
 Vectors of different lengths link with nothing of another length. Null ids take part and rank after all
@@ -233,7 +234,7 @@ class _Graph:
 
         return self.s.save(self.v.mapInArrow(run, "q long, v long"), "audit")
 
-    def audit(self) -> tuple[float, dict[int, tuple[int, float]]]:
+    def audit(self) -> tuple[float | None, dict[int, tuple[int, float]]]:
         """The mean share of its links that were found, over some classes that have links; and their number
         and mean by number of links (from a power of 2 to below the next)."""
         if self.true is None:
@@ -250,10 +251,10 @@ class _Graph:
         bands = shares.groupBy(F.floor(F.log2("n")).alias("band")).agg(F.count("*").alias("n"), F.sum("share").alias("share")).collect()
         by = {1 << r["band"]: (r["n"], r["share"] / r["n"]) for r in sorted(bands)}
         n = sum(r["n"] for r in bands)
-        return sum(r["share"] for r in bands) / n if n else 1.0, by
+        return sum(r["share"] for r in bands) / n if n else None, by
 
-    def search(self) -> float:
-        """Blocks, local joins and links until the audit is content; the recall."""
+    def search(self) -> float | None:
+        """Blocks, local joins and links until the audit is content; the recall, None if there is nothing to measure it by."""
         best, waited = -1.0, 0
         while True:
             self.block()
@@ -261,7 +262,9 @@ class _Graph:
             self.link()
             self.s.release()
             recall, by = self.audit()
-            _log.info("recall %.4f; by links from (classes, recall): %s", recall, by)
+            _log.info("recall %s; by links from (classes, recall): %s", recall, by)
+            if recall is None:
+                return None
             least = min([recall, *(share for n, share in by.values() if n >= ENOUGH)])
             if least >= RECALL:
                 return recall
@@ -270,8 +273,8 @@ class _Graph:
                 raise RuntimeError(f"nn-descent: recall {recall:.4f}, {least:.4f} at worst, below {RECALL} and rises no more; by links from (classes, recall): {by}")
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, float]:
-    """Per row: id, n_links (other rows linked with it), component_id; and the least audited recall."""
+def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, float | None]:
+    """Per row: id, n_links (other rows linked with it), component_id; and the least audited recall, None where none was measured."""
     scratch = Scratch(vectors.sparkSession, "nn-descent")
     vec = F.col("vec")
     good = vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(vec, lambda x: x != 0)
@@ -282,12 +285,12 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.95, id_col: str = "v
     known = rows.where("vec is not null")
     classes = known.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("vec").alias("vec"))
     classes = scratch.save(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    links, recall = None, 1.0
+    links, recall = None, None
     for size in [r["size"] for r in classes.select(F.size("vec").alias("size")).distinct().collect()]:
         g = _Graph(scratch.save(classes.where(F.size("vec") == size).select("cls", "vec"), "vectors"), least, scratch)
         if g.n < 2:
             continue
-        recall = min(recall, g.search())
+        recall = min((x for x in (recall, g.search()) if x is not None), default=None)
         links = g.links if links is None else links.unionByName(g.links)
     named = classes.select("cls", "h1", "h2", "copies", F.col("id").alias("least"))
     if links is None:

@@ -317,8 +317,10 @@ def test_nn_descent(spark):
     assert recall >= 0.99 and [got[i]["n_links"] for i, _ in good] == links.tolist()
     assert all(got[i]["component_id"] == i % 40 for i in range(160)) and got[200]["component_id"] == 0
     assert [got[i]["n_links"] for i in (201, 202, 203, 204, 205)] == [0] * 5
-    empty, _ = nn_descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
-    assert empty.count() == 0
+    empty, recall = nn_descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert empty.count() == 0 and recall is None
+    lone, recall = nn_descent.near_duplicates(spark.createDataFrame([(k, [float(k == j) for j in range(8)]) for k in range(8)], "vec_id long, embedding array<float>"))
+    assert recall is None and all(r["n_links"] == 0 for r in lone.collect())
 
 
 def test_html_keeps_what_a_screen_shows():
