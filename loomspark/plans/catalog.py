@@ -165,7 +165,16 @@ def d_program_analysis(spark, d):
     return programs(spark, d).select("l_orderkey", "l_linenumber", "p", "s", P.family(p).alias("family"), F.array_join(P.ops(p), ",").alias("ops"), P.skeleton(p).alias("skeleton"), C.question_type(F.lit("what percent of sales"), p).alias("kind"))
 
 
-@query()
+@query(_PROGRAMS.rstrip() + r""",
+g AS (SELECT *, 'divide(subtract(' || p || ', ' || q || '), ' || q || ')' AS gold, CASE k WHEN 0 THEN 'divide(subtract(' || p || ', ' || q || '), ' || q || ')' WHEN 1 THEN 'subtract( ' || p || ' ,' || q || '), divide(#0, const_' || q || ')' WHEN 2 THEN 'table_average(' || p || ', ' || q || ', ' || s || ')'
+  WHEN 3 THEN p || ' - ' || q WHEN 4 THEN 'divide(' || p || ', subtract(' || q || ', ' || q || '))' ELSE 'max(' || p || ', multiply(' || q || ', 2))' END AS program FROM t),
+a AS (SELECT *, regexp_extract_all(program, '([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1) AS o, regexp_extract_all(gold, '([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1) AS og, regexp_extract_all(program, '\d+') AS n, regexp_extract_all(gold, '\d+') AS ng FROM g),
+b AS (SELECT *, len(o) AS x, len(og) AS y, CAST(coalesce(list_sum(list_transform(list_distinct(o), lambda e: least(len(list_filter(o, lambda f: f = e)), len(list_filter(og, lambda f: f = e))))), 0) AS DOUBLE) AS common_o,
+  CAST(coalesce(list_sum(list_transform(list_distinct(n), lambda e: least(len(list_filter(n, lambda f: f = e)), len(list_filter(ng, lambda f: f = e))))), 0) AS DOUBLE) AS common_n,
+  CASE WHEN coalesce(o[1], '') <> og[1] THEN 0 WHEN coalesce(o[2], '') <> og[2] THEN 1 ELSE 2 END AS prefix FROM a)
+SELECT l_orderkey, l_linenumber, p, s, round(CAST(0.45 AS DOUBLE) * 2 * common_o / (x + y) + CAST(0.25 AS DOUBLE) * 2 * common_n / (len(n) + len(ng)) + CAST(0.2 AS DOUBLE) * prefix / greatest(x, y) + CAST(0.1 AS DOUBLE) * least(x, y) / greatest(x, y), 9) AS similarity,
+  len(list_intersect(list_distinct(n), list_distinct(ng))) / CAST(len(list_distinct(n)) AS DOUBLE) AS grounding, CASE WHEN k = 3 THEN 'infix' ELSE '' END AS lint,
+  CASE k WHEN 2 THEN program || ' with a nearby unsupported value' WHEN 3 THEN program || ' with a nearby unsupported value' WHEN 5 THEN replace(program, 'multiply', 'divide') ELSE replace(program, 'divide', 'multiply') END AS mutated FROM b""")
 def d_program_similarity(spark, d):
     gold = F.format_string("divide(subtract(%d, %d), %d)", F.col("p"), F.col("q"), F.col("q"))
     p = F.col("program")
