@@ -520,7 +520,13 @@ def m_bm25(spark, d):
     return Q.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), lambda x: trim(x, E' \t\n\r\v\f')), lambda x: x <> '') AS s FROM documents),
+w(doc_id, s, i, chunk, n, made) AS (SELECT doc_id, s, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), 0, CAST(NULL AS VARCHAR) FROM p WHERE len(s) > 0 UNION ALL
+  SELECT doc_id, s, i + 1, CASE WHEN i = len(s) THEN chunk WHEN "full" THEN list_append(chunk[len(chunk) - back + 1:], s[i + 1]) ELSE list_append(chunk, s[i + 1]) END, n + "full"::INT, CASE WHEN "full" OR i = len(s) THEN array_to_string(chunk, ' ') END FROM (
+    SELECT *, coalesce(len(chunk) > 0 AND list_sum(list_transform(chunk, lambda x: length(x))) + len(chunk) + length(s[i + 1]) > 220, false) AS "full",
+      list_max(list_filter(range(0, len(chunk) + 1), lambda k: coalesce(list_sum(list_transform(chunk[len(chunk) - k + 1:], lambda x: length(x))), 0) <= 40)) AS back FROM w WHERE i <= len(s)))
+SELECT doc_id, CAST(n - (i <= len(s))::INT AS INTEGER) AS at, made AS chunk FROM w WHERE made IS NOT NULL""")
 def m_sentence_chunks(spark, d):
     return Q.sentence_chunks(table(spark, d, "documents"), "doc_id", "text")
 
