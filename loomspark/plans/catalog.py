@@ -41,6 +41,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows a task where every row takes much work or much state.
+ROWS_A_TASK = 500_000
+
+
+def scattered(df: DataFrame, *keys: str, rows: int = ROWS_A_TASK) -> DataFrame:
+    """``df`` by a hash of ``keys`` over all cores, and over more tasks the more rows it has, so that no task grows with the table. Files of few row
+    groups are read by few tasks however many splits they have. Rows are counted first, of which Parquet reads only the footers."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // rows)), *keys)
+
+
 # Text (of P1-P44)
 
 

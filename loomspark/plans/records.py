@@ -36,7 +36,8 @@ def sentence_for_table(evidence: Column, texts: Column, numbers: Column, chars:
             text.alias("rendered_text"), e["match_type"].alias("match_type"),
         )
 
-    return X.bind(hit, lambda h: F.transform(evidence, lambda e: one(e, h)))
+    swapped = X.bind(hit, lambda h: F.transform(evidence, lambda e: one(e, h)))
+    return F.when(F.exists(evidence, lambda e: e["evidence_type"] == "table"), swapped).otherwise(evidence)
 
 
 def supervision(df: DataFrame, *, facts: int = 3, chars: int = 400) -> DataFrame:
@@ -48,20 +49,18 @@ def supervision(df: DataFrame, *, facts: int = 3, chars: int = 400) -> DataFrame
     d = X.computed(d, program_executable=c("_run.value"), program_numbers=N.number_tokens(c("program_canonical")), _aligned=align(c("gold"), c("_blocks"), c("table"), facts, chars))
     d = X.computed(d, _swapped=sentence_for_table(c("_aligned"), c("_blocks"), c("program_numbers"), chars))
     pruned = lambda e: e.withField("rendered_text", X.pruned_columns(e["rendered_text"], c("question"), chars))
-    norm, answer_flags = choose_answer(c("answer"), c("exe_ans"), c("program_executable"))
-    d = X.computed(d, aligned_evidence=F.transform("_swapped", lambda e: F.when(e["evidence_type"] == "table", pruned(e)).otherwise(e)), answer_norm=norm, _answer_flags=answer_flags)
+    d = X.computed(d, _pruned=F.transform("_swapped", lambda e: F.when(e["evidence_type"] == "table", pruned(e)).otherwise(e)))
+    d = choose_answer(d.withColumnRenamed("_pruned", "aligned_evidence"), "answer", "exe_ans", "program_executable")
     d = X.computed(d, answer_display=N.answer_display(c("answer"), c("answer_norm"), c("question")), _evidence=F.array_join(F.transform("aligned_evidence", lambda e: e["rendered_text"]), " "))
     unit, scale = N.unit_and_scale(c("question"), c("answer"), c("answer_display"))
-    flags = F.array_compact(
-        F.array(
-            c("_run.error"), F.when(F.size("aligned_evidence") == 0, "missing_evidence"), F.when(F.exists("_aligned", lambda e: e["match_type"] != "exact"), "non_exact_evidence_alignment"),
-            F.when(X.to_text(c("question")) == "", "missing_question"), F.when(X.to_text(c("program")) == "", "missing_program_re"),
-        )
+    flags = X.told(
+        c("_run.error"), F.when(F.size("aligned_evidence") == 0, "missing_evidence"), F.when(F.exists("_aligned", lambda e: e["match_type"] != "exact"), "non_exact_evidence_alignment"),
+        F.when(X.to_text(c("question")) == "", "missing_question"), F.when(X.to_text(c("program")) == "", "missing_program_re"),
     )
-    semantic = F.array_compact(
-        F.array(F.when(C.semantic_risk(c("question"), c("_evidence")), "question_semantic_risk"), F.when(c("_swapped") != c("_aligned"), "table_evidence_replaced_by_text"), F.when(X.suspicious_question(c("question")), "suspicious_question_text"))
+    semantic = X.told(
+        F.when(C.semantic_risk(c("question"), c("_evidence")), "question_semantic_risk"), F.when(c("_swapped") != c("_aligned"), "table_evidence_replaced_by_text"), F.when(X.suspicious_question(c("question")), "suspicious_question_text")
     )
-    d = X.computed(d, answer_unit=unit, answer_scale=scale, audit_flags=F.array_sort(F.array_distinct(F.concat(flags, "_answer_flags"))), semantic_audit_flags=F.array_sort(semantic))
+    d = X.computed(d, answer_unit=unit, answer_scale=scale, audit_flags=F.sort_array(F.array_distinct(F.concat(flags, "_answer_flags"))), semantic_audit_flags=F.sort_array(semantic))
     d = X.computed(d, quality_tier=C.tier(F.concat("audit_flags", "semantic_audit_flags")), answer_source=F.when(c("program_executable").isNotNull(), "program_executable").otherwise("raw_answer"))
     return d.drop("_run", "_blocks", "_aligned", "_swapped", "_answer_flags", "_evidence")
 
@@ -70,12 +69,12 @@ def with_prompt(df: DataFrame, system: str, output_format: str, history: str | N
     """``df`` with ``prompt`` and ``target``, and with the flag of evidence that the prompt doesn't show."""
     c = F.col
     context = X.context_sections(c("pre_text"), c("table"), c("post_text"))
-    made = X.prompt(system=system, context=context, question=X.clean_question(c("question")), history=c(history) if history else None, output_format=output_format)
-    d = X.computed(df, prompt=made, _texts=F.transform("aligned_evidence", lambda e: e["rendered_text"]))
+    made = X.prompt(system=system, context=c("_context"), question=X.clean_question(c("question")), history=c(history) if history else None, output_format=output_format)
+    d = X.computed(X.computed(df, _context=context), prompt=made, _texts=F.transform("aligned_evidence", lambda e: e["rendered_text"]))
     unseen = F.when(~gates.visible(c("_texts"), c("prompt")), F.array(F.lit("evidence_not_in_rendered_prompt"))).otherwise(F.array().cast("array<string>"))
-    d = X.computed(d, target=render_target(c("_texts"), c("program_canonical"), c("answer_display"), c("answer_norm")), _flags=F.array_sort(F.array_distinct(F.concat("audit_flags", unseen))))
+    d = X.computed(d, target=render_target(c("_texts"), c("program_canonical"), c("answer_display"), c("answer_norm")), _flags=F.sort_array(F.array_distinct(F.concat("audit_flags", unseen))))
     d = X.computed(d.drop("quality_tier"), quality_tier=C.tier(F.concat("_flags", "semantic_audit_flags")))
-    return d.withColumn("audit_flags", c("_flags")).drop("_flags", "_texts")
+    return d.withColumn("audit_flags", c("_flags")).drop("_flags", "_texts", "_context")
 
 
 def sft_items(df: DataFrame, tiers: str = "A") -> DataFrame:
@@ -108,6 +107,16 @@ def dpo_items(df: DataFrame, tiers: str = "A") -> DataFrame:
     return df.where(gates.listed(F.col("quality_tier"), tiers, "A")).select("record_id", F.col("prompt").alias("question"), F.col("target").alias("response_chosen"), rejected.alias("response_rejected"))
 
 
+def item_pairs(df: DataFrame, tiers: str = "A") -> DataFrame:
+    """(record_id, conversations, question, response_chosen, response_rejected): what ``sft_items`` and ``dpo_items`` make of a
+    record, from one pass. A rejected response is made once, however many conditions it is held against."""
+    from ..operators.conversations import sharegpt
+
+    kept = df.where(gates.listed(F.col("quality_tier"), tiers, "A")).select("record_id", F.col("prompt").alias("question"), F.col("target").alias("response_chosen"))
+    made = X.computed(kept, response_rejected=rejected_response(F.col("response_chosen")))
+    return made.select("record_id", sharegpt(F.col("question"), F.col("response_chosen")).alias("conversations"), "question", "response_chosen", "response_rejected")
+
+
 def audit_items(df: DataFrame) -> DataFrame:
     """What a reviewer needs of each record."""
     texts = F.transform("aligned_evidence", lambda e: e["rendered_text"])

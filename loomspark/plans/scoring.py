@@ -73,24 +73,30 @@ def frontier(diagnostics: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     return attach(labelled, first_of_key(rows, keys, ["ord"]), keys)
 
 
-def choose_answer(raw: Column, executed_answer: Column, value: Column) -> tuple[Column, Column]:
-    """(normalized answer, flags) from the raw answer, the dataset's executed answer and the program's value."""
-    exe, number = N.parse_first(executed_answer), N.parse_first(raw)
+def choose_answer(df: DataFrame, raw: str, executed_answer: str, value: str) -> DataFrame:
+    """``df`` with ``answer_norm`` and ``_answer_flags`` from the raw answer, the dataset's executed answer and the program's value.
+
+    Each step is a column of its own, since an expression that is used twice is written out twice."""
+    raw, executed_answer, value = F.col(raw), F.col(executed_answer), F.col(value)
+    d = X.computed(df, _exe=N.parse_first(executed_answer), _raw=N.parse_first(raw))
+    exe, number = F.col("_exe"), F.col("_raw")
     percent = F.coalesce(executed_answer.contains("%"), F.lit(False))
-    agrees = value.isNotNull() & exe.isNotNull() & N.equivalent(value, exe, percent)
+    d = X.computed(d, _agrees=value.isNotNull() & exe.isNotNull() & N.equivalent(value, exe, percent))
+    agrees = F.col("_agrees")
     alone = value.isNotNull() & exe.isNull()
     shown = F.coalesce(F.nullif(X.to_text(executed_answer), F.lit("")), X.to_text(raw))
     norm = F.when(agrees, X.to_text(executed_answer)).when(alone, N.show(value)).otherwise(shown)
+    d = X.computed(d, answer_norm=norm)
+    norm = F.col("answer_norm")
     scaled = F.coalesce(raw.contains("%"), F.lit(False)) | F.coalesce(norm.contains("%"), F.lit(False))
-    n = N.parse_first(norm)
-    flags = F.array_compact(
-        F.array(
-            F.when(~(agrees | alone), "program_answer_mismatch"),
-            F.when(number.isNotNull() & n.isNotNull() & ~N.equivalent(number, n, scaled), "raw_answer_mismatch_with_answer_norm"),
-            F.when(norm == "", "missing_answer_norm"),
-        )
+    d = X.computed(d, _norm=N.parse_first(norm))
+    n = F.col("_norm")
+    flags = X.told(
+        F.when(~(agrees | alone), "program_answer_mismatch"),
+        F.when(number.isNotNull() & n.isNotNull() & ~N.equivalent(number, n, scaled), "raw_answer_mismatch_with_answer_norm"),
+        F.when(norm == "", "missing_answer_norm"),
     )
-    return norm, flags
+    return X.computed(d, _answer_flags=flags).drop("_exe", "_raw", "_agrees", "_norm")
 
 
 def plain(c: Column) -> Column:
@@ -109,15 +115,15 @@ def align(gold: Column, blocks: Column, table: Column, most: int = 3, chars: int
     def found(g: Column) -> Column:
         same = F.filter(blocks, lambda b: b["plain"] == F.lower(g["text"]))
         hinted = F.filter(F.array(F.try_element_at(blocks, g["hint"] + 1)), lambda b: b["plain"] == F.lower(g["text"]))
-        cells = F.array_join(F.try_element_at(table, g["row"] + 1), " | ")
+        cells = F.when(g["row"].isNotNull(), F.array_join(F.try_element_at(table, g["row"] + 1), " | "))
         in_table = F.when(F.coalesce(cells, F.lit("")) != "", F.concat(F.lit("table["), g["row"].cast("string"), F.lit("]")))
         in_text = F.try_element_at(F.concat(hinted, same), F.lit(1))["location"]
-        return F.struct(g.alias("g"), F.when(g["row"].isNotNull(), in_table).otherwise(in_text).alias("location"), cells.alias("cells"))
+        shown = F.when(g["row"].isNotNull() & (g["text"] == ""), X.normalize_ws(cells)).otherwise(g["text"])
+        return F.struct(g.alias("g"), F.when(g["row"].isNotNull(), in_table).otherwise(in_text).alias("location"), shown.alias("shown"))
 
     def one(f: Column) -> Column:
-        g, location = f["g"], f["location"]
+        g, location, shown = f["g"], f["location"], f["shown"]
         kind = F.when(g["row"].isNotNull(), "table").when(g["hint"].isNotNull() | location.isNotNull(), "text").otherwise("unknown")
-        shown = F.when(g["row"].isNotNull() & (g["text"] == ""), X.normalize_ws(f["cells"])).otherwise(g["text"])
         match = F.when(location.isNotNull(), "exact").otherwise("missing")
         return F.struct(kind.alias("evidence_type"), g["raw_id"].alias("raw_id"), F.coalesce(location, F.lit("")).alias("source_location"), X.truncate(shown, chars).alias("rendered_text"), match.alias("match_type"))
 
