@@ -23,7 +23,7 @@ def parse_first(c: Column) -> Column:
 
     def parsed(text: Column) -> Column:
         found = F.regexp_extract(F.regexp_replace(text, r"[$,]", ""), f"({FIRST})(%?)", 0)
-        bracketed = text.rlike(r"^\s*\([^()]+\)\s*$")
+        bracketed = text.endswith(")") & text.rlike(r"^\([^()]+\)$")
         signed = lambda n: F.when(bracketed & (n > 0), -n).otherwise(n)
         return bind(found, lambda f: bind(_double(F.nullif(F.rtrim(f, F.lit("%")), F.lit(""))), signed) / F.when(f.endswith("%"), 100.0).otherwise(1.0))
 
@@ -105,12 +105,19 @@ def number_tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, ",", "")))
 
 
+def _least_form(c: Column) -> Column:
+    """A number without sign, zeros in front and zeros after its decimals."""
+    short = F.regexp_replace(c, r"^-?0*+(?=\d)|(?<=\.\d{0,30})0+$", "")
+    return F.when(c.contains("."), F.rtrim(short, F.lit("."))).otherwise(F.regexp_replace(c, r"^-?(?:0+(?=\d))?", ""))
+
+
 def has_number(text: Column, token: Column) -> Column:
-    """Whether a text holds a number token, commas aside, or the token's integer form."""
-    plain, t = F.regexp_replace(F.coalesce(text, F.lit("")), ",", ""), F.regexp_replace(token, ",", "")
-    value = _double(t)
-    whole = (value == F.floor(value)) & plain.contains(F.format_string("%.0f", value))
-    return (t != "") & (plain.contains(t) | F.coalesce(whole, F.lit(False)))
+    """Whether a text holds a number token, whole, not as digits of a longer number; commas between thousands and zeros that change nothing aside."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d),(?=\d{3}(?!\d))", "")
+    t = F.regexp_replace(token, ",", "")
+    seen = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d+(?:\.\d+)?)"), 1), _least_form)
+    number = F.array_contains(seen, _least_form(t)) & (~t.startswith("-") | plain.contains("-"))
+    return (t != "") & F.when(t.rlike(r"^-?\d+(?:\.\d+)?$"), number).otherwise(F.contains(plain, t))
 
 
 def answer_display(raw: Column, norm: Column, question: Column) -> Column:
@@ -139,8 +146,8 @@ def mutate_number(c: Column) -> Column:
     token = F.regexp_extract(c, FIRST, 0)
 
     def moved(t: Column) -> Column:
-        value = _double(F.regexp_replace(t, ",", ""))
-        return show(value + F.when(value < 0, -1.0).otherwise(1.0) * F.greatest(F.abs(value) * F.lit(MOVE), F.lit(LEAST_MOVE)), MOVE_DECIMALS)
+        farther = lambda v: v + F.when(v < 0, -1.0).otherwise(1.0) * F.greatest(F.abs(v) * F.lit(MOVE), F.lit(LEAST_MOVE))
+        return show(bind(_double(F.regexp_replace(t, ",", "")), farther), MOVE_DECIMALS)
 
     replaced = bind(token, lambda t: F.concat(F.left(c, cut - 1), moved(t), F.substr(c, cut + F.length(t))))
     return F.when(cut == 0, F.concat(c, F.lit(NO_NUMBER))).otherwise(replaced)
