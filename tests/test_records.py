@@ -45,3 +45,24 @@ def test_rows_go_to_more_tasks_than_a_file_has_groups(spark):
 def test_chunks_strip_what_the_sql_strips(spark, tmp_path):
     texts = "select 1 as doc_id, 'One.' || chr(160) || ' Two. ' || chr(12288) || 'Three!' || chr(28) || chr(9) || ' Four' || chr(133) as text union all select 2, chr(160) union all select 3, null"
     _same(spark, tmp_path, "m_sentence_chunks", {"documents": texts})
+
+
+def test_two_scores_of_a_pair_are_fused_as_two_tables_are(spark):
+    from loomspark.operators import sequences as Q
+
+    t = spark.createDataFrame([(q, v, float((q * 7 + v * 3) % 5)) for q in range(3) for v in range(20)], "q int, v int, s double")
+    score = F.col("s")
+    two = Q.fuse(t.select("q", "v", score.alias("score")), t.select("q", "v", (-F.col("v")).alias("score")), ["q", "v"])
+    one = Q.fuse_columns(t, "q", "v", score, -F.col("v"))
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
+def test_paired_models_grow_in_tasks_not_within_them(spark, tmp_path, monkeypatch):
+    from loomspark.plans import catalog
+
+    monkeypatch.setattr(catalog, "ROWS_A_TASK", 20)
+    spark.range(200).selectExpr("id as l_orderkey", "1 as l_linenumber", "0.06D as l_discount", "0.01D as l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = queries()["j_paired_models"](spark, str(tmp_path))
+    assert "hashpartitioning(id" in df._jdf.queryExecution().executedPlan().toString() and ", 20)" in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == [("new_wrong", 200)]
