@@ -295,6 +295,7 @@ WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, max(CASE WHEN l_discount
 SELECT CASE WHEN a = 0 AND b > 0 THEN 'new_correct' WHEN a > 0 AND b = 0 THEN 'new_wrong' ELSE 'same' END AS change, count(*) AS "rows" FROM p GROUP BY 1""")
 def j_paired_models(spark, d):
     t = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_discount", "l_tax")
+    t = scattered(t, "id", rows=ROWS_A_TASK // 2)  # both sums and the join are made where the ids are, of so many rows a task
     model = lambda c: t.groupBy("id").agg(F.max(c.cast("double")).alias("score"))
     return R.paired(model(F.col("l_discount") > 0.05), model(F.col("l_tax") > 0.03), "id", "score").groupBy("change").agg(F.count("*").alias("rows"))
 
