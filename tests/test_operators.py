@@ -115,3 +115,14 @@ def test_bm25_without_broadcast(spark, monkeypatch):
     few = rows()
     monkeypatch.setattr(sequences, "BROADCAST_TERMS", 0)
     assert rows() == few and [r[:2] for r in few] == [(7, 1), (7, 2), (8, 1), (8, 5)]
+
+
+def test_bm25_deals_documents_to_more_tasks_the_more_pairs_they_make(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "cat dog" if k % 2 else "") for k in range(120)] + [(1, "dog"), (None, "cat cat")], "doc_id int, text string")
+    queries = spark.createDataFrame([(7, "cat dog"), (8, "dog")], "item_id int, text string")
+    rows = lambda: sorted((r["item_id"], r["doc_id"] or -1, round(r["score"], 9)) for r in sequences.bm25(docs, queries).collect())
+    few = rows()
+    monkeypatch.setattr(sequences, "PAIRS_A_TASK", 20)
+    many = sequences.bm25(docs, queries).groupBy(F.spark_partition_id()).count().collect()
+    assert rows() == few and len(few) == 121 and len(many) > 8 and max(r["count"] for r in many) <= 40
+    assert few[0][:2] == (7, -1) and few[1][2] != few[2][2]
