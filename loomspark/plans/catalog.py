@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -52,6 +52,12 @@ def scattered(df: DataFrame, *keys: str, rows: int = ROWS_A_TASK) -> DataFrame:
     return df.repartition(max(cores, -(-df.count() // rows)), *keys)
 
 
+def filled(template: str, *names: str) -> Column:
+    """A template whose ``%d`` are columns of whole numbers; null if one of them is. A formatter takes several times as long as a concatenation."""
+    texts = template.split("%d")
+    return F.concat(F.lit(texts[0]), *(x for n, text in zip(names, texts[1:], strict=True) for x in (F.col(n).cast("string"), F.lit(text))))
+
+
 # Text (of P1-P44)
 
 
@@ -129,8 +135,7 @@ WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey AS s, CAST
 
 def programs(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_linenumber") % 6).alias("k"))
-    t = spread(t)
-    f = lambda fmt, *cs: F.format_string(fmt, *(F.col(c) for c in cs))
+    t, f = scattered(t, "l_orderkey", "l_linenumber"), filled
     program = (
         F.when(F.col("k") == 0, f("divide(subtract(%d, %d), %d)", "p", "q", "q"))
         .when(F.col("k") == 1, f("subtract( %d ,%d), divide(#0, const_%d)", "p", "q", "q"))
@@ -139,7 +144,7 @@ def programs(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("k") == 4, f("divide(%d, subtract(%d, %d))", "p", "q", "q"))
         .otherwise(f("max(%d, multiply(%d, 2))", "p", "q"))
     )
-    return t.withColumn("program", program)
+    return X.computed(t, program=program)
 
 
 @query(_PROGRAMS + """
@@ -187,10 +192,11 @@ SELECT l_orderkey, l_linenumber, p, s, round(CAST(0.45 AS DOUBLE) * 2 * common_o
   len(list_intersect(list_distinct(n), list_distinct(ng))) / CAST(len(list_distinct(n)) AS DOUBLE) AS grounding, CASE WHEN k = 3 THEN 'infix' ELSE '' END AS lint,
   CASE k WHEN 2 THEN program || ' with a nearby unsupported value' WHEN 3 THEN program || ' with a nearby unsupported value' WHEN 5 THEN replace(program, 'multiply', 'divide') ELSE replace(program, 'divide', 'multiply') END AS mutated FROM b""")
 def d_program_similarity(spark, d):
-    gold = F.format_string("divide(subtract(%d, %d), %d)", F.col("p"), F.col("q"), F.col("q"))
-    p = F.col("program")
-    return programs(spark, d).select(
-        "l_orderkey", "l_linenumber", "p", "s", F.round(P.similarity(p, gold), 9).alias("similarity"), P.grounding(p, gold).alias("grounding"), F.array_join(P.lint(p), ",").alias("lint"), P.mutate(p).alias("mutated")
+    p, c = F.col("program"), F.col
+    t = X.computed(programs(spark, d), gold=filled("divide(subtract(%d, %d), %d)", "p", "q", "q"))
+    t = X.computed(t, a=P.ops(p), b=P.ops(c("gold")), x=P.arguments(p), y=P.arguments(c("gold")))
+    return t.select(
+        "l_orderkey", "l_linenumber", "p", "s", F.round(P.similarity_of(c("a"), c("b"), c("x"), c("y")), 9).alias("similarity"), P.grounding_of(c("x"), c("y")).alias("grounding"), F.array_join(P.lint(p), ",").alias("lint"), P.mutate(p).alias("mutated")
     )
 
 
