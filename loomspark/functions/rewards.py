@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import program as P
 from .numbers import parse_plain
-from .text import bind, to_text
+from .text import bind, to_text, word_count
 
 
 def weighted(scores: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -36,8 +36,7 @@ def semantic_process(s: dict[str, Column]) -> Column:
 
 def length_shape(c: Column, low: int = 80, high: int = 160, cap: int = 220) -> Column:
     """1 for a text of ``low`` to ``high`` words, less in proportion on either side, 0 without words or beyond ``cap``."""
-    words = F.size(F.filter(F.split(to_text(c), r"(?U)\s+"), lambda w: w != ""))
-    return bind(words, lambda n: F.when((n == 0) | (n > cap), 0.0).otherwise(F.least(F.lit(1.0), n / F.lit(float(low)), 1.0 - (n - high) / F.lit(float(max(cap - high, 1))))))
+    return bind(word_count(c), lambda n: F.when((n == 0) | (n > cap), 0.0).otherwise(F.least(F.lit(1.0), n / F.lit(float(low)), 1.0 - (n - high) / F.lit(float(max(cap - high, 1))))))
 
 
 def length_penalty(c: Column, target: int, weight: float, most: float) -> Column:
@@ -50,8 +49,13 @@ def length_penalty(c: Column, target: int, weight: float, most: float) -> Column
 
 def denominator_grounding(program: Column, evidence: Column) -> Column:
     """The share of a program's denominators that the evidence has; 1 without divisions."""
-    seen = P.arguments(evidence)
-    return bind(P.denominators(program), lambda d: F.when(F.size(d) == 0, 1.0).otherwise(F.size(F.filter(d, lambda x: F.array_contains(seen, x))) / F.greatest(F.size(d), F.lit(1))))
+    return denominator_share(P.denominators(program), P.arguments(evidence))
+
+
+def denominator_share(d: Column, seen: Column) -> Column:
+    """``denominator_grounding`` of denominators and numbers of the evidence that are columns already."""
+    found = F.when(F.size(F.array_distinct(d)) == F.size(d), F.size(F.array_intersect(d, seen))).otherwise(F.size(F.filter(d, lambda x: F.array_contains(seen, x))))
+    return F.when(F.size(d) == 0, 1.0).otherwise(found / F.greatest(F.size(d), F.lit(1)))
 
 
 def source_precision(program: Column, evidence: Column) -> Column:
@@ -104,7 +108,8 @@ def format_reward(completion: Column) -> Column:
 
 def section_reward(completion: Column, anchors: tuple[str, ...]) -> Column:
     """The share of the anchors that a text has."""
-    return F.size(F.filter(F.array(*(F.lit(a) for a in anchors)), lambda a: F.contains(F.coalesce(completion, F.lit("")), a))) / F.lit(float(len(anchors)))
+    text = F.coalesce(completion, F.lit(""))
+    return sum((F.contains(text, F.lit(a)).cast("int") for a in anchors), F.lit(0)) / F.lit(float(len(anchors)))
 
 
 def plain_answer_reward(completion: Column, gold: Column, rel: float = 1e-4, abs_: float = 1e-4) -> Column:
@@ -132,7 +137,7 @@ def reward_set(completion: Column, program: Column, value: Column, gold_value: C
     has = to_text(program) != ""
     gold = F.array_distinct(P.ops(gold_program))
     operators = F.when(has & (F.size(gold) > 0), F.size(F.array_intersect(gold, P.ops(program))) / F.greatest(F.size(gold), F.lit(1))).otherwise(0.0)
-    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    words = word_count(text)
     return F.struct(
         (worth["answer"] * right).alias("answer"),
         F.greatest(F.lit(0.0), worth["format"] * section_reward(text, required) - F.lit(FORBIDDEN_COST) * unwanted).alias("format"),
