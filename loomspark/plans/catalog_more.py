@@ -50,7 +50,7 @@ p AS (SELECT source, token, row_number() OVER (PARTITION BY source ORDER BY doc_
 SELECT source, CAST(pos // 512 AS BIGINT) AS block, count(*) AS n, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens FROM p WHERE (pos // 512 + 1) * 512 <= total OR total < 512 GROUP BY source, pos // 512""")
 def m_packed_tokens(spark, d):
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    packed = Q.pack(table(spark, d, "documents").select("doc_id", "source", words.alias("tokens")), "tokens", "doc_id", "source", 512, "</s>")
+    packed = Q.pack(table(spark, d, "documents").select("doc_id", "source", words.alias("tokens")), "tokens", "doc_id", "source", 512, "</s>", sep=" ")
     return packed.select("source", "block", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens"))
 
 

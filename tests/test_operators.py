@@ -126,3 +126,9 @@ def test_bm25_deals_documents_to_more_tasks_the_more_pairs_they_make(spark, monk
     many = sequences.bm25(docs, queries).groupBy(F.spark_partition_id()).count().collect()
     assert rows() == few and len(few) == 121 and len(many) > 8 and max(r["count"] for r in many) <= 40
     assert few[0][:2] == (7, -1) and few[1][2] != few[2][2]
+
+
+def test_pack_moves_tokens_as_text(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 2], [f"w{k}.{i}" for i in range(k % 7)]) for k in range(60)] + [(99, "c", ["", "x"]), (100, "c", None)], "k int, g string, t array<string>")
+    packed = lambda **more: sorted((r["g"], r["block"], r["tokens"]) for r in sequences.pack(df, "t", "k", "g", 5, "$", **more).collect())
+    assert packed(sep=".") != packed() == packed(sep=" ") and packed()
