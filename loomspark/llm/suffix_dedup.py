@@ -5,7 +5,8 @@ smaller id, or at an earlier place of the same id.
 
 1. Anchors bring equal strings together. Of the ``K``-byte strings in each window of ``LENGTH`` bytes
    the one with the least hash is its anchor, so equal windows have equal anchors at equal places. The
-   windows of one anchor make a segment. Only anchors whose hash occurs twice go on.
+   windows of one anchor make a segment. Only anchors whose hash occurs twice go on; they are found in
+   ``PASSES`` parts of the hashes, one after the other, so that only one part's shuffle lies on disk.
 2. Equal segments are brought down to their first place, by two hashes of 64 bits each; all others of
    them are covered. So copies never meet in one task, and their bytes don't move.
 3. Segments that share an anchor but differ meet in a shard, and shards are bounded: whole anchor groups
@@ -25,6 +26,7 @@ whatever their names. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, K = 100, 32
 SHARD, CROWD = 1_000_000, 2048
+PASSES = 2
 _BATCH = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPANS = "o long, th long, s long, e long"
@@ -204,11 +207,14 @@ def _shared(texts: DataFrame, scratch: Scratch) -> DataFrame:
     twice = scratch.save(twice, "twice")
     scratch.release()
     flat = found.select("o", "th", F.inline(F.arrays_zip("h", "sh", "s", "e")))
-    places = scratch.save(flat.join(twice, "h"), "places")
+    # not the hash that Spark deals rows out by: half of its partitions would stay empty
+    part, places = F.pmod(F.xxhash64("h"), F.lit(PASSES)), []
+    for k in range(PASSES):
+        places.append(scratch.save(flat.where(part == k).join(twice.where(part == k), "h"), "places"))
+        scratch.release()
     scratch.drop("anchors", keep=0)
     scratch.drop("twice", keep=0)
-    scratch.release()
-    return places
+    return reduce(DataFrame.unionByName, places)
 
 
 def _later() -> F.Column:
@@ -219,6 +225,9 @@ def _differing(texts: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFra
     """One row with its bytes for each of the different segments of an anchor that has several."""
     kinds = firsts.groupBy("h").agg(F.count("*").cast("int").alias("kinds")).where("kinds > 1")
     differ = firsts.join(kinds, "h").groupBy("first.o", "first.th").agg(F.collect_list(F.struct("h", "sh", "first.s", "first.e", "kinds")).alias("found"))
+    # the shuffles up to here leave the disk before the texts are shuffled
+    differ = scratch.save(differ, "found")
+    scratch.release()
     rows = texts.select("o", "th", "raw").join(differ, ["o", "th"]).select("o", "th", "raw", "found")
     # rows that repeat id and text give the same segments again; they fall together in the shards
     return scratch.save(rows.mapInArrow(_segments, "o long, th long, h long, sh long, s long, kinds int, segment binary"), "differ")
@@ -238,6 +247,7 @@ def _crowded(differ: DataFrame, scratch: Scratch) -> DataFrame:
 def _spans(texts: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
     """(o, th, spans) of the rows with covered bytes."""
     firsts = scratch.save(places.groupBy("h", "sh").agg(F.min(F.struct("o", "s", "th", "e")).alias("first"), F.count("*").alias("n")), "firsts")
+    scratch.release()
     differ = _differing(texts, firsts, scratch)
     scratch.release()
     some = differ.where(F.col("kinds") <= CROWD).select("h", "sh", "o", "th", "s", "segment")
@@ -245,6 +255,7 @@ def _spans(texts: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
     crowded = _crowded(differ, scratch)
     # the segments' bytes aren't needed any more
     scratch.drop("differ", keep=0)
+    scratch.drop("found", keep=0)
     scratch.release()
     many = firsts.where("n > 1").select("h", "sh", F.col("first.o").alias("fo"), F.col("first.s").alias("fs"))
     copies = places.join(many, ["h", "sh"]).where(_later()).select("o", "th", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))

@@ -189,6 +189,26 @@ def test_runs_of_one_character(spark):
     assert sorted((str(r["id"]), bytes(r["kept"])) for r in got) == brute_cut(rows)
 
 
+def test_anchors_are_shuffled_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(3000)]
+    passages = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    rows = [(k, " ".join([*rng.choices(words, k=20), rng.choice(passages), *rng.choices(words, k=20)])) for k in range(200)]
+    saved, save = [], suffix_dedup.Scratch.save
+
+    def noted(self, df, name):
+        out = save(self, df, name)
+        if name == "places":
+            saved.append({r["h"]: r["count"] for r in out.groupBy("h").count().collect()})
+        return out
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "save", noted)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["id"]), bytes(r["kept"])) for r in got) == brute_cut(rows)
+    sizes = [sum(x.values()) for x in saved]
+    assert sum(map(len, saved)) == len(set().union(*saved)) and max(sizes) < 0.7 * sum(sizes)
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(150):
