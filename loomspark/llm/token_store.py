@@ -21,6 +21,7 @@ don't matter. An empty table makes a table of no documents.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -44,6 +45,10 @@ FOOTER = struct.Struct("<QQQQQQB7x8s")
 INDEX = struct.Struct("<QQQI")
 #: Units that a worker keeps.
 _KEPT = 1_000_000
+_MARKS = frozenset(".,;:!?")
+#: Where the usual pattern always ends a token inside a unit: around a line end between two characters that aren't
+#: white space, and before marks that follow a letter or digit and end the unit or the line.
+_JOINT = re.compile(r"((?<=\S)\n(?=\S)|(?<=[0-9A-Za-zÀ-ÖØ-öø-ſ])[.,;:!?]+(?=\n|\Z))")
 
 
 # keys and varints
@@ -211,7 +216,8 @@ class Encoder:
 
     A byte-level tokenizer that splits by its usual pattern and normalizes nothing gives the same ids
     for a text as for its units, cut at single spaces between two non-space characters. Then distinct
-    units are encoded once and kept in a bounded cache; any other tokenizer gets the texts whole.
+    units are encoded once and kept in a bounded cache, words apart from the marks and line ends that follow
+    them; any other tokenizer gets the texts whole.
     """
 
     def __init__(self, path: str):
@@ -224,7 +230,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        strips = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
+        strips = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not {" ", "\n", *_MARKS}.isdisjoint(t["content"]) for t in spec.get("added_tokens", []))
         self.by_unit = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not strips
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -251,6 +257,35 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, after: set[str], first: set[str]) -> None:
+        """Encodes new units that follow a space, and new ones that begin a text."""
+        starts, units = self.known
+        plain: tuple[set[str], set[str]] = (set(), set())
+        marked, joined = [], []
+        for fresh, known, own in ((after, units, plain[1]), (first, starts, plain[0])):
+            words = {u for u in fresh if u.isalpha()}
+            own |= words
+            for u in fresh - words:
+                word, mark = u[:-1], u[-1:]
+                if mark in _MARKS and word.isalpha() and word[-1] <= "ſ":  # most of them
+                    own.add(word)
+                    marked.append((known, u, word, mark))
+                else:
+                    piece, *more = [x for x in _JOINT.split(u) if x] or [u]
+                    own.add(piece)
+                    if more:
+                        plain[0].update(more)
+                        joined.append((known, u, piece, more))
+        plain[0].update({x[3] for x in marked})
+        new = list(plain[1].difference(units))
+        units.update(zip(new, self._many([" " + u for u in new]), strict=True))
+        new = list(plain[0].difference(starts))
+        starts.update(zip(new, self._many(new), strict=True))
+        for known, u, word, mark in marked:
+            known[u] = known[word] + starts[mark]
+        for known, u, piece, more in joined:
+            known[u] = known[piece] + b"".join([starts[x] for x in more])
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_unit:
             return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
@@ -263,10 +298,7 @@ class Encoder:
         new: set[str] = set()
         for p in parts:
             new.update(p[1:])
-        fresh = list(new.difference(units))
-        units.update(zip(fresh, self._many([" " + u for u in fresh]), strict=True))
-        fresh = list({p[0] for p in parts if p}.difference(starts))
-        starts.update(zip(fresh, self._many(fresh), strict=True))
+        self._learn(new.difference(units), {p[0] for p in parts if p}.difference(starts))
         unit = units.__getitem__
         return [np.frombuffer(starts[p[0]] + b"".join(map(unit, p[1:])), "<u4") if p else np.empty(0, "<u4") for p in parts]
 
@@ -350,7 +382,7 @@ def _read(text_ids: bool):
 def _batch(rows: list[tuple], text_type, text_ids: bool) -> pa.RecordBatch:
     ends = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[2] for r in rows])))
-    crc = [zlib.crc32(r[2].astype("<u4").tobytes()) for r in rows]
+    crc = [zlib.crc32(r[2].astype("<i4", copy=False)) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], text_type if text_ids else pa.int64()), pa.array([r[1] for r in rows], pa.int64()), ids, pa.array(crc, pa.int64())], ["id", "start", "ids", "crc32"])
 
 

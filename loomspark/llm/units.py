@@ -14,7 +14,7 @@ def cut(text: str) -> list[str]:
     """The units of a text, without the space between them; none for the empty text."""
     if not text:
         return []
-    # as many words as spaces and line ends allow, and no other white space: no two of them meet
-    if len(text.split()) == text.count(" ") + text.count("\n") + 1 and not any(c in text for c in _OTHER):
+    # every space stands between two other characters, none of them a line end, and there is no other white space
+    if text[0] != " " != text[-1] and "  " not in text and " \n" not in text and "\n " not in text and not any(c in text for c in _OTHER):
         return text.split(" ")
     return _UNIT.split(text)

@@ -269,6 +269,21 @@ def test_units_meet_at_line_ends():
     assert own._many(units) == own._ids(units)
 
 
+def test_words_are_encoded_apart_from_marks_and_line_ends(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), token_store.Encoder(path)
+    given, many = [], own._many
+    monkeypatch.setattr(own, "_many", lambda units: given.extend(units) or many(units))
+    plain = "foo bar, bar. bar; bar!? foo.\nbar bar\nfoo, bar bar"
+    assert own([plain])[0].tolist() == library.encode(plain, add_special_tokens=False).ids
+    assert sorted(given) == sorted([" bar", " foo", "foo", "bar", ",", ".", ";", "!?", "\n"])
+    rng = random.Random(9)
+    odd = ["".join(rng.choice(["a", "É", "ſ", "×", "中", "e\u0301", "7", "²", "ª", "'s", ".", ",", "!?", "'", "-", "\n", " ", "\u00a0", "\x1c", "\r", "<|endoftext|>"]) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    odd += ["", ".", "\n", " \n", "\n a", "a\n", "a.\n\nb", "a .\nb", "we'll.", "x\n.y", "\nfoo bar"]
+    assert [x.tolist() for x in own(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_token_shards(spark, docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
