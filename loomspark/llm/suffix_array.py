@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are induced bucket by bucket with array operations, larger ones item by item.
+#: Alphabets up to this size are induced bucket by bucket with array operations; the shorter texts of more
+#: symbols that induction leaves are sorted by doubling.
 _SMALL = 1024
 
 
@@ -15,8 +16,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     after[-1] = n - 1
     change = np.flatnonzero(t[:-1] != t[1:])
     ends = np.append(change, n - 1)  # last place of each run
-    run = np.searchsorted(ends, np.arange(n))
-    last = ends[run]
+    last = np.repeat(ends, np.diff(ends, prepend=-1))
     s = np.ones(n, bool)
     inner = last < n - 1
     s[inner] = t[last[inner]] < t[last[inner] + 1]
@@ -58,12 +58,14 @@ def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> tuple
         open_ = rest[lengths[rest] > at]
         if len(open_):  # a group goes on as a whole; members that ended stay at its start
             open_ = np.sort(open_)
-    values, names = np.unique(rank, return_inverse=True)
-    return names, len(values)
+    used = np.zeros(m, bool)
+    used[rank] = True
+    return (np.cumsum(used) - 1)[rank], int(used.sum())
 
 
 def _induce_small(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """The suffix array from sorted LMS suffixes, one bucket of a first symbol after the other."""
+    t = t.astype(np.int16)  # numpy sorts these by their digits
     of = lambda p: np.split(p[(o := np.argsort(t[p], kind="stable"))], np.searchsorted(t[p][o], np.arange(1, symbols)))
     seeds = of(lms)
     left: list[list[np.ndarray]] = [[] for _ in range(symbols)]
@@ -106,44 +108,44 @@ def _induce_small(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -
     return np.concatenate([[len(t) - 1], out]) if len(out) < len(t) else out
 
 
-def _induce_large(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
-    n = len(t)
-    counts = np.bincount(t, minlength=symbols)
-    ends = np.cumsum(counts)
-    heads = (ends - counts).tolist()
-    sa = np.full(n, -1, np.int64)
-    o = np.argsort(t[lms], kind="stable")
-    placed = lms[o]
-    c = t[placed]
-    cuts = np.append(np.flatnonzero(np.diff(c)) + 1, len(c))
-    size = np.diff(np.concatenate([[0], cuts]))
-    sa[np.repeat(ends[c[cuts - 1]] - cuts, size) + np.arange(len(c))] = placed
-    sa, tl, sl = sa.tolist(), t.tolist(), s.tolist()
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not sl[j]:
-            c = tl[j]
-            sa[heads[c]] = j
-            heads[c] += 1
-    tails = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and sl[j]:
-            c = tl[j]
-            tails[c] -= 1
-            sa[tails[c]] = j
-    return np.array(sa, np.int64)
+def _doubled(t: np.ndarray) -> np.ndarray:
+    """The suffix array by doubling: groups of suffixes that agree in k symbols are parted by the k after them."""
+    n, k = len(t), 1
+    order = np.argsort(t, kind="stable")
+    r = t[order]
+    fresh = np.concatenate([[True], r[1:] != r[:-1]])
+    slots = np.arange(n)  # of suffixes in groups of two or more, group by group; none of these reaches the last symbol in k
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, slots, 0))
+    while True:
+        slots = slots[~(fresh & np.append(fresh[1:], True))]
+        if not len(slots):
+            return order
+        p = order[slots]
+        key = rank[p] * n + rank[p + k]
+        o = np.argsort(key)
+        p, key = p[o], key[o]
+        order[slots] = p
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[p] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(p)), 0))]
+        k *= 2
 
 
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """The suffix array of ``t`` (values below ``symbols``), whose last symbol must be its only least."""
     if len(t) < 2:
         return np.zeros(len(t), np.int64)
+    if symbols > _SMALL:
+        return _doubled(t)
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     names, n = _names(t, s, lms, symbols)
-    order = np.argsort(names, kind="stable") if n == len(lms) else suffix_array(names, n)
-    return (_induce_small if symbols <= _SMALL else _induce_large)(t, s, lms[order], symbols)
+    if n == len(lms):
+        order = np.empty(n, np.int64)
+        order[names] = np.arange(n)
+    else:
+        order = suffix_array(names, n)
+    return _induce_small(t, s, lms[order], symbols)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:

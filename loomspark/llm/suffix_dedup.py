@@ -143,7 +143,7 @@ def covered(segments: list[bytes], o: np.ndarray, s: np.ndarray) -> tuple[np.nda
     first = np.ones(len(sa), bool)  # of a group of equal windows; windows that aren't whole never join one
     first[1:] = ~(whole[sa[1:]] & whole[sa[:-1]] & (lcp[sa[1:]] >= LENGTH))
     group = np.cumsum(first)
-    rows = np.flatnonzero(whole[sa])
+    rows = np.flatnonzero(~first | np.append(~first[1:], False))  # groups of two or more; none of their windows is cut off
     p, g = sa[rows], group[rows]
     order = np.lexsort((s[owner[p]] + offset[p], o[owner[p]], g))
     p, g = p[order], g[order]

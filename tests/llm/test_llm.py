@@ -209,6 +209,14 @@ def test_anchors_are_shuffled_in_parts(spark, monkeypatch):
     assert sum(map(len, saved)) == len(set().union(*saved)) and max(sizes) < 0.7 * sum(sizes)
 
 
+def test_suffix_arrays_of_many_symbols():
+    rng = random.Random(4)
+    for _ in range(100):
+        t = np.array([rng.randint(1, rng.choice([1, 2, 5000])) for _ in range(rng.randint(1, 90))] + [0])
+        assert suffix_array(t, 5001).tolist() == sorted(range(len(t)), key=lambda i: tuple(t[i:]))  # noqa: B023
+    assert suffix_array(np.array([3] * 20000 + [0]), 5001).tolist() == list(range(20000, -1, -1))
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(150):
