@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, over numpy arrays."""
+"""Suffix arrays by induced sorting (doubling for reduced texts), and permuted common prefixes, over numpy arrays."""
 
 from __future__ import annotations
 
