@@ -21,7 +21,6 @@ don't matter. An empty table makes a table of no documents.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -30,13 +29,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .units import cut
+from .units import CUT, mark
 
 MAGIC = b"LOOMSST1"
 BLOCK = 64 * 1024
@@ -45,10 +45,9 @@ FOOTER = struct.Struct("<QQQQQQB7x8s")
 INDEX = struct.Struct("<QQQI")
 #: Units that a worker keeps.
 _KEPT = 1_000_000
-_MARKS = frozenset(".,;:!?")
-#: Where the usual pattern always ends a token inside a unit: around a line end between two characters that aren't
-#: white space, and before marks that follow a letter or digit and end the unit or the line.
-_JOINT = re.compile(r"((?<=\S)\n(?=\S)|(?<=[0-9A-Za-zÀ-ÖØ-öø-ſ])[.,;:!?]+(?=\n|\Z))")
+_MARKS = ".,;:!?"
+#: Letters and digits of which the usual pattern always parts marks that follow them and end the unit.
+_BEFORE_MARKS = frozenset(c for c in map(chr, range(0x180)) if c.isascii() and c.isalnum() or c >= "À" and c not in "×÷")
 
 
 # keys and varints
@@ -215,9 +214,10 @@ class Encoder:
     """``Tokenizer.encode_batch`` over whole texts, without special tokens of its own.
 
     A byte-level tokenizer that splits by its usual pattern and normalizes nothing gives the same ids
-    for a text as for its units, cut at single spaces between two non-space characters. Then distinct
-    units are encoded once and kept in a bounded cache, words apart from the marks and line ends that follow
-    them; any other tokenizer gets the texts whole.
+    for a text as for its units, cut before a space or line end that follows another character than white
+    space. Then Arrow finds the distinct units of many texts; those not known yet are encoded once and kept in a
+    bounded cache, words apart from the marks that follow them and the line ends before them; numpy lays the ids
+    out again. Any other tokenizer gets the texts whole.
     """
 
     def __init__(self, path: str):
@@ -233,74 +233,104 @@ class Encoder:
         strips = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not {" ", "\n", *_MARKS}.isdisjoint(t["content"]) for t in spec.get("added_tokens", []))
         self.by_unit = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not strips
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.known: dict[str, bytes] = {}
 
-        # units go to the library many at a time, parted by line ends, which are a token of their own between
-        # characters that aren't white space; a unit may begin with one space
+        # units go to the library many at a time: those that begin with a space one after the other, each of them from a
+        # token that begins with a space to the next; others parted by line ends, which are a token of their own between
+        # characters that aren't white space
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.by_unit else []
+        self.by_unit = len(self.line) == 1
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.spaced[[k for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith("Ġ")]] = True
 
     def _many(self, units: list[str]) -> list[bytes]:
-        """Ids of each of the units (with the space that leads them, if any)."""
-        whole = {u for u in units if "\n" in u or not (ends := u.removeprefix(" ")) or ends[0].isspace() or ends[-1].isspace()} if len(self.line) == 1 else set(units)
-        rest = [u for u in units if u not in whole]
-        out = dict(zip(whole, self._ids(list(whole)), strict=True))
-        parts = [rest[k : k + 500] for k in range(0, len(rest), 500)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            ends = [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)]
-            for u, end in zip(part, ends, strict=True):
-                out[u] = raw[4 * at : 4 * end]
-                at = end + 1
+        """Ids of each of the units."""
+        after = [u for u in units if u[:1] == " " and u[1:].isalpha()]
+        first, whole = [], []
+        for u in units if len(after) < len(units) else ():
+            body = u[1:] if u[:1] == " " else u
+            if not body or body[0].isspace() or body[-1].isspace() or "\n" in body or " " in body:
+                whole.append(u)
+            elif body is u:
+                first.append(u)
+            elif not body.isalpha():
+                after.append(u)
+        out = {}
+        for alike, parted in ((after, False), (first, True)):
+            parts = [alike[k : k + 200] for k in range(0, len(alike), 200)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([("\n" if parted else "").join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                begins = ids == self.line[0] if parted else self.spaced[ids]
+                at = np.flatnonzero(begins).tolist()
+                starts, ends = ([0, *(k + 1 for k in at)], [*at, len(ids)]) if parted else (at, [*at[1:], len(ids)])
+                if len(starts) != len(part):  # the vocabulary lacks the space or the line end
+                    whole += part
+                    continue
+                raw = ids.tobytes()
+                out.update(zip(part, [raw[4 * i : 4 * k] for i, k in zip(starts, ends, strict=True)], strict=True))
+        out.update(zip(whole, self._ids(whole), strict=True))
         return [out[u] for u in units]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, after: set[str], first: set[str]) -> None:
-        """Encodes new units that follow a space, and new ones that begin a text."""
-        starts, units = self.known
-        plain: tuple[set[str], set[str]] = (set(), set())
-        marked, joined = [], []
-        for fresh, known, own in ((after, units, plain[1]), (first, starts, plain[0])):
-            words = {u for u in fresh if u.isalpha()}
-            own |= words
-            for u in fresh - words:
-                word, mark = u[:-1], u[-1:]
-                if mark in _MARKS and word.isalpha() and word[-1] <= "ſ":  # most of them
-                    own.add(word)
-                    marked.append((known, u, word, mark))
-                else:
-                    piece, *more = [x for x in _JOINT.split(u) if x] or [u]
-                    own.add(piece)
-                    if more:
-                        plain[0].update(more)
-                        joined.append((known, u, piece, more))
-        plain[0].update({x[3] for x in marked})
-        new = list(plain[1].difference(units))
-        units.update(zip(new, self._many([" " + u for u in new]), strict=True))
-        new = list(plain[0].difference(starts))
-        starts.update(zip(new, self._many(new), strict=True))
-        for known, u, word, mark in marked:
-            known[u] = known[word] + starts[mark]
-        for known, u, piece, more in joined:
-            known[u] = known[piece] + b"".join([starts[x] for x in more])
+    def _learn(self, fresh: list[str]) -> None:
+        """Encodes new units."""
+        known = self.known
+        known[""] = b""
+        new = [u for u in fresh if u[0] == " " and u[-1] not in _MARKS]
+        joined: list[str] = []
+        leads, words, tails = [], [], []
+        for u in fresh if len(new) < len(fresh) else ():
+            if u[0] == " " and u[-1] not in _MARKS:
+                continue
+            word = u.rstrip(_MARKS)
+            if word[-1:] not in _BEFORE_MARKS:
+                word = u
+            tail = u[len(word) :]
+            lead = "\n" if u[0] == "\n" and not word[1:2].isspace() else ""
+            if lead:
+                word = word[1:]
+            joined.append(u)
+            leads.append(lead)
+            words.append(word)
+            tails.append(tail)
+        new += {*leads, *words, *tails}.difference(known, new)
+        known.update(zip(new, self._many(new), strict=True))
+        parts = (map(known.__getitem__, x) for x in (leads, words, tails))
+        known.update(zip(joined, map(b"".join, zip(*parts, strict=True)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_unit:
             return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
-        starts, units = self.known
-        if len(units) > _KEPT:
-            units.clear()
-        if len(starts) > _KEPT // 10:
-            starts.clear()
-        parts = [cut(t) for t in texts]
-        new: set[str] = set()
-        for p in parts:
-            new.update(p[1:])
-        self._learn(new.difference(units), {p[0] for p in parts if p}.difference(starts))
-        unit = units.__getitem__
-        return [np.frombuffer(starts[p[0]] + b"".join(map(unit, p[1:])), "<u4") if p else np.empty(0, "<u4") for p in parts]
+        if len(self.known) > _KEPT:
+            self.known.clear()
+        marked = [mark(t) for t in texts]
+        # a text that holds the mark itself goes to the library whole, the empty one nowhere
+        cut = [k for k, m in enumerate(marked) if m]
+        whole = [k for k, m in enumerate(marked) if m is None]
+        out = [np.empty(0, "<u4")] * len(texts)
+        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = np.frombuffer(ids, "<u4")
+        if not cut:
+            return out
+        units = pc.split_pattern(pa.array([CUT.join([marked[k] for k in cut])], pa.large_string()), CUT).values.dictionary_encode()
+        distinct, at = units.dictionary.to_numpy(zero_copy_only=False).tolist(), units.indices.to_numpy()
+        coded = list(map(self.known.get, distinct))
+        fresh = [k for k, x in enumerate(coded) if x is None]
+        self._learn([distinct[k] for k in fresh])
+        for k in fresh:
+            coded[k] = self.known[distinct[k]]
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ends = np.cumsum(sizes[at])
+        # where the ids of each unit stand in flat, less where they come to stand
+        shift = (np.cumsum(sizes) - sizes)[at] - (ends - sizes[at])
+        ids = flat[np.repeat(shift, sizes[at]) + np.arange(ends[-1])]
+        last = np.cumsum([marked[k].count(CUT) + 1 for k in cut])
+        for k, x in zip(cut, np.split(ids, ends[last - 1][:-1]), strict=True):
+            out[k] = x
+        return out
 
 
 @lru_cache(maxsize=1)

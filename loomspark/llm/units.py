@@ -1,5 +1,5 @@
 """Cutting texts where the usual byte-level pattern never matches across: at single spaces between two
-characters that aren't white space."""
+characters that aren't white space (``cut``), or before spaces and line ends that follow such a character (``mark``)."""
 
 from __future__ import annotations
 
@@ -18,3 +18,19 @@ def cut(text: str) -> list[str]:
     if text[0] != " " != text[-1] and "  " not in text and " \n" not in text and "\n " not in text and not any(c in text for c in _OTHER):
         return text.split(" ")
     return _UNIT.split(text)
+
+
+#: Stands before each unit but a text's first.
+CUT = "\0"
+_BEFORE = re.compile(r"(?<=\S)(?=[ \n])")
+
+
+def mark(text: str) -> str | None:
+    """The text with CUT before each space and line end that follows another character than white space, where the
+    pattern always ends a match; None for a text that holds CUT itself."""
+    if CUT in text:
+        return None
+    # as above, and line ends stand alone too
+    if text[:1] not in " \n" and "  " not in text and " \n" not in text and "\n " not in text and "\n\n" not in text and not any(c in text for c in _OTHER):
+        return text.replace(" ", "\0 ").replace("\n", "\0\n")
+    return _BEFORE.sub(CUT, text)

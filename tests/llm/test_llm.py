@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -292,6 +293,30 @@ def test_words_are_encoded_apart_from_marks_and_line_ends(monkeypatch):
     assert [x.tolist() for x in own(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_units_of_many_texts_are_encoded_once_without_separators(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), token_store.Encoder(path)
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            out = library.encode_batch_fast(texts, **options)
+            given.extend(k for e in out for k in e.ids)
+            return out
+
+    monkeypatch.setattr(own, "tokenizer", Counted())
+    words = [" " + "".join(w) for w in itertools.product("qxzjkv", repeat=3)]
+    for _ in range(2):
+        ids = own(["a" + "".join(words), "a" + "".join(reversed(words)) + "."])
+        assert [x.tolist() for x in ids] == [library.encode(t, add_special_tokens=False).ids for t in ("a" + "".join(words), "a" + "".join(reversed(words)) + ".")]
+    assert sorted(given) == sorted(k for t in ["a\n.", *words] for k in library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(8)
+    odd = ["".join(rng.choice(["a", "Ġ", "ſ", "中", "7", "'s", ".", "!?", "\0", "\n", "\n\n", " ", "  ", "\u00a0", "\x1c", "\x85", "\u180e", "\u200b", "\t", "<|endoftext|>"]) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    odd += ["\0", "\n", "\n.", "\n\n\n", " .", ". ", "a\n", "\na.", "a \n", "\n a!", "\0 a\0"]
+    assert [x.tolist() for x in own(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_token_shards(spark, docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
