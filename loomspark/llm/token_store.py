@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .units import CUT, mark
+from .units import absent, mark
 
 MAGIC = b"LOOMSST1"
 BLOCK = 64 * 1024
@@ -301,20 +301,17 @@ class Encoder:
         known.update(zip(joined, map(b"".join, zip(*parts, strict=True)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_unit:
+        sign = absent(texts) if self.by_unit else None
+        if sign is None:
             return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
         if len(self.known) > _KEPT:
             self.known.clear()
-        marked = [mark(t) for t in texts]
-        # a text that holds the mark itself goes to the library whole, the empty one nowhere
-        cut = [k for k, m in enumerate(marked) if m]
-        whole = [k for k, m in enumerate(marked) if m is None]
+        full = [k for k, t in enumerate(texts) if t]
         out = [np.empty(0, "<u4")] * len(texts)
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
-            out[k] = np.frombuffer(ids, "<u4")
-        if not cut:
+        if not full:
             return out
-        units = pc.split_pattern(pa.array([CUT.join([marked[k] for k in cut])], pa.large_string()), CUT).values.dictionary_encode()
+        marked = [mark(texts[k], sign) for k in full]
+        units = pc.split_pattern(pa.array([sign.join(marked)], pa.large_string()), sign).values.dictionary_encode()
         distinct, at = units.dictionary.to_numpy(zero_copy_only=False).tolist(), units.indices.to_numpy()
         coded = list(map(self.known.get, distinct))
         fresh = [k for k, x in enumerate(coded) if x is None]
@@ -327,8 +324,8 @@ class Encoder:
         # where the ids of each unit stand in flat, less where they come to stand
         shift = (np.cumsum(sizes) - sizes)[at] - (ends - sizes[at])
         ids = flat[np.repeat(shift, sizes[at]) + np.arange(ends[-1])]
-        last = np.cumsum([marked[k].count(CUT) + 1 for k in cut])
-        for k, x in zip(cut, np.split(ids, ends[last - 1][:-1]), strict=True):
+        last = np.cumsum([m.count(sign) + 1 for m in marked])
+        for k, x in zip(full, np.split(ids, ends[last - 1][:-1]), strict=True):
             out[k] = x
         return out
 

@@ -20,17 +20,18 @@ def cut(text: str) -> list[str]:
     return _UNIT.split(text)
 
 
-#: Stands before each unit but a text's first.
-CUT = "\0"
 _BEFORE = re.compile(r"(?<=\S)(?=[ \n])")
 
 
-def mark(text: str) -> str | None:
-    """The text with CUT before each space and line end that follows another character than white space, where the
-    pattern always ends a match; None for a text that holds CUT itself."""
-    if CUT in text:
-        return None
+def absent(texts: list[str]) -> str | None:
+    """A character, no space or line end, that none of the texts holds; None if they hold all below the surrogates."""
+    return next((c for c in map(chr, range(0xD800)) if c not in " \n" and not any(c in t for t in texts)), None)
+
+
+def mark(text: str, sign: str) -> str:
+    """The text with the sign before each space and line end that follows another character than white space, where
+    the pattern always ends a match."""
     # as above, and line ends stand alone too
     if text[:1] not in " \n" and "  " not in text and " \n" not in text and "\n " not in text and "\n\n" not in text and not any(c in text for c in _OTHER):
-        return text.replace(" ", "\0 ").replace("\n", "\0\n")
-    return _BEFORE.sub(CUT, text)
+        return text.replace(" ", sign + " ").replace("\n", sign + "\n")
+    return _BEFORE.sub(lambda m: sign, text)
