@@ -109,7 +109,8 @@ def align(gold: Column, blocks: Column, table: Column, most: int = 3, chars: int
     and table rows; the first ``most`` that aren't empty."""
 
     def parsed(g: Column) -> Column:
-        number = lambda kind: F.regexp_extract(g["raw_id"], rf"(?i)^{kind}_(\d+)$", 1).try_cast("int")
+        # an empty text is made null first, since a cast that fails costs an exception inside Spark
+        number = lambda kind: F.nullif(F.regexp_extract(g["raw_id"], rf"(?i)^{kind}_(\d+)$", 1), F.lit("")).try_cast("int")
         return F.struct(g["raw_id"].alias("raw_id"), X.normalize_ws(g["text"]).alias("text"), number("table").alias("row"), number("text").alias("hint"))
 
     def found(g: Column) -> Column:

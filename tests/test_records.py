@@ -66,3 +66,15 @@ def test_paired_models_grow_in_tasks_not_within_them(spark, tmp_path, monkeypatc
     df = queries()["j_paired_models"](spark, str(tmp_path))
     assert "hashpartitioning(id" in df._jdf.queryExecution().executedPlan().toString() and ", 20)" in df._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in df.collect()] == [("new_wrong", 200)]
+
+
+def test_evidence_without_a_number_is_never_cast(spark):
+    # a cast of an empty text throws and catches an exception for each row
+    from loomspark.plans import scoring
+
+    rows = spark.createDataFrame([(["x"], "text_0"), (["x"], "table_0"), (["x"], "other"), (["x"], "text_99999999999")], "t array<string>, id string")
+    gold = F.array(F.struct(F.col("id").alias("raw_id"), F.lit("x").alias("text")))
+    made = rows.select("id", scoring.align(gold, records.blocks(F.col("t"), F.col("t")), F.array(F.col("t"))).alias("e"))
+    plan = made._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("try_cast(nullif(") == 2 and plan.count("try_cast(") == 2
+    assert [(r["e"][0]["evidence_type"], r["e"][0]["source_location"]) for r in made.collect()] == [("text", "pre_text[0]"), ("table", "table[0]"), ("text", "pre_text[0]"), ("text", "pre_text[0]")]
