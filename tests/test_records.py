@@ -78,3 +78,25 @@ def test_evidence_without_a_number_is_never_cast(spark):
     plan = made._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("try_cast(nullif(") == 2 and plan.count("try_cast(") == 2
     assert [(r["e"][0]["evidence_type"], r["e"][0]["source_location"]) for r in made.collect()] == [("text", "pre_text[0]"), ("table", "table[0]"), ("text", "pre_text[0]"), ("text", "pre_text[0]")]
+
+
+def test_every_vector_is_a_query(spark, tmp_path, monkeypatch):
+    from loomspark.operators import sequences as Q
+
+    monkeypatch.setattr(Q, "BLOCK", 7)
+    monkeypatch.setattr(Q, "ROWS_A_SIDE", 20)
+    monkeypatch.setattr(Q, "QUERIES_A_BATCH", 3)
+    _same(spark, tmp_path, "m_fused_ranks", {"embeddings": "select i as vec_id, case when i <> 5 then [sin(i * 3), cos(i), (i % 3)::double]::float[] end as embedding from range(60) t(i)"})
+    assert queries()["m_fused_ranks"](spark, str(tmp_path)).select("q").distinct().count() == 60
+
+
+def test_products_of_blocks_are_those_of_pairs(spark):
+    from loomspark.operators import sequences as Q
+
+    odd = [(1, [0.1, 0.2, 0.3]), (2, None), (3, [1.0, None, 2.0]), (4, [1.0, 2.0]), (5, []), (6, [-7.0, 1e300, 0.7]), (None, [1.0, 1.0, 1.0]), (7, [float("nan"), 0.0, 1.0]), (8, []), (1, [0.3, 0.1, 9.0])]
+    t = spark.createDataFrame(odd, "k int, x array<float>")
+    x = t.select(F.col("k").cast("long").alias("q"), F.col("x").cast("array<double>").alias("a"))
+    wanted = x.crossJoin(x.select(F.col("q").alias("v"), F.col("a").alias("b"))).where("q <> v").select("q", "v", Q.dot(F.col("a"), F.col("b")).alias("score"))
+    made = Q.every_dot(t, "k", "x")
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, wanted.collect()))
