@@ -19,15 +19,14 @@ def _double(c: Column) -> Column:
 
 
 def parse_first(c: Column) -> Column:
-    """The first number: ``$`` and commas go, a text all in brackets is negative, a ``%`` right after divides by 100."""
+    """The first number: ``$`` and commas go, a text all in brackets is negative, a ``%`` right after divides by 100.
 
-    def parsed(text: Column) -> Column:
-        found = F.regexp_extract(F.regexp_replace(text, r"[$,]", ""), f"({FIRST})(%?)", 0)
-        bracketed = text.endswith(")") & text.rlike(r"^\([^()]+\)$")
-        signed = lambda n: F.when(bracketed & (n > 0), -n).otherwise(n)
-        return bind(found, lambda f: bind(_double(F.nullif(F.rtrim(f, F.lit("%")), F.lit(""))), signed) / F.when(f.endswith("%"), 100.0).otherwise(1.0))
-
-    return bind(to_text(c), parsed)
+    Parts that recur are written out, since they are compiled and computed once then; bound ones are neither."""
+    text = to_text(c)
+    found = F.regexp_extract(F.translate(text, "$,", ""), f"({FIRST})(%?)", 0)
+    n = _double(F.nullif(F.rtrim(found, F.lit("%")), F.lit("")))
+    bracketed = text.endswith(")") & text.rlike(r"^\([^()]+\)$")
+    return n * F.when(bracketed & (n > 0), -1.0).otherwise(1.0) / F.when(found.endswith("%"), 100.0).otherwise(1.0)
 
 
 def _last(text: Column, pattern: str) -> Column:
@@ -64,20 +63,22 @@ def close(a: Column, b: Column, rel: float = 1e-4, abs_: float = 1e-4) -> Column
 def equivalent(a: Column, b: Column, percent: Column | None = None) -> Column:
     """Within 1e-4 of b, in absolute or relative terms. Where ``percent``, also a hundred times either
     side, and within 1.0 where either side is over 1. False if a side is null."""
+    both = F.struct(a.alias("a"), b.alias("b"), (F.lit(False) if percent is None else percent).alias("p"))
+    return bind(both, lambda k: equivalent_of(k["a"], k["b"], None if percent is None else k["p"]))
+
+
+def equivalent_of(x: Column, y: Column, percent: Column | None = None) -> Column:
+    """``equivalent`` of numbers that are columns already."""
 
     def near(x: Column, y: Column) -> Column:
         return F.abs(x - y) <= F.greatest(F.lit(1e-4), F.abs(y) * F.lit(1e-4))
 
-    def same(k: Column) -> Column:
-        x, y = k["a"], k["b"]
-        out = near(x, y)
-        if percent is not None:
-            slack = lambda u, v: (F.abs(u - v) <= 1.0) & ((F.abs(u) > 1.0) | (F.abs(v) > 1.0))
-            h = F.lit(100.0)
-            out = out | (k["p"] & (slack(x, y) | near(x * h, y) | slack(x * h, y) | near(x, y * h) | slack(x, y * h)))
-        return F.coalesce(out, F.lit(False))
-
-    return bind(F.struct(a.alias("a"), b.alias("b"), (F.lit(False) if percent is None else percent).alias("p")), same)
+    out = near(x, y)
+    if percent is not None:
+        slack = lambda u, v: (F.abs(u - v) <= 1.0) & ((F.abs(u) > 1.0) | (F.abs(v) > 1.0))
+        h = F.lit(100.0)
+        out = out | (percent & (slack(x, y) | near(x * h, y) | slack(x * h, y) | near(x, y * h) | slack(x, y * h)))
+    return F.coalesce(out, F.lit(False))
 
 
 def numeric_equal(pred: Column, gold: Column, rel: float = 1e-4, abs_: float = 1e-4) -> Column:
@@ -113,11 +114,26 @@ def _least_form(c: Column) -> Column:
 
 def has_number(text: Column, token: Column) -> Column:
     """Whether a text holds a number token, whole, not as digits of a longer number; commas between thousands and zeros that change nothing aside."""
+    return bind(seen_numbers(text), lambda s: sees(s, token_form(token)))
+
+
+def seen_numbers(text: Column) -> Column:
+    """struct<plain, forms> of a text: what ``sees`` looks for tokens in."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d),(?=\d{3}(?!\d))", "")
-    t = F.regexp_replace(token, ",", "")
-    seen = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d+(?:\.\d+)?)"), 1), _least_form)
-    number = F.array_contains(seen, _least_form(t)) & (~t.startswith("-") | plain.contains("-"))
-    return (t != "") & F.when(t.rlike(r"^-?\d+(?:\.\d+)?$"), number).otherwise(F.contains(plain, t))
+    return bind(plain, lambda p: F.struct(p.alias("plain"), F.transform(F.regexp_extract_all(p, F.lit(r"(\d+(?:\.\d+)?)"), 1), _least_form).alias("forms")))
+
+
+def token_form(token: Column) -> Column:
+    """struct<t, form, number> of a number token."""
+    t = F.replace(token, F.lit(","), F.lit(""))
+    return F.struct(t.alias("t"), _least_form(t).alias("form"), t.rlike(r"^-?\d+(?:\.\d+)?$").alias("number"))
+
+
+def sees(seen: Column, token: Column) -> Column:
+    """``has_number`` of a text's ``seen_numbers`` and a token's ``token_form``."""
+    t, plain = token["t"], seen["plain"]
+    number = F.array_contains(seen["forms"], token["form"]) & (~t.startswith("-") | plain.contains("-"))
+    return (t != "") & F.when(token["number"], number).otherwise(F.contains(plain, t))
 
 
 def answer_display(raw: Column, norm: Column, question: Column) -> Column:

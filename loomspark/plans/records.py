@@ -25,8 +25,9 @@ def blocks(pre: Column, post: Column) -> Column:
 def sentence_for_table(evidence: Column, texts: Column, numbers: Column, chars: int = 400) -> Column:
     """Evidence items, those of the table replaced by the first text block that has two of the program's
     numbers or more, if there is one."""
-    count = lambda t: F.size(F.filter(numbers, lambda n: N.has_number(t, n)))
-    hit = F.try_element_at(F.filter(texts, lambda b: count(b["text"]) >= 2), F.lit(1))
+    # tokens and texts are taken apart once each, not once a pair
+    count = lambda t, forms: X.bind(N.seen_numbers(t), lambda s: F.size(F.filter(forms, lambda n: N.sees(s, n))))
+    hit = X.bind(F.transform(numbers, N.token_form), lambda forms: F.try_element_at(F.filter(texts, lambda b: count(b["text"], forms) >= 2), F.lit(1)))
 
     def one(e: Column, h: Column) -> Column:
         swap = (e["evidence_type"] == "table") & h.isNotNull()
@@ -37,7 +38,7 @@ def sentence_for_table(evidence: Column, texts: Column, numbers: Column, chars:
         )
 
     swapped = X.bind(hit, lambda h: F.transform(evidence, lambda e: one(e, h)))
-    return F.when(F.exists(evidence, lambda e: e["evidence_type"] == "table"), swapped).otherwise(evidence)
+    return F.when(F.array_contains(evidence["evidence_type"], "table"), swapped).otherwise(evidence)
 
 
 def supervision(df: DataFrame, *, facts: int = 3, chars: int = 400) -> DataFrame:
@@ -49,12 +50,13 @@ def supervision(df: DataFrame, *, facts: int = 3, chars: int = 400) -> DataFrame
     d = X.computed(d, program_executable=c("_run.value"), program_numbers=N.number_tokens(c("program_canonical")), _aligned=align(c("gold"), c("_blocks"), c("table"), facts, chars))
     d = X.computed(d, _swapped=sentence_for_table(c("_aligned"), c("_blocks"), c("program_numbers"), chars))
     pruned = lambda e: e.withField("rendered_text", X.pruned_columns(e["rendered_text"], c("question"), chars))
-    d = X.computed(d, _pruned=F.transform("_swapped", lambda e: F.when(e["evidence_type"] == "table", pruned(e)).otherwise(e)))
+    every = F.transform("_swapped", lambda e: F.when(e["evidence_type"] == "table", pruned(e)).otherwise(e))
+    d = X.computed(d, _pruned=F.when(F.array_contains("_swapped.evidence_type", "table"), every).otherwise(c("_swapped")))
     d = choose_answer(d.withColumnRenamed("_pruned", "aligned_evidence"), "answer", "exe_ans", "program_executable")
-    d = X.computed(d, answer_display=N.answer_display(c("answer"), c("answer_norm"), c("question")), _evidence=F.array_join(F.transform("aligned_evidence", lambda e: e["rendered_text"]), " "))
+    d = X.computed(d, answer_display=N.answer_display(c("answer"), c("answer_norm"), c("question")), _evidence=F.array_join("aligned_evidence.rendered_text", " "))
     unit, scale = N.unit_and_scale(c("question"), c("answer"), c("answer_display"))
     flags = X.told(
-        c("_run.error"), F.when(F.size("aligned_evidence") == 0, "missing_evidence"), F.when(F.exists("_aligned", lambda e: e["match_type"] != "exact"), "non_exact_evidence_alignment"),
+        c("_run.error"), F.when(F.size("aligned_evidence") == 0, "missing_evidence"), F.when(F.size(F.array_remove("_aligned.match_type", "exact")) > 0, "non_exact_evidence_alignment"),
         F.when(X.to_text(c("question")) == "", "missing_question"), F.when(X.to_text(c("program")) == "", "missing_program_re"),
     )
     semantic = X.told(
@@ -70,7 +72,7 @@ def with_prompt(df: DataFrame, system: str, output_format: str, history: str | N
     c = F.col
     context = X.context_sections(c("pre_text"), c("table"), c("post_text"))
     made = X.prompt(system=system, context=c("_context"), question=X.clean_question(c("question")), history=c(history) if history else None, output_format=output_format)
-    d = X.computed(X.computed(df, _context=context), prompt=made, _texts=F.transform("aligned_evidence", lambda e: e["rendered_text"]))
+    d = X.computed(X.computed(df, _context=context), prompt=made, _texts=c("aligned_evidence.rendered_text"))
     unseen = F.when(~gates.visible(c("_texts"), c("prompt")), F.array(F.lit("evidence_not_in_rendered_prompt"))).otherwise(F.array().cast("array<string>"))
     d = X.computed(d, target=render_target(c("_texts"), c("program_canonical"), c("answer_display"), c("answer_norm")), _flags=F.sort_array(F.array_distinct(F.concat("audit_flags", unseen))))
     d = X.computed(d.drop("quality_tier"), quality_tier=C.tier(F.concat("_flags", "semantic_audit_flags")))
@@ -119,7 +121,7 @@ def item_pairs(df: DataFrame, tiers: str = "A") -> DataFrame:
 
 def audit_items(df: DataFrame) -> DataFrame:
     """What a reviewer needs of each record."""
-    texts = F.transform("aligned_evidence", lambda e: e["rendered_text"])
+    texts = F.col("aligned_evidence.rendered_text")
     return df.select("record_id", "question", "program_canonical", "program_executable", "answer_norm", texts.alias("evidence"), F.concat("audit_flags", "semantic_audit_flags").alias("flags"), "quality_tier")
 
 

@@ -81,7 +81,7 @@ def choose_answer(df: DataFrame, raw: str, executed_answer: str, value: str) ->
     d = X.computed(df, _exe=N.parse_first(executed_answer), _raw=N.parse_first(raw))
     exe, number = F.col("_exe"), F.col("_raw")
     percent = F.coalesce(executed_answer.contains("%"), F.lit(False))
-    d = X.computed(d, _agrees=value.isNotNull() & exe.isNotNull() & N.equivalent(value, exe, percent))
+    d = X.computed(d, _agrees=value.isNotNull() & exe.isNotNull() & N.equivalent_of(value, exe, percent))
     agrees = F.col("_agrees")
     alone = value.isNotNull() & exe.isNull()
     shown = F.coalesce(F.nullif(X.to_text(executed_answer), F.lit("")), X.to_text(raw))
@@ -93,7 +93,7 @@ def choose_answer(df: DataFrame, raw: str, executed_answer: str, value: str) ->
     n = F.col("_norm")
     flags = X.told(
         F.when(~(agrees | alone), "program_answer_mismatch"),
-        F.when(number.isNotNull() & n.isNotNull() & ~N.equivalent(number, n, scaled), "raw_answer_mismatch_with_answer_norm"),
+        F.when(number.isNotNull() & n.isNotNull() & ~N.equivalent_of(number, n, scaled), "raw_answer_mismatch_with_answer_norm"),
         F.when(norm == "", "missing_answer_norm"),
     )
     return X.computed(d, _answer_flags=flags).drop("_exe", "_raw", "_agrees", "_norm")

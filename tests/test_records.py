@@ -100,3 +100,13 @@ def test_products_of_blocks_are_those_of_pairs(spark):
     made = Q.every_dot(t, "k", "x")
     assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(repr, made.collect())) == sorted(map(repr, wanted.collect()))
+
+
+def test_first_numbers_are_parsed_without_lambdas(spark):
+    # lambdas are interpreted, not compiled
+    from loomspark.functions import numbers as N
+
+    texts = [(x, float(y) if y is not None else None) for x, y in [("(1,200)", -1200), ("(0)", 0), ("(-3)", -3), ("$1,234.5 then 7", 1234.5), ("about 12% or 5", 0.12), ("-4.50%", -0.045), ("none", None), ("", None), (None, None), ("(5%)", -0.05)]]
+    made = spark.createDataFrame(texts, "t string, y double").select("y", N.parse_first(F.col("t")).alias("n"))
+    assert "lambda" not in made._jdf.queryExecution().analyzed().toString().lower()
+    assert all(r["y"] == r["n"] for r in made.collect())
